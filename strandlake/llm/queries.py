@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality
+from . import language_id, licenses, line_dedup, quality, secrets
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,3 +32,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.held_out(F.col("doc_id"))
     model = language_id.train(docs, out)
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op3_license_scan"] = licenses.oracle()
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return secrets.digest(secrets.findings_by_path(versions, secrets.scan_blobs(versions)))
+
+
+ORACLES["op9_secret_scan"] = secrets.oracle()
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op7_line_dedup"] = line_dedup.oracle()
