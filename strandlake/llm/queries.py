@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, line_dedup, quality, secrets
+from . import language_id, licenses, line_dedup, ngram_join, quality, secrets
 
 QUERIES, ORACLES = {}, {}
 
@@ -57,3 +57,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_line_dedup"] = line_dedup.oracle()
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op6_ngram_jaccard_join"] = ngram_join.oracle()
