@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, line_dedup, ngram_join, quality, secrets
+from . import language_id, licenses, line_dedup, ngram_join, quality, secrets, topk, url_rules
 
 QUERIES, ORACLES = {}, {}
 
@@ -65,3 +65,18 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_ngram_jaccard_join"] = ngram_join.oracle()
+
+
+@query
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+ORACLES["op5_exact_top_k"] = topk.oracle()
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, url_rules.mine(pages, read(spark, sf_dir, "labels")))
