@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, line_dedup, ngram_join, quality, secrets, topk, url_rules
+from . import language_id, licenses, line_dedup, ngram_join, packing, quality, secrets, topk, url_rules
 
 QUERIES, ORACLES = {}, {}
 
@@ -80,3 +81,14 @@ ORACLES["op5_exact_top_k"] = topk.oracle()
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages, url_rules.mine(pages, read(spark, sf_dir, "labels")))
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """The content of a public tokenizer's file; it goes to the tasks with their code."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
