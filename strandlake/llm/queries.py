@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, line_dedup, ngram_join, packing, quality, secrets, topk, url_rules
+from . import decontaminate, language_id, licenses, line_dedup, ngram_join, packing, quality, secrets, topk, url_rules
 
 QUERIES, ORACLES = {}, {}
 
@@ -92,3 +92,9 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_id", "overlap")
