@@ -30,7 +30,7 @@ def split_multiallelic(genotypes: DataFrame) -> DataFrame:
     own = (F.col("_i") + 1).cast("string")
     mark = lambda t: F.when(t == ".", ".").when(t == own, "1").otherwise("0")
     tokens = F.transform(F.split("gt", r"[|/]"), mark)
-    return each.select(*KEY, "sample_id", F.array_join(tokens, F.when(F.col("gt").contains("|"), "|").otherwise("/")).alias("gt"))
+    return each.select(*KEY, "sample_id", F.when(F.col("gt").contains("|"), F.array_join(tokens, "|")).otherwise(F.array_join(tokens, "/")).alias("gt"))
 
 
 def join_multiallelic(variants: DataFrame) -> DataFrame:
