@@ -36,15 +36,22 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "version", "line", t.alias("t")).where("t != ''")
 
 
-def _half_keys(t: Column, n: Column) -> Column:
-    """Keys of which two lines within one edit share one: they agree before, or after, the middle of the shorter one."""
+def _segment_keys(t: Column, n: Column, segments: int) -> Column:
+    """Keys of which two lines within one edit share one: the shorter is cut into ``segments``, and they agree before and after one of them."""
     out = []
     for shorter in (n, n - 1):
-        h = F.floor(shorter / F.lit(2)).cast("int")
-        out += [_hash(F.lit("head"), shorter, F.substring(t, F.lit(1), h)), _hash(F.lit("tail"), shorter, F.right(t, shorter - h))]
+        cut = [F.floor(shorter * j / F.lit(segments)).cast("int") for j in range(segments + 1)]
+        out += [_hash(F.lit(j), shorter, F.substring(t, F.lit(1), cut[j]), F.right(t, shorter - cut[j + 1])) for j in range(segments)]
     return F.array(*out)
 
 
+def _sharing(lines: DataFrame, keys: Column) -> DataFrame:
+    """h1, h2 of the lines that share one of their keys with another line."""
+    each = lines.select("h1", "h2", F.explode(F.array_distinct(keys)).alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    return each.join(shared, "key", "left_semi").select("h1", "h2").distinct()
+
+
 def repeated_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
     """doc_id, version, line of every line that goes.
 
@@ -56,17 +63,18 @@ def repeated_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
         raise ValueError("edits must be 0 or 1")
     t, n = F.col("t"), F.length("t")
     first = F.struct("doc_id", "line", "version")
-    lines = materialize(_lines(docs).select("doc_id", "version", "line", _hash(t).alias("h1"), _hash(F.lit("2"), t).alias("h2"), n.alias("n"), F.when((n >= EDIT_FROM) & F.lit(edits > 0), _half_keys(t, n)).alias("keys")), "lines")
+    lines = materialize(_lines(docs).select("doc_id", "version", "line", _hash(t).alias("h1"), _hash(F.lit("2"), t).alias("h2"), n.alias("n"), F.when((n >= EDIT_FROM) & F.lit(edits > 0), _segment_keys(t, n, 2)).alias("keys")), "lines")
     groups = lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     repeats = lines.join(groups.where("copies > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(first != F.col("first")).select("doc_id", "version", "line")
     if not edits:
         return repeats.distinct()
 
-    halves = groups.where("keys is not null").select("h1", "h2", "first", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    near = halves.join(shared, "key", "left_semi").select("h1", "h2", "first").distinct()
+    long = groups.where("keys is not null")
+    near = long.join(_sharing(long, F.col("keys")), ["h1", "h2"])
     places = materialize(near.select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), F.col("first.version").alias("version")), "near")
-    variants = materialize(_variants(_fetch(docs, places)), "variants")
+    fetched = materialize(_fetch(docs, places), "fetched")
+    closer = fetched.join(_sharing(fetched, _segment_keys(t, n, 16)), ["h1", "h2"], "left_semi")
+    variants = materialize(_variants(closer), "variants")
 
     # Rows of one key hold equal strings. Those with the same deleted place and length are within one change of each
     # other: each is compared with the earliest. A full line is compared with the lines that are one longer.
