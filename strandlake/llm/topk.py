@@ -73,7 +73,7 @@ def search_block(query_ids, q, ids, w, k: int):
             best_s, best_i = s, i
         for row, qid in enumerate(query_ids[a : a + 64]):
             own = [(-int(s), int(i)) for s, i in zip(best_s[row], best_i[row]) if ids[i] != qid]
-            out += [(int(qid), int(ids[i]), -s) for s, i in sorted(own)[:k]]
+            out += [(int(qid), int(ids[i]), max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in sorted(own)[:k]]
     return out
 
 
@@ -93,7 +93,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     Components become floor(scale * x). Every row of ``vectors`` but the query's own id is a candidate; fewer than
     ``k`` give fewer rows; ties go to the smaller vec_id. Rows with a null id, a null vector or a component that is
     null or not finite take no part. Vectors may differ in length (missing terms weigh 0). Of several rows with one
-    vec_id each counts. Other columns are not read.
+    vec_id each counts. Scores beyond 64 bits are held at the limit. Other columns are not read.
 
     Queries and candidates are dealt into blocks of bounded size by a hash of the id; every pair of blocks is scored
     in a task of its own, and only its best rows are shuffled on, to be merged. At most Q * N / CANDIDATES rows of
