@@ -436,11 +436,10 @@ _WIN = """, w AS (SELECT pos // 100 AS window_id, sample_id, pos, alt, gt FROM g
 p AS (SELECT window_id, sample_id, bool_and(gt LIKE '%|%') AS sure, list(row(pos, alt) ORDER BY pos) AS c, list(row(pos, alt) ORDER BY pos) FILTER (gt LIKE '1%') AS h1, list(row(pos, alt) ORDER BY pos) FILTER (gt LIKE '%1') AS h2 FROM w GROUP BY ALL),
 s AS (SELECT window_id, sample_id, sure, h1 AS v FROM p WHERE sure AND h1 IS NOT NULL UNION SELECT window_id, sample_id, sure, h2 FROM p WHERE sure AND h2 IS NOT NULL UNION ALL SELECT window_id, sample_id, sure, c FROM p WHERE NOT sure AND len(c) > 10
 UNION ALL SELECT window_id, sample_id, sure, list_filter(c, lambda x, i: (m >> (i - 1)) & 1 = 1) FROM (SELECT *, unnest(range(1, (1::BIGINT << len(c)))) AS m FROM p WHERE NOT sure AND len(c) <= 10)),
-o AS (SELECT window_id, v, count(DISTINCT sample_id) AS n, min(sample_id) AS first, CASE WHEN bool_and(sure) THEN 'CONFIRMED' ELSE 'PUTATIVE' END AS phase_state FROM s GROUP BY window_id, v)
-SELECT window_id, array_to_string(list_transform(v, lambda x: x[1] || x[2]), ',') AS variants, n, first, phase_state FROM o"""
+o AS (SELECT window_id, v, count(DISTINCT sample_id) AS n, min(sample_id) AS first, CASE WHEN bool_and(sure) THEN 'CONFIRMED' ELSE 'PUTATIVE' END AS phase_state FROM s GROUP BY window_id, v)"""
 
 
-@query(_WIN, "genotypes")
+@query(_WIN + " SELECT window_id, array_to_string(list_transform(v, lambda x: x[1] || x[2]), ',') AS variants, n, first, phase_state FROM o", "genotypes")
 def g5_observed_haplotypes(g):
     w = g.select(F.floor(F.col("pos") / 100).alias("window_id"), "sample_id", "pos", "alt", "gt")
     out = genotypes.observed_haplotypes(w, 10)
@@ -671,3 +670,173 @@ def q1_check_variants(hits):
 @query(" SELECT 'contig_not_in_genome' AS check, 'warning' AS severity, count(DISTINCT chrom) AS n, array_to_string(list_sort(list(DISTINCT replace(chrom, 'chr', ''))), ',') AS example FROM hits WHERE chrom IN ('chr2', 'chr3')")
 def q4_check_contigs(hits):
     return quality.check_contigs(hits, hits.where("chrom not in ('chr2', 'chr3')"))
+
+
+_PART = f", s AS (SELECT doc_id, {_DNA} AS s FROM seqs), p AS (SELECT doc_id, substr(s, 1, 20) AS a, substr(s, 21, 20) AS b, substr(s, 41, 2) AS pam2, substr(s, 1, 23) AS w FROM s WHERE length(s) >= 42)"
+
+
+def _parts(seqs: DataFrame) -> DataFrame:
+    s = seqs.select("doc_id", _dna(F.col("text")).alias("s")).where(F.length("s") >= 42)
+    return s.select("doc_id", F.substring("s", 1, 20).alias("a"), F.substring("s", 21, 20).alias("b"), F.substring("s", 41, 2).alias("pam2"), F.substring("s", 1, 23).alias("w"))
+
+
+@query(_PART + " SELECT doc_id, w AS dna FROM p WHERE substr(w, 21, 1) IN ('A', 'G') AND substr(w, 23, 1) = 'G'", "seqs")
+def p1_filter_pam(seqs):
+    return clean.filter_pam(_parts(seqs).select("doc_id", F.col("w").alias("dna")), "RNG")
+
+
+@query(" SELECT id, chrom AS contig, score, mm FROM hits")
+def p6_p7_project_criterion(hits):
+    wide = hits.select("id", F.col("chrom").alias("contig"), F.col("score").alias("score_CFD"), F.col("mm").alias("mm_CFD"), F.col("total").alias("score_fewest"))
+    return clean.standardize_columns(clean.project_criterion(wide, "CFD"))
+
+
+@query(" SELECT id, CASE WHEN mm = 0 THEN 0.00001 ELSE mm / 10.0 END::DOUBLE AS first, CASE WHEN bulge = 0 THEN NULL ELSE 0.5 END::DOUBLE AS second FROM hits")
+def p10_floor_zero_maf(hits):
+    afs = F.array(F.col("mm") / F.lit(10.0), F.when(F.col("bulge") > 0, F.lit(0.5)))
+    return hits.select("id", clean.floor_zero_maf(afs).alias("a")).select("id", F.get("a", F.lit(0)).alias("first"), F.get("a", F.lit(1)).alias("second"))
+
+
+@query(" SELECT id, CASE WHEN mm % 2 = 0 THEN 'ref' ELSE 'alt' END AS kind, CASE WHEN mm % 2 = 0 THEN guide ELSE chrom END AS aligned_ref, CASE WHEN mm % 2 = 0 THEN NULL ELSE guide END AS aligned_alt FROM hits")
+def p13_with_origin(hits):
+    rows = hits.select("id", F.when(F.col("mm") % 2 != 0, F.array("sample")).alias("samples"), F.col("guide").alias("aligned_alt"), F.col("chrom").alias("aligned_ref"))
+    return clean.with_origin(rows).select("id", F.col("origin").alias("kind"), "aligned_ref", "aligned_alt")
+
+
+@query(" SELECT id, CASE WHEN mm % 3 = 0 THEN population ELSE '' END AS cosmic, CASE WHEN mm % 3 = 1 THEN population ELSE '' END AS personal, CASE WHEN mm % 3 = 2 THEN population ELSE '' END AS encode FROM hits")
+def p15_fill_annotation_buckets(hits):
+    label = F.concat(F.col("population"), F.when(F.col("mm") % 3 == 0, "_COSMIC").when(F.col("mm") % 3 == 1, "_personal").otherwise(""))
+    b = hits.select("id", clean.fill_annotation_buckets(F.array(label, label)).alias("b"))
+    return b.select("id", *[F.array_join(f"b.{c}", "|").alias(c) for c in ("cosmic", "personal", "encode")])
+
+
+@query(_PART + " SELECT doc_id, array_to_string(list_transform(range(1, 21), lambda i: CASE WHEN substr(a, i, 1) <> substr(b, i, 1) THEN lower(substr(b, i, 1)) ELSE substr(b, i, 1) END), '') AS marked, hamming(a, b)::INTEGER AS mm, len(list_filter(range(1, 21), lambda i: i > 10 AND substr(a, i, 1) <> substr(b, i, 1)))::INTEGER AS seed FROM p", "seqs")
+def f4_f5_f9_marks(seqs):
+    m = _parts(seqs).withColumn("marked", seqf.mark_mismatches(F.col("a"), F.col("b")))
+    return m.select("doc_id", "marked", seqf.count_ref_mm(F.col("marked")).alias("mm"), seqf.seed_split(F.col("marked"), F.col("a"), False)["seed"].alias("seed"))
+
+
+@query(_PART + " SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(substr(a, 4, 5), 'A') THEN 'ABE' END, CASE WHEN contains(substr(a, 4, 5), 'C') THEN 'CBE' END, CASE WHEN contains(substr(a, 4, 5), 'G') THEN 'GBE' END, CASE WHEN contains(substr(a, 4, 5), 'T') THEN 'TBE' END], lambda x: x IS NOT NULL), ',') AS editors, substr(w, 21, 3) AS pam, len(list_filter(range(1, 20), lambda i: substr(a, i, 2) = 'AC'))::INTEGER AS ac FROM p", "seqs")
+def f7_f10_f20_windows(seqs):
+    p = _parts(seqs)
+    return p.select("doc_id", seqf.base_editor_flags(F.col("a"), 4, 8).alias("editors"), seqf.pam_of(F.col("w"), F.col("w"), F.lit("alt"), 3, False).alias("pam"), F.coalesce(F.element_at(seqf.kmer_counts(F.col("a"), 2), F.lit("AC")), F.lit(0)).alias("ac"))
+
+
+@query(_PART + ", q AS (SELECT doc_id, a || substr(w, 21, 3) AS x FROM p) SELECT doc_id, CASE WHEN substr(x, 22, 2) <> 'GG' THEN pam2 END AS created FROM q JOIN p USING (doc_id)", "seqs")
+def f8_pam_created(seqs):
+    p = _parts(seqs)
+    return p.select("doc_id", seqf.pam_created(F.right(F.col("w"), F.lit(3)), F.col("pam2"), "NGG").alias("created"))
+
+
+@query(" SELECT id, CASE WHEN strand = '+' THEN greatest(mm - 1, 1)::VARCHAR || 'A>GT' ELSE CASE WHEN mm - 1 < 1 THEN 23 ELSE abs(mm - 1 - 1 - 23) END::VARCHAR || 'T>AC' END AS variant FROM hits")
+def f11_variant_in_spacer(hits):
+    return hits.select("id", seqf.variant_in_spacer(F.col("mm") - 1, F.lit("A"), F.lit("GT"), F.lit(0), F.col("strand"), F.lit(23)).alias("variant"))
+
+
+_WEIGHTS = "SELECT substr('ACGU', (k % 4 + 1)::INTEGER, 1) AS rna, substr('ACGT', (k // 4 % 4 + 1)::INTEGER, 1) AS dna, k // 16 + 1 AS pos, (k % 7 + 1) / 8.0 AS w FROM range(320) t(k)"
+
+
+@query(_PART + f", wt AS ({_WEIGHTS}), t AS (SELECT doc_id, pam2, unnest(range(1, 21)) AS pos, a, b FROM p), e AS (SELECT doc_id, pam2, CASE WHEN substr(a, t.pos, 1) = substr(b, t.pos, 1) THEN 1.0 ELSE coalesce(w, 1.0) END AS w FROM t LEFT JOIN wt ON wt.pos = t.pos AND wt.rna = replace(substr(a, t.pos, 1), 'T', 'U') AND wt.dna = translate(substr(b, t.pos, 1), 'ACGT', 'TGCA')) SELECT doc_id, round(product(w) * CASE pam2 WHEN 'GG' THEN 1.0 WHEN 'AG' THEN 0.25 ELSE 0 END, 6) AS score FROM e GROUP BY doc_id, pam2", "seqs")
+def f13_cfd_score(seqs):
+    k = F.col("id")
+    weights = seqs.sparkSession.range(320).select(F.substring(F.lit("ACGU"), (k % 4 + 1).cast("int"), F.lit(1)).alias("rna"), F.substring(F.lit("ACGT"), (F.floor(k / 4) % 4 + 1).cast("int"), F.lit(1)).alias("dna"), (F.floor(k / 16) + 1).cast("int").alias("pos"), ((k % 7 + 1) / F.lit(8.0)).alias("w"))
+    pams = seqs.sparkSession.range(2).select(F.when(k == 0, "GG").otherwise("AG").alias("pam"), F.when(k == 0, 1.0).otherwise(0.25).alias("w"))
+    rows = _parts(seqs).select(F.col("doc_id").alias("id"), F.col("a").alias("crrna"), F.col("b").alias("dna"), "pam2")
+    return search.cfd_score(rows, weights, pams, 6).select(F.col("id").alias("doc_id"), "score")
+
+
+@query(_PART + " SELECT doc_id, hamming(a, b)::INTEGER AS mm, length(regexp_replace(b, '[^GC]', '', 'g'))::INTEGER AS gc, len(list_filter(range(1, 21), lambda i: substr(a, i, 1) || substr(b, i, 1) IN ('AG', 'GA')))::INTEGER AS rr FROM p", "seqs")
+def f14_crista_features(seqs):
+    return _parts(seqs).select("doc_id", seqf.crista_features(F.col("a"), F.col("b")).alias("f")).select("doc_id", "f.mm", "f.gc", "f.rr")
+
+
+@query(" SELECT chrom, pos, sample_id, CASE WHEN g.chrom = 'chrX' AND sex = 'male' THEN 1 ELSE 2 END AS ploidy, CASE WHEN g.chrom = 'chrX' AND sex = 'male' THEN substr(gt, 1, 1) ELSE substr(gt, 1, 1) || ',' || substr(gt, 3, 1) END AS alleles FROM genotypes g JOIN samples USING (sample_id)", "genotypes samples")
+def f15_f16_alleles(g, samples):
+    n = gtf.ploidy(F.col("chrom"), F.col("sex"))
+    return g.join(samples, "sample_id").select("chrom", "pos", "sample_id", n.alias("ploidy"), F.array_join(gtf.parse_genotype(F.col("gt"), n), ",").alias("alleles"))
+
+
+@query(" SELECT id, least(mm / 10.0, 0.35)::DOUBLE AS least_af, CASE WHEN bulge = 0 THEN 'rs' || part ELSE 'rsx' END AS rsid FROM hits")
+def f18_min_maf_first_known(hits):
+    afs = F.array(F.lit("x"), (F.col("mm") / F.lit(10.0)).cast("string"), F.lit("0.35"))
+    ids = F.array(F.lit("NA"), F.when(F.col("bulge") == 0, F.concat(F.lit("rs"), "part")).otherwise("."), F.lit("rsx"))
+    return hits.select("id", gtf.min_maf(afs).alias("least_af"), gtf.first_known(ids).alias("rsid"))
+
+
+@query(", w AS (SELECT DISTINCT pos // 20 * 20 AS pos FROM hits), v AS (SELECT DISTINCT pos FROM hits WHERE chrom IN ('chr1', 'chr2')), n AS (SELECT w.pos AS window_id, count(v.pos)::INTEGER AS n_variants FROM w JOIN v ON v.pos >= w.pos AND v.pos < w.pos + 40 GROUP BY w.pos) SELECT * FROM n WHERE n_variants > 10")
+def g8_dense_regions(hits):
+    w = hits.select((F.floor(F.col("pos") / 20) * 20).alias("pos")).distinct().select(F.col("pos").alias("window_id"), F.lit("c").alias("chrom"), "pos")
+    v = hits.where("chrom in ('chr1', 'chr2')").select(F.lit("c").alias("chrom"), "pos", F.lit("A").alias("ref"), F.lit("G").alias("alt")).distinct()
+    return search.dense_windows(search.enrich_windows(w, v, 40), 10).select("window_id", "n_variants")
+
+
+@query(_PART + ", h AS (SELECT doc_id, a, substr(a, 1, 3) || 'G' || substr(a, 5, 20) AS hap FROM p) SELECT doc_id, hap AS hap_seq, hamming('ACGTACGTACGTACGTACGT', hap)::INTEGER AS mm FROM h WHERE hamming('ACGTACGTACGTACGTACGT', hap) <= 14", "seqs")
+def g9_apply_haplotype(seqs):
+    rows = _parts(seqs).select("doc_id", F.lit(100).cast("bigint").alias("pos"), F.col("a").alias("seq"), F.array(F.struct(F.lit(103).cast("bigint").alias("pos"), F.lit("G").alias("alt"))).alias("variants"))
+    return search.apply_haplotype(rows, "ACGTACGTACGTACGTACGT", 14).select("doc_id", "hap_seq", "mm")
+
+
+@query(_PART + " SELECT doc_id, hamming('ACGTACGTACGTACGTACGT', a)::INTEGER AS mm FROM p WHERE hamming('ACGTACGTACGTACGTACGT', a) <= 14", "seqs")
+def g10_reference_rows(seqs):
+    return search.reference_rows(_parts(seqs).select("doc_id", F.col("a").alias("seq")), "ACGTACGTACGTACGTACGT", 14).select("doc_id", "mm")
+
+
+@query(f", s AS (SELECT doc_id, {_DNA} AS s FROM seqs) SELECT doc_id::VARCHAR AS chrom, 7::BIGINT AS contig_start, substr(s, 8, 10) || 'ACGT' || substr(s, 21, 10) AS seq FROM s WHERE length(s) >= 40", "seqs")
+def g11_indel_windows(seqs):
+    tiles = _tiles(seqs).where(F.length("seq") >= 40)
+    v = tiles.select("chrom", F.lit(17).cast("bigint").alias("pos"), F.substring("seq", 18, 3).alias("ref"), F.lit("ACGT").alias("alt"))
+    return search.indel_windows(v, tiles, 10, 1 << 20).select("chrom", "contig_start", "seq")
+
+
+@query(None, "seqs bench")
+def g3_search_gapped(seqs, bench):
+    guides = bench.where("item_id < 10").select(F.substring(_dna(F.col("text")), 1, 20).alias("spacer"))
+    return search.search_gapped(_tiles(seqs), guides, 1 << 30, "NGG", 20, 1, 1, 1, 2)
+
+
+@query(_PAIRS + ", o AS (SELECT id, phased OR k = 1 AS phased, h1::INT + h2::INT AS h FROM f WHERE NOT (phased OR k = 1) OR h1 OR h2) SELECT id, count(*) || '|' || coalesce((CASE WHEN bool_and(phased) THEN sum(h) END)::BIGINT::VARCHAR, 'NA') || '|' || count(*) FILTER (phased AND h = 2) AS everyone FROM o GROUP BY id", "genotypes samples")
+def a26_population_companion(g, samples):
+    c = genotypes.population_companion(_pair_hits(g), g, samples)
+    return c.select("id", F.element_at("groups", F.lit("global")).alias("everyone"))
+
+
+@query(_WIN + " SELECT phase_state, count(*) AS n FROM o GROUP BY phase_state", "genotypes")
+def a27_phase_companion(g):
+    w = g.select(F.floor(F.col("pos") / 100).alias("window_id"), "sample_id", "pos", "alt", "gt")
+    return genotypes.phase_companion(genotypes.observed_haplotypes(w, 10)).groupBy("phase_state").agg(F.count("*").alias("n"))
+
+
+@query(" SELECT id, least(score, score_ref) AS af FROM hits")
+def a28_haplotype_af(hits):
+    return hits.select("id", genotypes.haplotype_af(F.array("score", F.lit(None).cast("double"), "score_ref")).alias("af"))
+
+
+@query(" SELECT id, alt, CASE alt WHEN 'G' THEN '1/0' ELSE '0/1' END AS gt FROM hits, (VALUES ('G'), ('T')) v(alt)")
+def v3_split_multiallelic(hits):
+    m = hits.select(F.col("id").alias("chrom"), F.lit(1).alias("pos"), F.lit("A").alias("ref"), F.array(F.lit("G"), F.lit("T")).alias("alts"), F.lit("s").alias("sample_id"), F.lit("1/2").alias("gt"))
+    return panel.split_multiallelic(m).select(F.col("chrom").alias("id"), "alt", "gt")
+
+
+@query(" SELECT id FROM hits WHERE chrom = 'chr1' UNION ALL SELECT id FROM hits WHERE chrom = 'chr2'")
+def u4_concat_tables(hits):
+    return sets.concat_tables([hits.where(F.col("chrom") == c).select("id") for c in ("chr1", "chr2")])
+
+
+@query(" SELECT guide, chrom, strand, mm::VARCHAR AS mm, total::VARCHAR AS total, origin, CASE WHEN total = 0 THEN 'Yes' ELSE 'No' END AS perfect_match, '-' AS samples FROM hits")
+def s10_curated(hits):
+    from ..sources.files import curated
+
+    rows = hits.withColumns({"aligned_alt": F.lit(None).cast("string"), "aligned_ref": F.lit(None).cast("string"), "samples": F.array().cast("array<string>")})
+    return curated(rows).select("guide", "chrom", "strand", "mm", "total", "origin", "perfect_match", "samples")
+
+
+@query(_PART + ", g AS (SELECT doc_id % 5 AS k, substr(a, 1, (doc_id % 5 + 1)::INTEGER) AS guide FROM p), n AS (SELECT 'shorter_than_motif' AS check, count(*) FILTER (length(guide) < 3) AS n FROM g UNION ALL SELECT 'several_lengths', count(DISTINCT length(guide)) FROM g) SELECT * FROM n WHERE n > 0", "seqs")
+def q3_check_guides(seqs):
+    g = _parts(seqs).select(F.substring(F.col("a"), F.lit(1), (F.col("doc_id") % 5 + 1).cast("int")).alias("guide"), F.lit("").alias("spacer"), F.lit("NGG").alias("pam"))
+    return quality.check_guides(g).select("check", "n")
+
+
+@query(" SELECT 'coordinates' AS check, count(*) AS n FROM hits WHERE mm > 3 HAVING count(*) > 0 UNION ALL SELECT 'label', count(*) FROM hits WHERE population LIKE '% %' HAVING count(*) > 0")
+def q6_check_features(hits):
+    lines = hits.select(F.concat_ws("\t", "chrom", F.col("mm"), F.lit(3), "population").alias("value"))
+    return quality.check_features(lines).select("check", "n")
