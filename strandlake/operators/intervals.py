@@ -36,20 +36,24 @@ def annotate_overlaps(hits: DataFrame, features: DataFrame, length: Column | int
     return hits.join(labels, "id", "left")
 
 
-def nearest_feature(hits: DataFrame, features: DataFrame, length: int = 1) -> DataFrame:
+def nearest_feature(hits: DataFrame, features: DataFrame, length: int = 1, width: int = 100_000) -> DataFrame:
     """``hits`` with the nearest feature's label and the signed distance (0 inside, negative before the hit); ties to the smaller label.
 
-    One ordered pass over the union of both: the running maximum of feature ends seen so far and the next start.
+    Ordered windows inside bins of ``width`` bases give the largest feature end so far and the next start; what lies in
+    other bins comes from one row for each bin, so that no task has to order a chromosome.
     """
     h = hits.select("chrom", F.col("pos").alias("at"), F.lit(1).alias("kind"), "id", F.lit(None).cast("bigint").alias("end"), F.lit(None).cast("string").alias("label"))
     f = features.select("chrom", F.col("start").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(hits.schema["id"].dataType).alias("id"), F.col("end").cast("bigint").alias("end"), "label")
-    rows = h.unionByName(f)
-    before = Window.partitionBy("chrom").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("chrom").orderBy(F.col("at").desc(), F.col("kind").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    # the feature before with the largest end, of equal ends the smaller label; the next feature with the smallest start
-    left = F.max(F.when(F.col("kind") == 0, F.struct(F.col("end").alias("end"), F.col("at").alias("start")))).over(before)
-    right = F.min(F.when(F.col("kind") == 0, F.struct(F.col("at").alias("start")))).over(after)
-    at = rows.withColumns({"_l": left, "_r": right}).where("kind = 1")
+    rows = h.unionByName(f).withColumn("_bin", F.floor(F.col("at") / F.lit(width)))
+    ends_ = F.when(F.col("kind") == 0, F.struct(F.col("end").alias("end"), F.col("at").alias("start")))
+    starts_ = F.when(F.col("kind") == 0, F.struct(F.col("at").alias("start")))
+    per = rows.groupBy("chrom", "_bin").agg(F.max(ends_).alias("_e"), F.min(starts_).alias("_s"))
+    order = Window.partitionBy("chrom").orderBy("_bin")
+    carry = per.select("chrom", "_bin", F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_ce"), F.min("_s").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_cs"))
+    before = Window.partitionBy("chrom", "_bin").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("chrom", "_bin").orderBy(F.col("at").desc(), F.col("kind").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    at = rows.withColumns({"_l": F.max(ends_).over(before), "_r": F.min(starts_).over(after)}).where("kind = 1").join(carry, ["chrom", "_bin"])
+    at = at.withColumns({"_l": F.greatest("_l", "_ce"), "_r": F.least("_r", "_cs")})
     dl = F.greatest(F.lit(0), F.col("at") - F.col("_l.end") + 1)
     dr = F.greatest(F.lit(0), F.col("_r.start") - (F.col("at") + length) + 1)
     pick = at.select("id", "chrom", F.when(F.col("_l").isNotNull() & (F.col("_r").isNull() | (dl <= dr)), -dl).when(F.col("_r").isNotNull(), dr).alias("distance"), F.col("_l.end").alias("_end"), F.col("_r.start").alias("_start"))
@@ -85,15 +89,19 @@ def asof_match(a: DataFrame, b: DataFrame, by: list[str], on: str, tolerance: in
     """Each row of ``a`` with its nearest row of ``b`` within ``tolerance`` and equal ``by``, each ``b`` claimed once; unmatched ``b`` follow.
 
     Result: by, id_a, on_a, id_b, on_b, origin (both, a_only, b_only). Of equal distances the earlier ``b`` is nearest,
-    and of several claims the closest, then the smallest (on, id), stays; the others become a_only. One union and two
-    windows over (by), no pair is formed.
+    and of several claims the closest, then the smallest (on, id), stays; the others become a_only. Rows are ordered
+    inside bins; each ``b`` also stands in the neighbouring bins that its tolerance reaches, so a group of equal ``by``
+    may be of any size, and no pair is formed.
     """
-    ra = a.select(*by, F.col(on).alias("_on"), F.lit(1).alias("_kind"), F.col(id_).alias("_id"))
+    width = F.lit(max(1, 64 * tolerance))
+    bin_ = lambda x: F.floor(x / width)
+    ra = a.select(*by, F.col(on).alias("_on"), F.lit(1).alias("_kind"), F.col(id_).alias("_id")).withColumn("_bin", bin_(F.col("_on")))
     rb = b.select(*by, F.col(on).alias("_on"), F.lit(0).alias("_kind"), F.col(id_).alias("_id"))
-    rows = ra.unionByName(rb)
+    near_b = rb.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_(F.col("_on") - tolerance), bin_(F.col("_on")), bin_(F.col("_on") + tolerance)))))
+    rows = ra.unionByName(near_b)
     mark = F.when(F.col("_kind") == 0, F.struct(F.col("_on").alias("on"), F.col("_id").alias("id")))
-    prev = F.last(mark, ignorenulls=True).over(Window.partitionBy(*by).orderBy("_on", "_kind", F.col("_id").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.last(mark, ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.col("_on").desc(), F.col("_kind"), F.col("_id").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    prev = F.last(mark, ignorenulls=True).over(Window.partitionBy(*by, "_bin").orderBy("_on", "_kind", F.col("_id").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    nxt = F.last(mark, ignorenulls=True).over(Window.partitionBy(*by, "_bin").orderBy(F.col("_on").desc(), F.col("_kind"), F.col("_id").desc()).rowsBetween(Window.unboundedPreceding, 0))
     near = rows.withColumns({"_p": prev, "_n": nxt}).where("_kind = 1")
     gp, gn = F.col("_on") - F.col("_p.on"), F.col("_n.on") - F.col("_on")
     chosen = F.when(F.col("_p").isNotNull() & (F.col("_n").isNull() | (gp <= gn)), F.col("_p")).otherwise(F.col("_n"))
