@@ -65,13 +65,13 @@ def identify(docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", sco
     ``und`` and 0 where the text is null or has no letter, and where the model learned no language. Every byte of the
     text is covered by a window. Other columns pass through unless they have one of the two names.
     """
-    keep = [c for c in docs.columns if c not in (pred, score, "_letter")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    keep = [c for c in docs.columns if c not in (pred, score)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__language_letter"))
     languages = [*model.languages, "und"]
 
     def apply(batches):
         for batch in small_batches(batches, "text"):
-            letter = np.asarray(batch.column(batch.schema.get_field_index("_letter")).to_numpy(zero_copy_only=False), bool)
+            letter = np.asarray(batch.column(batch.schema.get_field_index("__language_letter")).to_numpy(zero_copy_only=False), bool)
             best, p = np.full(batch.num_rows, len(languages) - 1), np.zeros(batch.num_rows)
             if model.languages and letter.any():
                 raw, starts, ends = text_bytes(batch.column(batch.schema.get_field_index("text")))
@@ -79,7 +79,7 @@ def identify(docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", sco
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([languages[i] for i in best], pa.string()), pa.array(p)], names)
 
     names = [*keep, pred, score]
-    schema = with_fields(rows.drop("_letter").schema, **{pred: "string", score: "double"})
+    schema = with_fields(rows.drop("__language_letter").schema, **{pred: "string", score: "double"})
     return rows.mapInArrow(apply, schema)
 
 

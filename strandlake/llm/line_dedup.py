@@ -122,15 +122,15 @@ def dedup_lines(docs: DataFrame, edits: int = 1, text: str = "text", gone: str =
     See ``repeated_lines`` for what goes; the earliest of each stays. Blank lines never go. Rows with a null doc_id or
     text, or an empty text, are returned as they are, with 0. Other columns pass through unless one is named as ``gone``.
     """
-    keep = [c for c in docs.columns if c not in (gone, "_version", "_drop")]
-    drop = repeated_lines(docs.select("doc_id", F.col(f"`{text}`").alias("text")), edits).groupBy("doc_id", "version").agg(F.collect_list("line").alias("_drop"))
-    drop = drop.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "_drop")
+    keep = [c for c in docs.columns if c != gone]
+    drop = repeated_lines(docs.select("doc_id", F.col(f"`{text}`").alias("text")), edits).groupBy("doc_id", "version").agg(F.collect_list("line").alias("__lines_drop"))
+    drop = drop.select(F.col("doc_id").alias("__lines_id"), F.col("version").alias("__lines_version"), "__lines_drop")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
-    rows = rows.join(drop.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_version")), "left")
-    kept = F.filter(pieces(F.col(f"`{text}`")), lambda p, i: ~F.array_contains("_drop", i))
+    rows = rows.join(drop.hint("shuffle_hash"), (F.col("doc_id") == F.col("__lines_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__lines_version")), "left")
+    kept = F.filter(pieces(F.col(f"`{text}`")), lambda p, i: ~F.array_contains("__lines_drop", i))
     joined = F.array_join(F.transform(kept, lambda p: F.concat(p["glue"], p["t"])), "")
     clean = F.when(F.get(kept, F.lit(0))["glue"] == "\n", F.substring(joined, F.lit(2), F.length(joined))).otherwise(joined)
-    return rows.select(*[F.when(F.col("_drop").isNull(), F.col(f"`{c}`")).otherwise(clean).alias(c) if c == text else F.col(f"`{c}`") for c in keep], F.coalesce(F.size("_drop"), F.lit(0)).alias(gone))
+    return rows.select(*[F.when(F.col("__lines_drop").isNull(), F.col(f"`{c}`")).otherwise(clean).alias(c) if c == text else F.col(f"`{c}`") for c in keep], F.coalesce(F.size("__lines_drop"), F.lit(0)).alias(gone))
 
 
 def oracle() -> str:

@@ -128,6 +128,18 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
 
 
+def test_other_columns_pass_through(spark):
+    d = spark.createDataFrame([(1, "one line here\none line here", "v", "d", "i", 7, "x")], "doc_id long, text string, _version string, _drop string, _id string, line int, lines_gone string")
+    r = line_dedup.dedup_lines(d).first()
+    assert (r["text"], r["_version"], r["_drop"], r["_id"], r["line"], r["lines_gone"]) == ("one line here", "v", "d", "i", 7, 1)
+    e = spark.createDataFrame([(1, "words here", "a", 5, "n", "z")], "doc_id long, text string, _letter string, item_id int, words string, sig1 string")
+    got = language_id.identify(e, language_id.LanguageModel(None, ["en"])).first()
+    assert (got["_letter"], got["words"], got["lang_pred"]) == ("a", "n", "en")
+    assert ngram_join.keep_one(e).first()["sig1"] == "z"
+    bench = spark.createDataFrame([(1, "not in any document of this test at all", "q")], "item_id long, text string, words string")
+    assert decontaminate.find_leaks(e, bench).first()["sig1"] == "z"
+
+
 def within_one(a, b):
     return a == b or (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1) or (abs(len(a) - len(b)) == 1 and any((max(a, b, key=len)[:i] + max(a, b, key=len)[i + 1 :]) == min(a, b, key=len) for i in range(max(len(a), len(b)))))
 
