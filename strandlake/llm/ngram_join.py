@@ -94,56 +94,79 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Sets of ranked n-grams as a prefix tree, level by level.
+    """Sets of ranked n-grams as a prefix tree whose unbranched paths are one edge.
 
-    Each node knows its parent, its n-gram and the range of sizes of the sets below it.
+    Each node knows its parent, the n-grams of its edge and the range of sizes of the sets below it. Nodes are kept
+    level by level, so that a search takes one vectorised step for each level of branching.
     """
 
     def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(s) for s in sets])
-        node = np.zeros(len(sets), np.int64)
-        self.levels, self.ends = [], []
-        active = np.arange(len(sets))
-        depth = 0
-        while True:
-            done = active[size[active] == depth]
-            self.ends.append((done, node[done]))
-            active = active[size[active] > depth]
-            if not len(active):
-                break
-            gram = np.array([sets[i][depth] for i in active])
-            key = np.stack([node[active], gram])
-            uniq, at = np.unique(key, axis=1, return_inverse=True)
-            at = at.reshape(-1)
-            low = np.full(uniq.shape[1], np.iinfo(np.int64).max)
-            np.minimum.at(low, at, size[active])
-            high = np.zeros(uniq.shape[1], np.int64)
-            np.maximum.at(high, at, size[active])
-            self.levels.append((uniq[0], uniq[1], low, high))
-            node[active] = at
-            depth += 1
-
-    def search(self, query: np.ndarray, universe: int, num: int, den: int) -> list[int]:
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
+        parent, start, end, source, term = [0], [0], [0], [order[0]], np.zeros(len(sets), np.int64)
+        stack, before = [0], None
+        for i in order:
+            own = sets[i]
+            shared = 0
+            if before is not None:
+                n = min(len(own), len(before))
+                differ = own[:n] != before[:n]
+                shared = int(differ.argmax()) if differ.any() else n
+            last = 0
+            while end[stack[-1]] > shared:
+                last = stack.pop()
+            if end[stack[-1]] < shared:  # the edge to ``last`` branches here
+                parent.append(stack[-1]), start.append(end[stack[-1]]), end.append(shared), source.append(source[last])
+                parent[last], start[last] = len(parent) - 1, shared
+                stack.append(len(parent) - 1)
+            if len(own) > shared:
+                parent.append(stack[-1]), start.append(shared), end.append(len(own)), source.append(i)
+                stack.append(len(parent) - 1)
+            term[i] = stack[-1]
+            before = own
+        self.parent, self.end = np.array(parent), np.array(end)
+        self.size = np.array([len(x) for x in sets])
+        count = len(parent)
+        self.low, self.high = np.full(count, np.iinfo(np.int64).max), np.zeros(count, np.int64)
+        np.minimum.at(self.low, term, self.size)
+        np.maximum.at(self.high, term, self.size)
+        downward = np.argsort(np.array(start), kind="stable")
+        downward = np.concatenate([[0], downward[downward != 0]])
+        level = np.zeros(count, np.int64)
+        for k in downward[1:]:
+            level[k] = level[self.parent[k]] + 1
+        for k in downward[:0:-1]:
+            q = self.parent[k]
+            self.low[q], self.high[q] = min(self.low[q], self.low[k]), max(self.high[q], self.high[k])
+        self.levels = [np.flatnonzero(level == d) for d in range(1, int(level.max()) + 1)]
+        edges = [sets[source[k]][start[k] : end[k]] for k in range(count)]
+        self.width = np.array([len(x) for x in edges])
+        self.first = np.cumsum(self.width) - self.width
+        self.grams = np.concatenate(edges)
+        self.term = term
+
+    def search(self, query: np.ndarray, universe: int, num: int, den: int) -> np.ndarray:
         """The sets with |a & b| / |a | b| >= num / den; subtrees go as soon as their bound is below it."""
-        has = np.zeros(universe, bool)
-        has[query] = True
+        has = np.zeros(universe, np.int32)
+        has[query] = 1
         before = np.concatenate([[0], np.cumsum(has)])  # n-grams of the query up to each rank
-        found, overlap, alive = [], np.zeros(1, np.int64), np.ones(1, bool)
-        for depth in range(len(self.levels) + 1):
-            done, at = self.ends[depth]
-            if len(done):
-                both = overlap[at]
-                ok = alive[at] & (den * both >= num * (len(query) + depth - both))
-                found += done[ok].tolist()
-            if depth == len(self.levels) or not alive.any():
-                break
-            parent, gram, low, high = self.levels[depth]
-            now = overlap[parent] + has[gram]
-            rest = np.minimum(high - depth - 1, len(query) - before[gram + 1])
-            # Overlap c suffices for size s if (den + num) c >= num (|q| + s); the smallest size below asks least.
-            alive = alive[parent] & ((den + num) * (now + rest) >= num * (len(query) + low)) & (den * high >= num * len(query)) & (num * low <= den * len(query))
-            overlap = now
-        return found
+        n = len(query)
+        overlap, alive = np.zeros(len(self.parent), np.int64), np.zeros(len(self.parent), bool)
+        alive[0] = True
+        for nodes in self.levels:
+            some = nodes[alive[self.parent[nodes]]]
+            some = some[(den * self.high[some] >= num * n) & (num * self.low[some] <= den * n)]
+            if not len(some):
+                continue
+            width = self.width[some]
+            at = np.cumsum(width) - width
+            grams = self.grams[np.repeat(self.first[some] - at, width) + np.arange(int(width.sum()))]
+            now = overlap[self.parent[some]] + np.add.reduceat(has[grams], at)
+            rest = np.minimum(self.high[some] - self.end[some], n - before[grams[at + width - 1] + 1])
+            overlap[some] = now
+            # Overlap c suffices for size s if (den + num) c >= num (n + s); the smallest size below asks least.
+            alive[some] = (den + num) * (now + rest) >= num * (n + self.low[some])
+        both = overlap[self.term]
+        return np.flatnonzero(alive[self.term] & (den * both >= num * (n + self.size - both)))
 
 
 def link_forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
