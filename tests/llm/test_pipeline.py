@@ -50,3 +50,12 @@ def test_pipeline(spark, tmp_path):
         want |= {(i, k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))}
     got = corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).collect()
     assert {tuple(x)[:5] for x in got} == want and len(got) == len(want)
+
+
+def test_near_copies_between_the_limits(spark):
+    words = [f"w{i}" for i in range(200)]
+    edited = [f"other{i}" if i in (30, 70, 110, 150) else w for i, w in enumerate(words)]
+    further = [f"more{i}" if i in (20, 50, 80, 120, 160) else w for i, w in enumerate(words)]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(further))], "doc_id long, text string")
+    # Five-word Jaccard to the first: 176/216 = 0.815 and 171/221 = 0.774; four-word: 181/213 = 0.8498.
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, d, "").collect()) == [1, 3]
