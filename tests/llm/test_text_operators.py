@@ -229,6 +229,41 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(d.limit(0), bench).count() == 0
 
 
+def test_verbatim_leaks_are_found_whatever_their_words(spark):
+    r = random.Random(5)
+    common = [f"com{i}" for i in range(30)]
+    rare = [f"rare{i}" for i in range(4000)]
+    say = lambda n: " ".join(r.choice(common) if r.random() < 0.6 else r.choice(rare) for _ in range(n))
+    stop = " ".join(r.choice(common) for _ in range(20))  # every word is common
+    short = " ".join([*r.sample(rare, 2), *r.sample(common, 3)])
+    wide = " ".join(f"wide{i}" for i in range(10))  # leaks into every third text
+    others = [" ".join(r.choice(rare) for _ in range(40)) for _ in range(150)]  # outweigh the short item in its window
+    items = [stop, short, wide, *others]
+    clean = [say(150) for _ in range(600)]
+    copies = [f"{say(6)} {wide} {say(6)}" for _ in range(300)]
+    dirty = [f"{say(50)} {stop} {say(50)}", f"{' '.join(r.choices(' '.join(others).split(), k=20))} {short} {' '.join(r.choices(' '.join(others).split(), k=20))}", stop, short]
+    one_changed = stop.split()
+    one_changed[9] = "else"
+    d = docs(spark, *clean, *copies, *dirty, f"{say(40)} {' '.join(one_changed)} {say(30)}")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {x["doc_id"]: x["item_id"] for x in decontaminate.find_leaks(d, bench).collect()}
+    n, m = len(clean), len(clean) + len(copies)
+    assert [got[i] for i in range(1, n + 1)] == [None] * n
+    assert [got[i] for i in range(n + 1, m + 1)] == [2] * len(copies)
+    assert [got[m + i] for i in range(1, 6)] == [0, 1, 0, 1, 0]
+
+
+def test_runs_of_benchmark_pieces():
+    r = np.random.default_rng(3)
+    for size in range(1, decontaminate.PIECE + 1):
+        words = r.integers(0, 1 << 63, size).astype(np.uint64)
+        index = decontaminate.RunIndex([words])
+        for at in range(0, size + 1, 5):
+            text = np.concatenate([r.integers(0, 1 << 63, at).astype(np.uint64), words, r.integers(0, 1 << 63, 7).astype(np.uint64)])
+            rows, pieces, starts = index.find(np.zeros(len(text), np.int64), text)
+            assert (rows.tolist(), pieces.tolist(), starts.tolist()) == ([0], [0], [at])
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(200):
