@@ -9,20 +9,18 @@ from .common import materialize
 
 #: Lines of fewer characters must be equal to count as repeated; longer ones may differ by one edit.
 EDIT_FROM = 16
-#: Longer lines are treated as consecutive pieces of so many characters, which bounds the neighbourhood of each.
+#: From this length on, deletion variants are made only of the short segment in which two lines can differ.
+LONG = 4096
+#: Characters of such a segment, and how many segments a longer one is cut into at a time.
+SEGMENT, CUT = 256, 16
+#: The SQL below still cuts longer lines into pieces of so many characters.
 PIECE = 4096
 #: Words of 64 bits of the filter that keeps most documents out of the shuffle that fetches candidate lines.
 FILTER_WORDS = 1 << 17
 
 
-def pieces(text: Column) -> Column:
-    """The lines of a text as an array of (glue, t): the parts of a line longer than PIECE follow without a newline."""
-    piece = lambda glue, t: F.named_struct(F.lit("glue"), glue, F.lit("t"), t)
-    whole = lambda line: piece(F.lit("\n"), line)
-    cut = lambda line: F.transform(F.sequence(F.lit(0), F.floor((F.length(line) - 1) / F.lit(PIECE)).cast("int")), lambda i: piece(F.when(i == 0, "\n").otherwise(""), F.substring(line, i * PIECE + 1, F.lit(PIECE))))
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    short = F.transform(lines, whole)
-    return F.when(F.length(text) <= PIECE, short).otherwise(F.flatten(F.transform(lines, lambda line: F.when(F.length(line) > PIECE, cut(line)).otherwise(F.array(whole(line))))))
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 def _hash(*parts) -> Column:
@@ -30,9 +28,9 @@ def _hash(*parts) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each piece that is not blank, by its place; of its text only hashes."""
-    t = F.trim(F.col("p.t"))
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(pieces(F.col("text"))).alias("line", "p"))
+    """A row for each line that is not blank, by its place."""
+    t = F.trim(F.col("p"))
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(split_lines(F.col("text"))).alias("line", "p"))
     return rows.select("doc_id", "version", "line", t.alias("t")).where("t != ''")
 
 
@@ -72,7 +70,8 @@ def repeated_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
     long = groups.where("keys is not null")
     near = long.join(_sharing(long, F.col("keys")), ["h1", "h2"])
     places = materialize(near.select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), F.col("first.version").alias("version")), "near")
-    fetched = materialize(_fetch(docs, places), "fetched")
+    every = materialize(_fetch(docs, places), "fetched")
+    fetched = every.where(n <= LONG)
     closer = fetched.join(_sharing(fetched, _segment_keys(t, n, 16)), ["h1", "h2"], "left_semi")
     variants = materialize(_variants(closer), "variants")
 
@@ -88,6 +87,7 @@ def repeated_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
         changed.where((F.col("hub.first") < F.col("first")) & within(F.col("t"), F.col("hub.t"))).select("h1", "h2")
         .union(longer.where((F.col("ff") < F.col("first")) & within(F.col("t"), F.col("ft"))).select("h1", "h2"))
         .union(shorter.where((F.col("hub.first") < F.col("ff")) & within(F.col("hub.t"), F.col("ft"))).select("fh1", "fh2"))
+        .union(_near_long(every.where(n >= LONG)))
         .distinct()
     )
     return repeats.union(lines.join(gone, ["h1", "h2"], "left_semi").select("doc_id", "version", "line")).distinct()
@@ -100,8 +100,49 @@ def _fetch(docs: DataFrame, places: DataFrame) -> DataFrame:
     some = docs.select("doc_id", "text", slot, bit).join(F.broadcast(bits), "slot").where(F.getbit("bits", F.col("bit")) == 1).select("doc_id", "text", F.xxhash64("text").alias("version"))
     wanted = places.groupBy("doc_id", "version").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted"))
     rows = some.dropDuplicates(["doc_id", "version"]).join(wanted.hint("shuffle_hash"), ["doc_id", "version"])
-    rows = rows.select("doc_id", "version", pieces(F.col("text")).alias("p"), F.explode("wanted").alias("x"))
-    return rows.select("x.h1", "x.h2", F.struct("doc_id", F.col("x.line").alias("line"), "version").alias("first"), F.trim(F.get("p", F.col("x.line"))["t"]).alias("t"))
+    rows = rows.select("doc_id", "version", split_lines(F.col("text")).alias("p"), F.explode("wanted").alias("x"))
+    return rows.select("x.h1", "x.h2", F.struct("doc_id", F.col("x.line").alias("line"), "version").alias("first"), F.trim(F.get("p", F.col("x.line"))).alias("t"))
+
+
+def _near_long(lines: DataFrame) -> DataFrame:
+    """h1, h2 of the long lines that are within one edit of an earlier one.
+
+    Each row has a line's segment ``m`` outside of which it agrees with another line, as ``k1`` and ``k2`` tell, and
+    ``more``, 1 if a character is to be left out of it and 0 if not. Segments are cut again until they are short.
+    """
+    hashes = lambda *x: (F.xxhash64(F.lit(1), *x), F.xxhash64(F.lit(2), *x))
+    n = F.length("t").cast("int")
+    state = lines.select("h1", "h2", "first", F.col("t").alias("m"), F.explode(F.array(*[F.struct((n - k).alias("k1"), F.lit(0).alias("k2"), F.lit(k).alias("more")) for k in (0, 1)])).alias("x"))
+    state = state.select("h1", "h2", "first", F.col("x.k1").cast("long").alias("k1"), F.col("x.k2").cast("long").alias("k2"), "x.more", "m")
+    longest = lines.agg(F.max(n)).first()[0] or 0
+    while longest > SEGMENT:
+        size = F.length("m") - F.col("more")
+        cuts = []
+        for j in range(CUT):
+            a, b = (F.floor(size * i / F.lit(CUT)).cast("int") for i in (j, j + 1))
+            k1, k2 = hashes("k1", "k2", F.lit(j), F.substring("m", F.lit(1), a), F.right(F.col("m"), size - b))
+            cuts.append(F.struct(k1.alias("k1"), k2.alias("k2"), F.substring(F.col("m"), a + 1, b - a + F.col("more")).alias("m")))
+        each = state.select("h1", "h2", "first", "more", F.explode(F.array(*cuts)).alias("x")).select("h1", "h2", "first", "x.k1", "x.k2", "more", "x.m")
+        each = materialize(each, "segments")
+        # Only rows with the same number of characters left after leaving out can meet, and the key holds that number.
+        shared = each.groupBy("k1", "k2").agg(F.count("*").alias("k"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("k > 1 and lo != hi").select("k1", "k2")
+        state = materialize(each.join(shared, ["k1", "k2"], "left_semi"), "sharing")
+        longest = -(-longest // CUT) + 1
+
+    m = F.col("m")
+    out = lambda i: F.concat(F.substring(m, F.lit(1), i - 1), F.substring(m, i + 1, F.length(m)))
+    key = lambda *x: F.struct(*[c.alias(f"v{i}") for i, c in enumerate(hashes("k1", "k2", *x), 1)])
+    places = F.sequence(F.lit(1), F.greatest(F.length(m), F.lit(1)))
+    # One change: equal length, equal without the character at one place. One put in: the longer without one is the other.
+    changed = F.transform(places, lambda i: key(i, out(i)))
+    left = F.array_distinct(F.when(F.col("more") == 1, F.transform(places, lambda i: key(F.lit(0), out(i)))).otherwise(F.array(key(F.lit(0), m))))
+    same = state.where("more = 0").select("h1", "h2", "first", F.lit(0).alias("more"), F.explode(changed).alias("v"), F.lit(True).alias("one"))
+    other = state.select("h1", "h2", "first", "more", F.explode(left).alias("v"), F.lit(False).alias("one"))
+    rows = materialize(same.union(other).select("h1", "h2", "first", "more", "one", "v.v1", "v.v2"), "long-variants")
+    # Of the longer lines the earliest counts for the shorter, and the other way round.
+    hubs = rows.groupBy("v1", "v2", "one").agg(F.min(F.when(F.col("more") == 0, F.col("first"))).alias("plain"), F.min(F.when(F.col("more") == 1, F.col("first"))).alias("longer"), F.count("*").alias("k")).where("k > 1")
+    met = rows.join(hubs, ["v1", "v2", "one"])
+    return met.where(F.when(F.col("one") | (F.col("more") == 1), F.col("plain")).otherwise(F.col("longer")) < F.col("first")).select("h1", "h2")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -127,9 +168,7 @@ def dedup_lines(docs: DataFrame, edits: int = 1, text: str = "text", gone: str =
     drop = drop.select(F.col("doc_id").alias("__lines_id"), F.col("version").alias("__lines_version"), "__lines_drop")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
     rows = rows.join(drop.hint("shuffle_hash"), (F.col("doc_id") == F.col("__lines_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__lines_version")), "left")
-    kept = F.filter(pieces(F.col(f"`{text}`")), lambda p, i: ~F.array_contains("__lines_drop", i))
-    joined = F.array_join(F.transform(kept, lambda p: F.concat(p["glue"], p["t"])), "")
-    clean = F.when(F.get(kept, F.lit(0))["glue"] == "\n", F.substring(joined, F.lit(2), F.length(joined))).otherwise(joined)
+    clean = F.array_join(F.filter(split_lines(F.col(f"`{text}`")), lambda p, i: ~F.array_contains("__lines_drop", i)), "\n")
     return rows.select(*[F.when(F.col("__lines_drop").isNull(), F.col(f"`{c}`")).otherwise(clean).alias(c) if c == text else F.col(f"`{c}`") for c in keep], F.coalesce(F.size("__lines_drop"), F.lit(0)).alias(gone))
 
 

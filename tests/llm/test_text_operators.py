@@ -159,6 +159,29 @@ def test_lines_equal_brute_force(spark):
     assert got == want
 
 
+def test_long_lines_are_compared_whole(spark):
+    r = random.Random(9)
+    base = ["".join(r.choice("abcdef ghij") for _ in range(n)).strip() + "z" for n in (5000, 4097, 20000, 70000)]
+    put = lambda s, i, x, gone=0: s[:i] + x + s[i + gone :]
+    texts = [*base]
+    for s in base:
+        n = len(s)
+        texts += [put(s, 3, "Q"), put(s, n // 2, "", 1), put(s, n - 2, "Q", 1), put(s, 0, "Q"), put(s, n, "Q"), put(put(s, 9, "R"), n // 3, "R")]
+    texts += [base[0], "prefix " + base[2], base[1][:4096] + "other end of the line", "a" * 6000, "a" * 6001, "a" * 6003, base[1][:4095]]
+    texts = [f"keep {i} of many words here {i * 7919}\n{t}" for i, t in enumerate(texts)]
+    lines = [t.split("\n")[1].strip() for t in texts]
+    got = {x["doc_id"]: (x["text"], x["lines_gone"]) for x in line_dedup.dedup_lines(docs(spark, *texts)).collect()}
+
+    def near(a, b):
+        a, b = sorted((a, b), key=len)
+        i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        return a == b or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :]) or (len(a) + 1 == len(b) and a[i:] == b[i + 1 :])
+
+    want = [any(near(t, u) for u in lines[:i]) for i, t in enumerate(lines)]
+    assert [got[i + 1] for i in range(len(texts))] == [(t.split("\n")[0], 1) if gone else (t, 0) for t, gone in zip(texts, want, strict=True)]
+    assert 20 < sum(want) < len(want) - 8
+
+
 # --- near copies -------------------------------------------------------------------------------------------------
 
 
