@@ -254,6 +254,26 @@ def test_gapped_search_equals_exhaustive_alignment(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 3
 
 
+def test_registered_gapped_search_takes_every_guide(spark):
+    from strandlake.plans.queries import g3_search_gapped
+
+    letters, comp = str.maketrans("ACGT", "abcd"), str.maketrans("ACGT", "TGCA")
+    guides = {3: "ACGTACGATCGATTACCTGA", 10: "TTGACCATGCATCAGTACCA", 57: "CATCATGTTACGACTTGCAC", 199: "GGATTACATACCTGTCAATC"}
+    texts = {i: "TTTT" + g + "TGG" + "CAT" + g[:9] + g[10:] + "AGG" + "TTA" for i, g in guides.items()}
+    bench = spark.createDataFrame([(i, g.translate(letters)) for i, g in guides.items()], "item_id long, text string")
+    seqs = spark.createDataFrame([(i, t.translate(letters)) for i, t in texts.items()], "doc_id long, text string")
+    want = set()
+    for doc, seq in texts.items():
+        for size in (19, 20, 21):
+            for i in range(len(seq) - size - 2):
+                w = seq[i : i + size + 3]
+                for strand, s in (("+", w), ("-", w.translate(comp)[::-1])):
+                    if s[-2:] == "GG":
+                        want |= {(g, str(doc), i, strand, *x) for g in guides.values() for x in search.alignments(g, s[:-3], 1, 1, 1, 2)}
+    got = [(r["guide"], r["chrom"], r["pos"], r["strand"], r["crrna"], r["dna"], r["mm"], r["bulge_dna"], r["bulge_rna"]) for r in g3_search_gapped(seqs, bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {x[0] for x in got} == set(guides.values())
+
+
 def test_haplotypes_put_into_windows(spark):
     w = spark.createDataFrame([(1, 10, "ACGTTGG", [(11, "T"), (13, "A")])], "window_id long, pos long, seq string, variants array<struct<pos:long,alt:string>>")
     r = search.apply_haplotype(w, "ATGATGG", 0, "NGG").first()
