@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bytenet import ByteNet, mean_logits, spread_windows
 from .common import remainder, small_batches, text_bytes, with_fields
@@ -29,23 +30,28 @@ class LanguageModel:
         return best, p[np.arange(len(p)), best]
 
 
-def train(docs: DataFrame, held_out=None, max_docs: int = 3000, per_doc: int = 3) -> LanguageModel:
+def train(docs: DataFrame, held_out=None, max_docs: int = 3000, per_doc: int = 3, max_languages: int = 500) -> LanguageModel:
     """A model of the columns ``text`` and ``lang``.
 
-    Learns from at most about ``max_docs`` documents (drawn by a hash of the text, the same share of the bound for
-    each language) and ``per_doc`` windows of each, spread over the whole text: this bound keeps the driver's
-    memory fixed. Rows where ``held_out`` is true, and those with a null text or lang, are never used.
+    Learns from at most ``max_docs`` different texts (8 for each language at least), the same number of each language
+    as far as it has them, and ``per_doc`` windows of each, spread over the whole text: this bound keeps the driver's
+    memory fixed. Of each language those texts are drawn whose hash is smallest, however many copies they have. Rows
+    where ``held_out`` is true, and those with a null text or lang, are never used. More than ``max_languages``
+    values of ``lang`` are refused with an error.
     """
     rows = docs.select("text", "lang", *([held_out.alias("_out")] if held_out is not None else [])).where("text is not null and lang is not null and text != ''")
     if held_out is not None:
         rows = rows.where("not coalesce(_out, false)")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(counts)
+    rows = rows.select("text", "lang", F.xxhash64("text").alias("h"))
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().take(max_languages + 1))
+    if len(languages) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if len(languages) < 2:
         return LanguageModel(None, languages)
     each = max(8, max_docs // len(languages))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, each / counts[k]))])
-    drawn = rows.where((F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)) < share[F.col("lang")]).select("text", "lang")
+    smallest = Window.partitionBy("lang").orderBy("h")
+    chosen = rows.select("lang", "h").distinct().withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= each).select("lang", "h")
+    drawn = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
     index = {k: i for i, k in enumerate(languages)}
 
     def cut(batches):
