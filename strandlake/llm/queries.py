@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import scratch
 from . import decontaminate, language_id, licenses, line_dedup, ngram_join, packing, quality, secrets, topk, url_rules
 
 QUERIES, ORACLES = {}, {}
@@ -45,8 +46,10 @@ ORACLES["op3_license_scan"] = licenses.oracle()
 
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a new ledger for each run: one that is kept would leave a second run nothing to scan."""
     versions = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    return secrets.digest(secrets.findings_by_path(versions, secrets.scan_blobs(versions)))
+    ledger = secrets.update_ledger(versions, scratch(spark, "ledger"))
+    return secrets.digest(secrets.findings_by_path(versions, ledger))
 
 
 ORACLES["op9_secret_scan"] = secrets.oracle()

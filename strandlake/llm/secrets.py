@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,7 @@ RULES = (
     Rule("github", "gh[oprsu]_[A-Za-z0-9]{36,}", needs=("gho_", "ghp_", "ghr_", "ghs_", "ghu_")),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", needs=("xox",)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs=("eyJ",)),
-    Rule("url_login", r"://[^\x00-\x20/:@]{1,99}:[^\x00-\x20/:@]{1,99}@", needs=("://",)),
+    Rule("url_login", r"://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@", needs=("://",)),
 )
 BASE = ("assign", "access", "hex")
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("version", T.IntegerType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
@@ -90,20 +91,45 @@ def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES
     return spans.groupBy("blob", "rule").agg(F.array_sort(F.collect_list(F.when(F.col("stays"), F.struct("start", "end")))).alias("spans")).select("blob", "rule", version[F.col("rule")].alias("version"), "spans")
 
 
+def update_ledger(versions: DataFrame, path: str, rules=RULES) -> DataFrame:
+    """The ledger at ``path`` (a folder that all executors share) after it has taken in ``versions``.
+
+    Reads the ledger if there is one, scans the pairs of blob and rule version that it lacks, and appends them. A second
+    call with the same versions and rules scans nothing.
+    """
+    spark = versions.sparkSession
+    ledger = None
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    scan_blobs(versions, ledger, rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+#: Parts into which the paths of one blob are dealt when findings are joined to them.
+SALTS = 16
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
     """Each row of ``versions`` (without content) with the findings of its blob.
 
-    Adds ``findings``: an array of (start, order, kind, end), sorted, over the present rule versions. Copies of one
-    blob, however many, are joined with one ledger row each; empty array where nothing was found.
+    Adds ``findings``: an array of (start, order, kind, end), sorted, over the present rule versions; empty where
+    nothing was found. A column of that name is replaced, others pass through. The paths of one blob, however many, are
+    dealt into SALTS parts by their other columns, and the findings, which few blobs have, go to each part.
     """
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     version = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
     hits = ledger.where((F.size("spans") > 0) & F.coalesce(version[F.col("rule")] == F.col("version"), F.lit(False)))
     each = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("order"), F.col("rule").alias("kind"), s["end"].alias("end"))).alias("f"))
-    by_blob = each.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("f"))).alias("findings"))
+    by_blob = each.groupBy(F.col("blob").alias("__secrets_blob")).agg(F.array_sort(F.flatten(F.collect_list("f"))).alias("__secrets_found"))
+    by_blob = by_blob.withColumn("__secrets_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     none = F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint>>")
-    paths = versions.withColumn("blob", address(F.col("content"))).drop("content")
-    return paths.join(by_blob, "blob", "left").withColumn("findings", F.coalesce("findings", none))
+    keep = [F.col(f"`{c}`") for c in versions.columns if c not in ("content", "findings")]
+    salt = F.pmod(F.xxhash64(*keep), F.lit(SALTS)).cast("int") if keep else F.lit(0)
+    paths = versions.select(*keep, address(F.col("content")).alias("__secrets_blob"), salt.alias("__secrets_salt"))
+    return paths.join(by_blob, ["__secrets_blob", "__secrets_salt"], "left").select(*keep, F.coalesce("__secrets_found", none).alias("findings"))
 
 
 def digest(findings: DataFrame) -> DataFrame:
