@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import types
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -99,104 +100,140 @@ def pieces(docs: DataFrame, model: str, capacity: int = 2048, end: int = 0, memo
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price(values: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of lengths that fits: knapsack by dynamic programming over the capacity.
+class Knapsack:
+    """The most valuable multisets of lengths for every capacity up to ``capacity``, by dynamic programming."""
+
+    def __init__(self, value: np.ndarray, capacity: int):
+        """``value[n]``: the value of a piece of length n, 0 where there is none."""
+        falling = np.where(value > 0, value, -np.inf)[:0:-1].copy()  # by falling length, so that both operands are slices
+        self.best, self.choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+        for c in range(1, capacity + 1):
+            v = falling[capacity - c :] + self.best[:c]
+            rest = int(v.argmax())  # of equally good ones the longest
+            self.best[c] = self.best[c - 1]
+            if v[rest] > self.best[c]:
+                self.best[c], self.choice[c] = v[rest], c - rest
+        self.first = falling + self.best[:capacity]
+
+    def multiset(self, capacity: int) -> dict[int, int]:
+        out: dict[int, int] = {}
+        c = capacity
+        while c > 0:
+            n = int(self.choice[c])
+            if n:
+                out[n] = out.get(n, 0) + 1
+            c -= n or 1
+        return out
+
+    def near_best(self, share: float):
+        """Configurations whose value is at least ``share`` of the best one's, each begun by another length, longest first."""
+        capacity = len(self.best) - 1
+        for rest in np.flatnonzero(self.first >= share * self.best[capacity]):
+            n = capacity - int(rest)
+            out = self.multiset(int(rest))
+            out[n] = out.get(n, 0) + 1
+            yield out
 
-    Returns class -> copies. Copies beyond ``most`` are taken off afterwards.
+
+@dataclass
+class Program:
+    """A feasible solution of the configuration program, and bounds of its value.
+
+    ``uses``: configurations (length -> copies), how often each is used in fractions. ``value``: their sum plus the rest
+    at one sequence for each capacity's worth of what they do not cover. ``bound``: the best dual value.
     """
-    best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    lengths_, values_ = lengths[order], values[order]
-    upto = np.searchsorted(lengths_, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        k = upto[c]
-        if k:
-            v = best[c - lengths_[:k]] + values_[:k]
-            i = k - 1 - int(v[::-1].argmax())  # of equal ones the longest
-            if v[i] > best[c]:
-                best[c], choice[c] = v[i], order[i]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        i = int(choice[c])
-        if i < 0:
-            c -= 1
-            continue
-        out[i] = out.get(i, 0) + 1
-        c -= int(lengths[i])
-    return {i: min(k, int(most[i])) for i, k in out.items()}
-
-
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float = 0.5, types_: int = 192) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often to use each, from the covering program by multiplicative weights.
-
-    Each class of lengths has a weight that shrinks exponentially with the share of it that is covered. In each round
-    the classes with most value for their length are priced by the knapsack, and the configuration found is used for
-    half of what its scarcest class has left.
+
+    uses: list[tuple[dict[int, int], float]]
+    value: float
+    bound: float
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: int = 150, patience: int = 12, rate: float = 0.5, share: float = 0.999) -> Program:
+    """The covering program min sum x_c with sum_c a_c(n) x_c >= counts[n], by multiplicative weights.
+
+    Every length has a weight that shrinks exponentially with the share of it that is covered. Each round prices all
+    lengths that are left, by value = weight * length, with one knapsack table. Its near-best configurations (an
+    approximate oracle) are used one after the other while enough is left for them, for half of what the scarcest length
+    allows. The prices, scaled so that no configuration is worth more than 1, are a dual solution.
     """
-    weight = np.ones(len(lengths))
-    left = counts.astype(float)
-    used, poor = [], 0
-    for _ in range(rounds):
-        value = np.where(left >= 1, weight * lengths, 0)
-        some = np.argsort(-value / lengths, kind="stable")[:types_]
-        some = some[value[some] > 0]
-        if not len(some):
+    left, size = counts.astype(float), np.arange(capacity + 1)
+    weight = np.ones(capacity + 1)
+    uses, bound, idle = [], 0.0, 0
+    for turn in range(rounds):
+        value = np.where(left >= 1, weight * size, 0.0)
+        if not value.any() or idle == patience:
             break
-        config = {int(some[i]): k for i, k in price(value[some], lengths[some], left[some], capacity).items() if k}
-        fill = sum(int(lengths[i]) * k for i, k in config.items())
-        if not config or fill < capacity - 2:  # too few pieces of its classes are left: they become cheaper
-            for i in config:
-                weight[i] *= np.exp(-rate)
-            poor += 1
-            if poor > 40:
-                break
-            continue
-        poor = 0
-        amount = min(left[i] / k for i, k in config.items())
-        amount = max(1.0, amount / 2) if amount >= 1 else amount
-        for i, k in config.items():
-            left[i] -= amount * k
-            weight[i] *= np.exp(-rate * amount * k / counts[i])
-        used.append((config, amount))
-    return used
+        table = Knapsack(value, capacity)
+        if turn % 20 == 0:
+            prices = np.where(counts > 0, weight * size, 0.0)
+            bound = max(bound, float(prices @ counts) / (table if turn == 0 else Knapsack(prices, capacity)).best[capacity])
+        before = len(uses)
+        for config in table.near_best(share):
+            amount = min(left[n] / k for n, k in config.items())
+            if amount < 1:
+                continue
+            amount = max(1.0, amount / 2)
+            for n, k in config.items():
+                left[n] -= amount * k
+                weight[n] *= np.exp(-rate * amount * k / counts[n])
+            uses.append((config, amount))
+        idle = 0 if len(uses) > before else idle + 1
+        if idle:  # nothing near the best fits any more: what is left of its lengths becomes cheaper
+            for n in table.multiset(capacity):
+                weight[n] *= np.exp(-rate)
+    return Program(uses, sum(x for _, x in uses) + float(left @ size) / capacity, bound)
 
 
 @dataclass
 class Layout:
-    """Where the pieces of each length go: runs of (length, first rank, count, first sequence, offset), and bounds."""
+    """Where the pieces of each length go: runs of (length, first rank, count, first sequence, offset), and figures.
+
+    ``bound``: no packing has fewer sequences; ``value``: the fractional program's; ``rounded``: sequences that its
+    rounding made, the others are by best fit.
+    """
 
     runs: np.ndarray
     sequences: int = 0
     bound: int = 0
+    value: float = 0.0
     rounded: int = 0
-    extra: dict = field(default_factory=dict)
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 600) -> Layout:
-    """A packing of the lengths counted in ``histogram``; its size depends on the capacity, not on the counts.
+def plan(histogram: dict[int, int], capacity: int, turns: int = 12) -> Layout:
+    """A packing of the lengths counted in ``histogram``; its work depends on the capacity, not on the counts.
 
-    The fractional program is solved and each configuration's use rounded down; what is left goes by best fit,
-    longest first, into the emptiest-fitting open sequences, or new ones. All works on groups of equal sequences.
+    The fractional program is solved, each configuration is used as often as its fraction says, rounded down, then those
+    with the largest fractions once more while their pieces last; the program of what is left is solved again, until
+    rounding places nothing. The rest goes by best fit, longest first, into the open sequences that it fills best, or
+    new ones. All works on groups of equal sequences.
     """
     total = sum(n * k for n, k in histogram.items())
-    full = histogram.get(capacity, 0)
-    lengths = np.array(sorted(n for n in histogram if n < capacity), np.int64)
-    left = np.array([histogram[n] for n in lengths], np.int64)
+    left = np.zeros(capacity + 1, np.int64)
+    for n, k in histogram.items():
+        left[n] = k
     groups: list[list] = []  # [how many sequences, free places, [lengths]]
-    if full:
-        groups.append([full, 0, [capacity]])
-    for config, amount in fractional(lengths, left, capacity, rounds) if len(lengths) else []:
-        times = int(amount + 1e-9)
-        times = min([times, *(int(left[i]) // k for i, k in config.items())])
-        if times > 0:
-            inside = [int(lengths[i]) for i in sorted(config, key=lambda i: -lengths[i]) for _ in range(config[i])]
-            groups.append([times, capacity - sum(inside), inside])
-            for i, k in config.items():
-                left[i] -= times * k
-    rounded = sum(g[0] for g in groups)
+    if left[capacity]:
+        groups.append([int(left[capacity]), 0, [capacity]])
+    full, left[capacity] = int(left[capacity]), 0
+    value, bound, rounded = float(full), float(full), full
+    for turn in range(turns if left.any() else 0):
+        program = solve(left, capacity)
+        if turn == 0:
+            value, bound = value + program.value, bound + program.bound
+        placed = 0
+        down = [(config, int(x + 1e-9)) for config, x in program.uses]
+        up = [(config, 1) for config, x in sorted(program.uses, key=lambda u: -(u[1] % 1)) if x % 1 > 1e-9]
+        for config, times in down + up:
+            times = min([times, *(int(left[n]) // k for n, k in config.items())])
+            if times > 0:
+                inside = [n for n in sorted(config, reverse=True) for _ in range(config[n])]
+                groups.append([times, capacity - sum(inside), inside])
+                for n, k in config.items():
+                    left[n] -= times * k
+                placed += times
+        rounded += placed
+        if not placed or not left.any():
+            break
     free: dict[int, list[int]] = {}
     opened = np.zeros(capacity + 1, bool)
 
@@ -206,8 +243,8 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 600) -> Layout:
 
     for g in range(len(groups)):
         put(g)
-    for i in range(len(lengths) - 1, -1, -1):
-        n, k = int(lengths[i]), int(left[i])
+    for n in range(capacity - 1, 0, -1):
+        k = int(left[n])
         while k:
             fits = np.flatnonzero(opened[n:])
             if not len(fits):
@@ -241,7 +278,7 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 600) -> Layout:
             offset += n
         sequence += times
     runs = np.array(sorted(runs), np.int64).reshape(-1, 5)
-    return Layout(runs, sequence, -(-total // capacity), rounded)
+    return Layout(runs, sequence, max(-(-total // capacity), math.ceil(bound - 1e-6)), value, rounded)
 
 
 def place(parts: DataFrame, layout: Layout) -> DataFrame:
