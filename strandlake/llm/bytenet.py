@@ -45,6 +45,35 @@ class ByteNet:
         a = np.maximum(z.max(1) + self.p["b"], 0)
         return np.maximum(a @ self.p["w1"] + self.p["b1"], 0) @ self.p["w2"] + self.p["b2"]
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """The gradients of the mean cross-entropy of windows ``x`` [n, length] with classes ``y``."""
+        p, n = self.p, len(x)
+        cols, z = self.pooled(x)
+        where = z.argmax(1)
+        top = np.take_along_axis(z, where[:, None, :], 1)[:, 0] + p["b"]
+        a = np.maximum(top, 0)
+        u = a @ p["w1"] + p["b1"]
+        h = np.maximum(u, 0)
+        out = h @ p["w2"] + p["b2"]
+        prob = np.exp(out - out.max(1, keepdims=True))
+        prob /= prob.sum(1, keepdims=True)
+        prob[np.arange(n), y] -= 1
+        d = prob / n
+        g = {"w2": h.T @ d, "b2": d.sum(0)}
+        dh = (d @ p["w2"].T) * (u > 0)
+        g["w1"], g["b1"] = a.T @ dh, dh.sum(0)
+        da = (dh @ p["w1"].T) * (top > 0)
+        g["b"] = da.sum(0)
+        picked = cols[np.arange(n)[:, None], where]  # windows, filters, width * embedding
+        g["w"] = np.einsum("nf,nfd->df", da, picked) * self.mask
+        dcol = (da[:, :, None] * p["w"].T[None]).reshape(n, -1, self.k, self.e)
+        places = where[:, :, None] * self.stride + np.arange(self.k)
+        bytes_ = x[np.arange(n)[:, None, None], places]
+        g["emb"] = np.zeros_like(p["emb"])
+        np.add.at(g["emb"], bytes_.reshape(-1), dcol.reshape(-1, self.e))
+        g["emb"][0] = 0
+        return g
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 11) -> "ByteNet":
         """Adam on the cross-entropy of windows ``x`` [n, length] with classes ``y``; the same result each time."""
         r, p = np.random.default_rng(seed), self.p
@@ -55,36 +84,9 @@ class ByteNet:
             order = r.permutation(len(x))
             for at in range(0, len(x), batch):
                 rows = order[at : at + batch]
-                xb, yb = x[rows], y[rows]
-                n = len(rows)
-                cols, z = self.pooled(xb)
-                where = z.argmax(1)
-                top = np.take_along_axis(z, where[:, None, :], 1)[:, 0] + p["b"]
-                a = np.maximum(top, 0)
-                u = a @ p["w1"] + p["b1"]
-                h = np.maximum(u, 0)
-                out = h @ p["w2"] + p["b2"]
-                prob = np.exp(out - out.max(1, keepdims=True))
-                prob /= prob.sum(1, keepdims=True)
-                prob[np.arange(n), yb] -= 1
-                d = prob / n
-                g = {"w2": h.T @ d, "b2": d.sum(0)}
-                dh = (d @ p["w2"].T) * (u > 0)
-                g["w1"], g["b1"] = a.T @ dh, dh.sum(0)
-                da = (dh @ p["w1"].T) * (top > 0)
-                g["b"] = da.sum(0)
-                picked = cols[np.arange(n)[:, None], where]  # windows, filters, width * embedding
-                g["w"] = np.einsum("nf,nfd->df", da, picked) * self.mask
-                dcol = (da[:, :, None] * p["w"].T[None]).reshape(n, -1, self.k, self.e)
-                places = where[:, :, None] * self.stride + np.arange(self.k)
-                bytes_ = xb[np.arange(n)[:, None, None], places]
-                ge = np.zeros_like(p["emb"])
-                np.add.at(ge, bytes_.reshape(-1), dcol.reshape(-1, self.e))
-                ge[0] = 0
-                g["emb"] = ge
                 step += 1
                 lr = rate * (1 - step / (total + 1)) + 1e-5
-                for key, grad in g.items():
+                for key, grad in self.gradients(x[rows], y[rows]).items():
                     m[key] += 0.1 * (grad - m[key])
                     v2[key] += 0.01 * (grad * grad - v2[key])
                     p[key] -= (lr * (m[key] / (1 - 0.9**step)) / (np.sqrt(v2[key] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
