@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, WordHasher, materialize, mix, small_batches, text_bytes
+from .common import NOT_SPACE, WordHasher, discard, materialize, mix, small_batches, text_bytes
 
 #: Share of the hash range whose n-grams are ordered by frequency and come first in the global order.
 RANGE = 0.25
-#: N-grams in one block of a candidate group; larger groups are joined block by block.
+#: N-grams in one task of a tree join; larger groups are dealt into several.
 BLOCK = 1 << 19
+#: Parts into which the rows of one n-gram, however many, are dealt when what is known of it is joined to them.
+SALTS = 8
 
 
 def _shingles(hasher: WordHasher, column: pa.Array, n: int) -> list[np.ndarray]:
@@ -86,7 +90,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        before = state
         state = materialize(large.join(lower, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "edges")
+        discard(before)
         got = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (got["n"], got["s"]) == mark:
             return state.select(F.col("a").alias("node"), F.col("b").alias("component")).union(state.select("b", "b").distinct())
@@ -94,12 +100,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Sets of ranked n-grams as a prefix tree whose unbranched paths are one edge.
+    """Sets of ranked n-grams as a prefix tree whose unbranched paths are a few edges, each twice as long as that before.
 
     Each node knows its parent, the n-grams of its edge and the range of sizes of the sets below it. Nodes are kept
-    level by level, so that a search takes one vectorised step for each level of branching.
+    level by level, so that a search takes one vectorised step for each level.
     """
 
+    FIRST = 16
+
     def __init__(self, sets: list[np.ndarray]):
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         parent, start, end, source, term = [0], [0], [0], [order[0]], np.zeros(len(sets), np.int64)
@@ -123,6 +131,12 @@ class Trie:
                 stack.append(len(parent) - 1)
             term[i] = stack[-1]
             before = own
+        for k in range(1, len(parent)):
+            width = self.FIRST
+            while end[k] - start[k] > width:
+                parent.append(parent[k]), start.append(start[k]), end.append(start[k] + width), source.append(source[k])
+                parent[k], start[k] = len(parent) - 1, end[-1]
+                width *= 2
         self.parent, self.end = np.array(parent), np.array(end)
         self.size = np.array([len(x) for x in sets])
         count = len(parent)
@@ -144,17 +158,18 @@ class Trie:
         self.grams = np.concatenate(edges)
         self.term = term
 
-    def search(self, query: np.ndarray, universe: int, num: int, den: int) -> np.ndarray:
-        """The sets with |a & b| / |a | b| >= num / den; subtrees go as soon as their bound is below it."""
+    def search(self, query: np.ndarray, universe: int, num: int, den: int, most: int | None = None) -> np.ndarray:
+        """The sets of at most ``most`` n-grams with |a & b| / |a | b| >= num / den; subtrees go as soon as their bound is below it."""
         has = np.zeros(universe, np.int32)
         has[query] = 1
         before = np.concatenate([[0], np.cumsum(has)])  # n-grams of the query up to each rank
         n = len(query)
+        largest = den * n // num if most is None else min(most, den * n // num)
         overlap, alive = np.zeros(len(self.parent), np.int64), np.zeros(len(self.parent), bool)
         alive[0] = True
         for nodes in self.levels:
             some = nodes[alive[self.parent[nodes]]]
-            some = some[(den * self.high[some] >= num * n) & (num * self.low[some] <= den * n)]
+            some = some[(den * self.high[some] >= num * n) & (self.low[some] <= largest)]
             if not len(some):
                 continue
             width = self.width[some]
@@ -169,96 +184,222 @@ class Trie:
         return np.flatnonzero(alive[self.term] & (den * both >= num * (n + self.size - both)))
 
 
-def link_forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets: as connected as all links, without listing them.
-
-    N-grams are ordered by frequency in the group, most frequent first, so that sets share paths. From each set not
-    yet reached, a search goes on from every set it reaches; those reached leave the tree when half of it is gone.
-    """
+def ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The sets with their n-grams as ranks, those that fewest of the sets hold first, so that sets that differ part early; and how many there are."""
     universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
     flat = flat.reshape(-1)
     rank = np.empty(len(universe), np.int64)
-    rank[np.argsort(-np.bincount(flat, minlength=len(universe)), kind="stable")] = np.arange(len(universe))
-    ends = np.cumsum([len(s) for s in sets])
-    ranked = [np.sort(rank[part]) for part in np.split(flat, ends[:-1])]
-    edges, left = [], set(range(len(sets)))
+    rank[np.argsort(np.bincount(flat, minlength=len(universe)), kind="stable")] = np.arange(len(universe))
+    return [np.sort(rank[part]) for part in np.split(flat, np.cumsum([len(x) for x in sets])[:-1])], len(universe)
+
+
+def link_forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, labels: np.ndarray | None = None, most: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links among the sets that connect what all links do, without listing them.
+
+    Sets of one label are connected already. From the sets of each label not yet reached, largest labels first, searches
+    go on from all sets of every label they reach; those leave the tree when half of it is gone. ``most``: the size up
+    to which a set looks for others, by its position filter.
+    """
+    labels = ids if labels is None else labels
+    own: dict[int, list[int]] = {}
+    for i, k in enumerate(labels.tolist()):
+        own.setdefault(k, []).append(i)
+    if len(own) < 2:
+        return []
+    sets, universe = ranked(sets)
+    edges, left = [], set(own)
     trie, inside = None, []
-    order = sorted(left, key=lambda i: (len(sets[i]), ids[i]))
-    for seed in order:
-        if seed not in left:
+    for label in sorted(own, key=lambda k: (-len(own[k]), k)):
+        if label not in left:
             continue
-        left.discard(seed)
-        todo = [seed]
+        left.discard(label)
+        todo = list(own[label])
         while todo and left:
-            if trie is None or 2 * len(left) < len(inside):
-                inside = [i for i in order if i in left]
-                trie = Trie([ranked[i] for i in inside])
+            if trie is None or 2 * len(left) < built:
+                built = len(left)
+                inside = [i for k in left for i in own[k]]
+                trie = Trie([sets[i] for i in inside])
             at = todo.pop()
-            for k in trie.search(ranked[at], len(universe), num, den):
+            for k in trie.search(sets[at], universe, num, den, None if most is None else int(most[at])):
                 other = inside[k]
-                if other in left:
-                    left.discard(other)
-                    todo.append(other)
+                if int(labels[other]) in left:
+                    left.discard(int(labels[other]))
+                    todo += own[int(labels[other])]
                     edges.append((int(ids[at]), int(ids[other])))
     return edges
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100), size: str = "n_shingles", component: str = "component_id") -> DataFrame:
-    """doc_id, the size of the set and the smallest doc_id reachable by links, for each row of ``docs``.
+def _salted(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int"))
 
-    A set: the distinct ``n``-word sequences of the whole text, A-Z in lower case; a shorter text is one sequence, one
-    without words (or a null text) is empty and linked with nothing. Two sets are linked when their Jaccard similarity
-    is at least the threshold, decided in integers over 64-bit n-gram hashes. Rows with a null doc_id get a null
-    component; rows that share a doc_id count as one node; other columns are not read.
 
-    Equal sets are one representative from the start. N-grams have a global order: those in a fixed range of hashes
-    come first, ordered by how many sets hold them, then the others. A pair above the threshold shares an n-gram of
-    both sets' prefixes in that order, so sets that share none with any other are done. The rest form candidate
-    groups, each joined through a prefix tree; groups above BLOCK n-grams are split into blocks, and each pair of
-    blocks is joined in a task of its own, so that no task holds a group whole.
-    """
-    num, den = threshold
-    profile = materialize(_profile(docs, n, num, den), "profile")
-    reps = profile.where("size > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"))
-    one = profile.alias("p").join(reps.select("sig1", "sig2", F.col("rep").alias("doc_id")).alias("r"), ["sig1", "sig2", "doc_id"]).select(F.col("doc_id").alias("rep"), "sig1", "size", "head", "tail")
+def _to_all(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
 
+def _prefixes(profile: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """rep, g, size, lo, hi, bucket: the prefix n-grams of each representative, and which sizes a partner can have whose first common n-gram it is.
+
+    At place ``p`` of a set of ``size`` at most ``size - p`` n-grams can be common, which bounds the partner from above.
+    Sets linked with each other are in the same bucket of sizes or in neighbouring ones.
+    """
+    one = profile.join(reps.select("sig1", "sig2", F.col("rep").alias("doc_id")), ["sig1", "sig2", "doc_id"]).select(F.col("doc_id").alias("rep"), "size", "head", "tail")
     held = one.select("rep", F.explode("head").alias("g"))
     shared = held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    heads = held.join(shared, "g").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("shared"))
+    heads = _salted(held, "rep").join(_to_all(shared), ["g", "salt"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("shared"))
     sizes = one.select("rep", "size", F.size("head").alias("heads"), F.when(F.size("tail") > 0, F.col("tail")).alias("tail"))
     need = F.col("size") - F.expr(f"(size * {num} + {den} - 1) div {den}") + 1
     alone = F.col("heads") - F.size("shared")  # n-grams of the range that no other set has: they come first of all
     taken = F.slice(F.col("shared"), 1, F.greatest(F.lit(0), F.least(F.size("shared"), (need - alone).cast("int"))))
     none = F.array().cast("array<struct<df:bigint,g:bigint>>")
-    prefix = sizes.join(heads, "rep", "left").withColumn("shared", F.coalesce("shared", none)).select("rep", F.explode(F.concat(F.transform(taken, lambda x: x["g"]), F.coalesce("tail", F.array().cast("array<bigint>")))).alias("g"))
-    prefix = materialize(prefix, "prefix")
-    hubs = prefix.groupBy("g").agg(F.min("rep").alias("hub"), F.count("*").alias("k")).where("k > 1").select("g", "hub")
-    star = prefix.join(hubs, "g").where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    groups = materialize(components(star).join(reps.select(F.col("rep").alias("node"), "sig1", "size"), "node"), "groups")
-
-    blocks = groups.groupBy("component").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
-    members = members.select(F.col("node").alias("doc_id"), "sig1", "component", pair.alias("pairs"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.hint("shuffle_hash"), "doc_id")
-
-    def sets(batches):
-        hasher = WordHasher(NOT_SPACE)
+    place = lambda g, p: F.struct(g.alias("g"), p.cast("long").alias("p"))
+    both = F.concat(F.transform(taken, lambda x, i: place(x["g"], alone + i)), F.transform(F.coalesce("tail", F.array().cast("array<bigint>")), lambda x, i: place(x, F.col("heads") + i)))
+    rows = sizes.join(heads, "rep", "left").withColumn("shared", F.coalesce("shared", none)).select("rep", "size", F.explode(both).alias("x")).select("rep", "size", "x.g", "x.p")
+    width = math.log(den / num) * 1.000001 + 1e-6
+    lo, hi = F.expr(f"(size * {num} + {den} - 1) div {den}"), F.least(F.expr(f"size * {den} div {num}"), F.expr(f"(size - p) * {den + num} div {num} - size"))
+    bucket = lambda n: F.floor(F.log(n) / F.lit(width)).cast("int")
+    rows = rows.select("rep", "g", "size", lo.alias("lo"), hi.alias("hi"), bucket(F.col("size")).alias("bucket")).where("hi >= lo")
+    return rows.withColumn("next", bucket(F.col("hi")) > F.col("bucket"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """rep, grams: the packed n-gram sets of the wanted representatives (rep, sig1)."""
+
+    def run(batches):
+        hasher, seen = WordHasher(NOT_SPACE), set()
         for batch in small_batches(batches, "text"):
             own = _shingles(hasher, batch.column(1), n)
-            ok = np.array([_signature(s)[0] for s in own], np.int64) == np.asarray(batch.column(2))
-            out = [batch.column(0), batch.column(3), batch.column(4), pa.array([s.tobytes() for s in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "component", "pairs", "grams"]).filter(pa.array(ok))
+            ok = []
+            for i, s, sig in zip(batch.column(0).to_pylist(), own, batch.column(2).to_pylist(), strict=True):
+                ok.append(i not in seen and _signature(s)[0] == sig)
+                if ok[-1]:
+                    seen.add(i)
+            out = [batch.column(0), pa.array([s.tobytes() for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["rep", "grams"]).filter(pa.array(ok, pa.bool_()))
 
-    packed = texts.select("doc_id", "text", "sig1", "component", "pairs").mapInArrow(sets, "doc_id long, component long, pairs array<struct<i:int,j:int>>, grams binary").withColumn("pair", F.explode("pairs"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("shuffle_hash"), "rep")
+    return texts.select("rep", "text", "sig1").mapInArrow(run, "rep long, grams binary")
 
-    def join(table: pa.Table) -> pa.Table:
-        ids, grams = table.column("doc_id").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        edges = link_forest(ids, grams, num, den)
-        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    links = packed.select("component", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "doc_id", "grams").groupBy("component", "i", "j").applyInArrow(join, "a long, b long")
-    found = components(links).select(F.col("node").alias("rep"), "component")
+def _linked(rows: DataFrame, keys: list[str], columns: list[str], links) -> DataFrame:
+    """The edges (a, b) that ``links`` finds in the rows of each key, given the key's columns as arrays and the sets.
+
+    Rows are sorted by key within partitions and read as a stream, so that a task holds one key at a time.
+    """
+    width = len(keys)
+
+    def solve(held):
+        arrays = [np.concatenate([np.asarray(b.column(width + i)) for b in held]) for i in range(len(columns))]
+        return links(*arrays, [np.frombuffer(x, np.uint64) for b in held for x in b.column(width + len(columns)).to_pylist()])
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            key = np.stack([np.asarray(batch.column(i), np.int64) for i in range(width)])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            edges = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                own = tuple(key[:, a])
+                if held and own != last:
+                    edges += solve(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = own
+            yield _edges(edges)
+        if held:
+            yield _edges(solve(held))
+
+    return rows.select(*keys, *columns, "grams").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["a", "b"])
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The links among the pairs (rep, size, hub): each hub is looked up in trees of those that it is paired with."""
+    many = pairs.groupBy("hub").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).cast("int").alias("parts")).where("parts > 1")
+    dealt = pairs.join(many, "hub", "left").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    rows = dealt.union(dealt.select("hub", F.col("hub").alias("rep"), "part").distinct()).join(sets, "rep")
+
+    def links(hubs, reps, sets):
+        hub = int(hubs[0])
+        own, universe = ranked(sets)
+        spokes = np.flatnonzero(reps != hub)
+        at = np.flatnonzero(reps == hub)
+        if not len(at) or not len(spokes):
+            return []
+        found = Trie([own[i] for i in spokes]).search(own[at[0]], universe, num, den)
+        return [(hub, int(reps[spokes[k]])) for k in found]
+
+    return _linked(rows.withColumn("key", F.col("hub")), ["key", "part"], ["hub", "rep"], links)
+
+
+def _cross_links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between different clusters, by tree joins where several clusters meet in an n-gram's bucket of sizes.
+
+    ``entries`` has the columns of ``_prefixes`` and cluster. Sets of a bucket also visit the next one if the partner
+    may be as large. What meets nowhere else is a group of its own, of which each set is sent once. Of groups above BLOCK
+    n-grams, which may have chained up by common n-grams, each n-gram's bucket is joined by itself, and if that is above
+    BLOCK, each pair of its parts.
+    """
+    rows = entries.withColumn("at", F.explode(F.when(F.col("next"), F.array(F.col("bucket"), F.col("bucket") + 1)).otherwise(F.array("bucket"))))
+    group = rows.groupBy("g", "at").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1"), F.max("bucket").alias("top"), F.min("rep").alias("hub"), F.ceil(F.sum("size") / F.lit(BLOCK)).cast("int").alias("parts"))
+    open_ = group.where("c0 != c1 and top = at").select("g", "at", "hub", "parts")
+    work = materialize(_salted(rows, "rep").join(_to_all(open_), ["g", "at", "salt"]).select("g", "at", "rep", "size", "cluster", "hi", "hub", "parts"), "open")
+    group = materialize(components(work.select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "groups")
+    members = work.select("rep", "size", "cluster").distinct().join(group.select(F.col("node").alias("rep"), "component"), "rep")
+    members = materialize(members.join(members.groupBy("component").agg((F.sum("size") > BLOCK).alias("wide")), "component"), "members")
+
+    def whole(reps, clusters, sets):
+        return link_forest(reps, sets, num, den, clusters)
+
+    links = materialize(_linked(members.where("not wide").join(sets, "rep"), ["component"], ["rep", "cluster"], whole), "links")
+    dealt = work.join(members.where("wide").select("rep"), "rep", "left_semi").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
+    dealt = dealt.select("g", "at", "rep", "cluster", "hi", F.explode(pair).alias("x")).select("g", "at", "x.i", "x.j", "rep", "cluster", "hi")
+
+    def one_gram(reps, clusters, most, sets):
+        return link_forest(reps, sets, num, den, clusters, most)
+
+    more = materialize(_linked(dealt.join(sets, "rep"), ["g", "at", "i", "j"], ["rep", "cluster", "hi"], one_gram), "links")
+    discard(work, group, members)
+    return links.union(more)
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100), size: str = "n_shingles", component: str = "component_id") -> DataFrame:
+    """doc_id, the size of the set and the smallest doc_id reachable by links, for each row of ``docs``.
+
+    A set: the distinct ``n``-word sequences of the whole text, A-Z in lower case; a shorter text is one sequence, one
+    without words (or a null text) is empty and linked with nothing. Two sets are linked when their Jaccard similarity
+    is at least the threshold, decided in integers over 64-bit n-gram hashes. Rows with a null doc_id get a null
+    component; rows that share a doc_id count as one node; other columns are not read.
+
+    Equal sets are one representative from the start. N-grams have a global order: those in a fixed range of hashes
+    come first, ordered by how many sets hold them, then the others. A pair above the threshold has a first common
+    n-gram in that order, in both prefixes, and its place and both sizes pass the length and positional filters.
+    Representatives come first: in each n-gram's bucket of sizes all are compared with one of them, through prefix
+    trees, and links that hold make clusters. Only where several clusters still meet in an n-gram are all compared,
+    again through prefix trees. Nothing is connected that was not verified.
+    """
+    num, den = threshold
+    profile = materialize(_profile(docs, n, num, den), "profile")
+    reps = profile.where("size > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"))
+    prefix = materialize(_prefixes(profile, reps, num, den), "prefix")
+    shared = prefix.groupBy("g").agg(F.count("*").alias("k"), F.min("size").alias("least"), F.max("size").alias("most")).where("k > 1").drop("k")
+    entries = materialize(_salted(prefix, "rep").join(_to_all(shared), ["g", "salt"]).where("hi >= least and lo <= most").drop("salt", "least", "most"), "entries")
+    hubs = entries.groupBy("g", "bucket").agg(F.min(F.struct(F.col("rep").alias("hub"), F.col("size").alias("n"), F.col("lo").alias("from"), F.col("hi").alias("to"))).alias("h"), F.count("*").alias("k")).where("k > 1").select("g", "bucket", "h.*")
+    near = _salted(entries, "rep").join(_to_all(hubs), ["g", "bucket", "salt"]).where("rep != hub and size between from and to and n between lo and hi")
+    pairs = materialize(near.select("rep", "size", "hub").distinct(), "pairs")
+    sets = materialize(_sets(docs, entries.select("rep").distinct().join(reps.select("rep", "sig1"), "rep"), n), "sets")
+    star = materialize(_star_links(pairs, sets, num, den), "star")
+    clusters = materialize(components(star), "clusters")
+    labelled = entries.join(clusters.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("cluster", F.coalesce("component", "rep")).drop("component")
+    cross = _cross_links(labelled, sets, num, den)
+    found = materialize(components(cross.union(star)).select(F.col("node").alias("rep"), "component"), "components")
+    discard(prefix, entries, pairs, sets, star, clusters)
     own = reps.join(found, "rep", "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("least"))
     return profile.join(own, ["sig1", "sig2"], "left").select("doc_id", F.col("size").alias(size), F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias(component))
 
