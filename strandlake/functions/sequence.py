@@ -137,20 +137,77 @@ def cfd_terms(crrna: Column, dna: Column) -> Column:
     return F.filter(keyed, lambda p: F.translate(p["rna"], "U", "T") != F.translate(p["dna"], "ACGT", "TGCA"))
 
 
-def crista_features(guide: Column, dna: Column) -> Column:
-    """Counts that describe an alignment: mismatches, gaps, kinds of mispairs, runs of them, composition of the DNA."""
+# The published nearest-neighbour enthalpies of two bases that follow each other.
+ENTHALPY = {
+    "AA": 9.1, "AC": 6.5, "AG": 7.8, "AT": 8.6,
+    "CA": 5.8, "CC": 11.0, "CG": 11.9, "CT": 7.8,
+    "GA": 5.6, "GC": 11.1, "GG": 11.0, "GT": 6.5,
+    "TA": 6.0, "TC": 5.6, "TG": 5.8, "TT": 9.1,
+}
+#: Mispairs (guide base, then DNA base) by kind. Fixed values.
+MISPAIRS = {"wobble": ("GA", "TC"), "rr": ("GT", "GC", "AT", "AC"), "yy": ("CG", "CA", "TG", "TA"), "transversions": ("AG", "CT")}
+
+
+def enthalpy(seq: Column) -> Column:
+    """The sum of the enthalpies of neighbouring bases; pairs with another letter count 0."""
+    table = F.create_map(*[F.lit(x) for pair in ENTHALPY.items() for x in pair])
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - 1, F.lit(1))), lambda i: F.coalesce(table[F.substring(seq, i, F.lit(2))], F.lit(0.0)))
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def base_code(seq: Column) -> Column:
+    """A, C, G, T as 1 to 4 and N as 0, digit by digit, as a number."""
+    return F.translate(seq, "ACGTN", "12340").try_cast("int")
+
+
+def crista_features(guide: Column, dna: Column, flank: Column | None = None, pam: int = 3) -> Column:
+    """Counts that describe an alignment whose last ``pam`` letters are the PAM; ``flank`` is the DNA with its surroundings.
+
+    mm, rna_bulges (gaps in the guide), dna_bulges (gaps in the DNA); runs of places that differ and are followed by an
+    equal one, and edits per run; mismatches by quartets counted from the PAM, of which, as the published model has it,
+    the first place stands for a whole quartet and all but the last three for the rest; mispairs by
+    kind; bases and GC of the DNA, its two PAM letters, the letter before them and the first one; the four pairs and the
+    five bases next to the PAM as codes; enthalpies, GC share and last three bases of the flank, where there is one.
+    """
     g, d = letters(F.upper(guide)), letters(F.upper(dna))
-    pairs = F.zip_with(g, d, lambda a, b: F.concat(a, b))
-    bad = F.transform(pairs, lambda p: (~p.contains("-")) & (F.substring(p, 1, 1) != F.substring(p, 2, 1)))
-    count = lambda *kinds: F.size(F.filter(pairs, lambda p: p.isin(*kinds)))
-    starts = F.size(F.filter(F.transform(bad, lambda x, i: x & ~F.coalesce(F.get(bad, i - 1), F.lit(False))), lambda x: x))
-    n = lambda b: F.size(F.filter(d, lambda x: x == b))
-    return F.struct(
-        F.size(F.filter(bad, lambda x: x)).alias("mm"), count_gaps(guide).alias("dna_bulges"), count_gaps(dna).alias("rna_bulges"), starts.alias("mm_runs"),
-        count("GA", "TC").alias("wobble"), count("AG", "GA").alias("rr"), count("CT", "TC").alias("yy"),
-        count("AC", "CA", "AT", "TA", "GC", "CG", "GT", "TG").alias("transversions"), *[n(b).alias(f"n_{b.lower()}") for b in "ACGT"],
-        (n("G") + n("C")).alias("gc"),
-    )
+    wide = F.lit(None).cast("string") if flank is None else F.upper(flank)
+    pairs = F.slice(F.zip_with(g, d, lambda a, b: F.concat(a, b)), F.lit(1), F.greatest(F.size(g) - pam, F.lit(0)))
+    parts = F.struct(pairs.alias("pairs"), F.regexp_replace(F.upper(dna), "-", "").alias("plain"), wide.alias("wide"), count_gaps(guide).alias("in_guide"), count_gaps(dna).alias("in_dna"))
+
+    def places(x: Column) -> Column:
+        differ = F.transform(x["pairs"], lambda p: F.substring(p, 1, 1) != F.substring(p, 2, 1))
+        bad = F.transform(x["pairs"], lambda p: (F.substring(p, 1, 1) != F.substring(p, 2, 1)) & ~p.contains("-"))
+        return let(F.struct(x.alias("x"), differ.alias("differ"), bad.alias("bad"), F.reverse(bad).alias("back"), F.size(x["pairs"]).alias("n")), features)
+
+    def features(y: Column) -> Column:
+        x, differ, n = y["x"], y["differ"], y["n"]
+        true = lambda array: F.size(F.filter(array, lambda z: z))
+        count = lambda kinds: F.size(F.filter(x["pairs"], lambda p: p.isin(*kinds)))
+        runs = true(F.transform(differ, lambda z, i: z & ~F.coalesce(F.get(differ, i + 1), F.lit(True))))
+        mm = true(y["bad"])
+        quartet = lambda k: F.coalesce(F.get(y["back"], F.when(n >= 4 * k + 4, 4 * k)).cast("int"), F.lit(0)) if k < 4 else true(F.slice(y["back"], F.lit(17), F.greatest(n - 19, F.lit(0))))
+        plain, wide = x["plain"], x["wide"]
+        code = lambda from_end, size: base_code(F.substring(plain, F.length(plain) - from_end + 1, F.lit(size)))
+        bases = {f"n_{b.lower()}": F.length(F.regexp_replace(plain, f"[^{b}]", "")) for b in "ACGT"}
+        return F.struct(
+            mm.alias("mm"), x["in_guide"].alias("rna_bulges"), x["in_dna"].alias("dna_bulges"),
+            runs.alias("runs"), F.when(runs > 0, (mm + x["in_guide"] + x["in_dna"]) / runs).otherwise(0.0).alias("run_length"),
+            *[quartet(k).alias(f"mm_{name}") for k, name in enumerate(("1_4", "5_8", "9_12", "13_16", "17_end"))],
+            *[count(kinds).alias(name) for name, kinds in MISPAIRS.items()],
+            *[z.alias(name) for name, z in bases.items()], (bases["n_g"] + bases["n_c"]).alias("gc"),
+            code(2, 2).alias("pam_last"), code(3, 1).alias("pam_first"), base_code(F.substring(plain, 1, 1)).alias("first_base"),
+            F.array(*[code(8 - i, 2) for i in range(4)]).alias("couples"), F.array(*[code(8 - i, 1) for i in range(5)]).alias("seed_bases"),
+            enthalpy(plain).alias("enthalpy"), enthalpy(wide).alias("flank_enthalpy"),
+            F.when(F.length(wide) > 0, F.length(F.regexp_replace(wide, "[^GC]", "")) / F.length(wide)).alias("flank_gc"),
+            F.array(*[base_code(F.substring(wide, F.length(wide) - 2 + i, F.lit(1))) for i in range(3)]).alias("downstream"),
+        )
+
+    return let(parts, places)
 
 
 def af_decade(x: Column) -> Column:

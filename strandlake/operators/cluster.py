@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,11 +11,26 @@ from pyspark.sql.window import Window
 TIES = ("pos", "strand", "id")
 
 
-def cluster_by_gap(df: DataFrame, keys: list[str], gap: int, pos: str = "pos", name: str = "cluster") -> DataFrame:
-    """Adds the number, from 0, of the row's cluster within its keys: a new one starts where the previous position is more than ``gap`` away."""
-    order = Window.partitionBy(*keys).orderBy(pos)
-    jump = F.when(F.col(pos) - F.lag(pos).over(order) > gap, 1).otherwise(0)
-    return df.withColumn("_jump", jump).withColumn(name, F.sum("_jump").over(order.rangeBetween(Window.unboundedPreceding, 0))).drop("_jump")
+def cluster_by_gap(df: DataFrame, keys: list[str], gap: int, pos: str = "pos", name: str = "cluster", width: int = 1 << 20) -> DataFrame:
+    """Adds the number, from 0, of the row's cluster within its keys: a new one starts where the previous position is more than ``gap`` away.
+
+    Positions are ordered inside bins of ``width``; one row for each bin tells how many clusters begin before it and
+    whether its first position begins one, so that no task has to order all rows of one key.
+    """
+    binned = df.withColumn("_bin", F.floor(F.col(pos) / F.lit(width)))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(pos)
+    jump = F.when(F.col(pos) - F.lag(pos).over(inside) > gap, 1).otherwise(0)
+    places = binned.select(*keys, "_bin", pos).distinct().withColumn("_jump", jump)
+    per = places.groupBy(*keys, "_bin").agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"), F.sum("_jump").alias("_jumps"))
+    order = Window.partitionBy(*keys).orderBy("_bin")
+    per = per.withColumn("_enter", F.when(F.col("_lo") - F.lag("_hi").over(order) > gap, 1).otherwise(0))
+    first = F.sum(F.col("_jumps") + F.col("_enter")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_jumps")
+    per = per.withColumn("_first", first).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_kb"), "_first")
+    numbered = binned.withColumn("_jump", jump).withColumn("_own", F.sum("_jump").over(inside.rangeBetween(Window.unboundedPreceding, 0)))
+    same = F.col("_bin").eqNullSafe(F.col("_kb"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return numbered.join(per, same).withColumn(name, F.col("_own") + F.col("_first")).select(*[c for c in df.columns if c != name], name)
 
 
 def merge_variant_rows(df: DataFrame, keys: list[str], lists: list[str], others: list[str]) -> DataFrame:
@@ -56,7 +73,7 @@ def collapse_clusters(df: DataFrame, keys: list[str], gap: int, score: str = "sc
     return clustered.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "cluster")
 
 
-# Fixed alphabet: gaps and degenerate codes sort before the plain bases.
+# Fixed alphabet: gaps and degenerate codes sort before the plain bases; N, which the order does not name, comes last.
 CLUSTER_ALPHABET = "-RYSWKMBDHVryswkmbdhvACGTacgtNn"
 
 
@@ -118,10 +135,44 @@ def severity_panel(df: DataFrame, cap: int = 100, floor_total: int = 2, floor_sc
     return perfect.select(*df.columns, "severity", "hard").unionByName(off.where("hard").select(*df.columns, "severity", "hard")).unionByName(numbered.select(*df.columns, "severity", "hard"))
 
 
+def ranked(df: DataFrame, keys: list[str], by: list[tuple[str, bool]], name: str, ties=TIES, width: int = 1 << 16) -> DataFrame:
+    """Adds the row's place, from 1, within its keys: by the columns ``by`` (name, descending; null last when descending, first else), then ``ties``.
+
+    A window over a whole key would be one task. Rows are numbered within equal values of ``by`` and bins of ``width`` of
+    the first of ``ties``, a number; before each bin stands the count of rows in the ones before, from the counts of the
+    values and of the bins.
+    """
+    columns, first = [c for c, _ in by], ties[0]
+    order = [F.col(c).desc_nulls_last() if down else F.col(c).asc() for c, down in by]
+    rows = df.withColumn("_bin", F.floor(F.col(first) / F.lit(width)))
+    before = lambda keys_, order_: F.coalesce(F.sum("_n").over(Window.partitionBy(*keys_).orderBy(*order_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = rows.groupBy(*keys, *columns, "_bin").agg(F.count("*").alias("_n"))
+    values = bins.groupBy(*keys, *columns).agg(F.sum("_n").alias("_n"))
+    names = [*keys, *columns, "_bin"]
+    values = values.withColumn("_v", before(keys, order)).select(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(names[:-1])], "_v")
+    bins = bins.withColumn("_b", before([*keys, *columns], ["_bin"])).select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(names)], "_b")
+    same = lambda p, cs: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{p}{i}")) for i, c in enumerate(cs)])
+    offset = bins.join(values, reduce(lambda x, y: x & y, [F.col(f"_b{i}").eqNullSafe(F.col(f"_v{i}")) for i in range(len(names) - 1)]))
+    offset = offset.select(*[f"_b{i}" for i in range(len(names))], (F.col("_v") + F.col("_b")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*names).orderBy(*ties))
+    return rows.withColumn("_own", own).join(offset, same("_b", names)).withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).select(*[c for c in df.columns if c != name], name)
+
+
+def value_ranks(df: DataFrame, keys: list[str], value: str, name: str, descending: bool = False) -> DataFrame:
+    """Adds the average rank, from 1, of ``value`` within the keys; equal values share it. From counts of distinct values."""
+    n = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = [*keys, value]
+    n = n.withColumn(name, before + (F.col("_n") + 1) / F.lit(2.0)).select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(names)], name)
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(names)])
+    return df.drop(name).join(n, same).select(*[c for c in df.columns if c != name], name)
+
+
 def score_ranks(df: DataFrame, second: str, clip: int = 10_000, ties=TIES) -> DataFrame:
     """Per guide the ranks by score and by a second score, highest first, of rows in the first ``clip`` of either; ranks beyond count as ``clip``."""
-    rank = lambda c: F.row_number().over(Window.partitionBy("guide").orderBy(F.col(c).desc_nulls_last(), *ties))
-    r = df.withColumns({"rank_score": rank("score"), "rank_second": rank(second)}).where((F.col("rank_score") <= clip) | (F.col("rank_second") <= clip))
+    r = ranked(ranked(df, ["guide"], [("score", True)], "rank_score", ties), ["guide"], [(second, True)], "rank_second", ties)
+    r = r.where((F.col("rank_score") <= clip) | (F.col("rank_second") <= clip))
     return r.withColumns({c: F.least(F.col(c), F.lit(clip)) for c in ("rank_score", "rank_second")})
 
 
@@ -130,5 +181,6 @@ def quadrants(ranked: DataFrame, at: int = 100) -> DataFrame:
     return ranked.groupBy("guide").agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("score_only"), F.count_if(~a & b).alias("second_only"), F.count_if(~a & ~b).alias("neither"))
 
 
-def site_rank(df: DataFrame, order: list[Column], keys: tuple[str, ...] = ("guide",), ties=TIES) -> DataFrame:
-    return df.withColumn("site_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *ties)))
+def site_rank(df: DataFrame, by: list[tuple[str, bool]], keys: tuple[str, ...] = ("guide",), ties=TIES) -> DataFrame:
+    """Adds site_rank, from 1, within the keys: by the columns ``by`` (name, descending), then ``ties``."""
+    return ranked(df, list(keys), by, "site_rank", ties)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.genotype import genotype_counts, is_phased, parse_genotype, ploidy
 
 KEY = ["chrom", "pos", "ref", "alt"]
+#: Unphased variants of which all subsets can be made.
+MOST_PUTATIVE = 20
 COUNTS = ["ac", "an", "n_carrier", "n_hom", "n_called"]
 
 
@@ -96,6 +98,7 @@ def combination_summary(hits: DataFrame, genotypes: DataFrame, samples: DataFram
     each = _group(singles.join(held, KEY)).groupBy("id", "group_kind", "db", "subpop").agg(F.count("*").alias("_sum"))
     size = _group(_roster(samples.select("sample_id", "database", "superpopulation"))).groupBy("group_kind", "db", "subpop").agg(F.count("*").alias("_n"))
     same = lambda a, b: F.col(f"{a}.group_kind").eqNullSafe(F.col(f"{b}.group_kind")) & F.col(f"{a}.db").eqNullSafe(F.col(f"{b}.db")) & F.col(f"{a}.subpop").eqNullSafe(F.col(f"{b}.subpop"))
+    # ``size`` has a row for each group of the panel.
     j = out.alias("o").join(each.alias("e"), (F.col("o.id") == F.col("e.id")) & same("o", "e"), "left").join(F.broadcast(size).alias("s"), same("o", "s"))
     low = F.least(F.col("n_carrier"), F.greatest(F.lit(0), F.coalesce("_sum", F.lit(0)) - (F.col("k") - 1) * F.col("_n")))
     return j.select("o.id", "k", "o.group_kind", "o.db", "o.subpop", "n_carrier", "ac", "n_hom", F.col("o.phased").alias("phased"), F.when(F.col("o.phased"), F.col("n_carrier")).otherwise(low).alias("n_carrier_low"))
@@ -119,11 +122,17 @@ def haplotype_af(afs: Column) -> Column:
 
 
 def haplotype_frequency(hits: DataFrame, genotypes: DataFrame, samples: DataFrame, digits: int = 6) -> DataFrame:
-    """Per hit the share of haplotypes that carry all of its variants, over the panel's allele number; null if unphased."""
-    c = combinations(hits, genotypes, samples)
-    an = samples.select("sample_id", "sex").dropDuplicates(["sample_id"])
-    total = an.agg(F.count("*").alias("_n"))
-    return c.groupBy("id").agg(F.when(F.bool_and("phased"), F.sum("haplotypes")).alias("_h")).join(F.broadcast(total)).select("id", F.round(F.col("_h") / (F.col("_n") * 2), digits).alias("haplotype_freq"))
+    """Per hit the share of haplotypes that carry all of its variants, over the panel's allele number on their chromosome; null if unphased.
+
+    The allele number is the sum of the samples' ploidies there, so that males have one X and females no Y. A hit's
+    variants lie on one chromosome.
+    """
+    c = combinations(hits, genotypes, samples).groupBy("id").agg(F.when(F.bool_and("phased"), F.sum("haplotypes")).alias("_h"))
+    at = hits.select("id", F.array_min(F.transform("variants", lambda v: v["chrom"])).alias("chrom"))
+    sexes = samples.select("sample_id", "sex").dropDuplicates(["sample_id"]).groupBy("sex").agg(F.count("*").alias("_n"))
+    # As many rows as there are chromosomes and sexes.
+    number = at.select("chrom").distinct().join(F.broadcast(sexes)).groupBy("chrom").agg(F.sum(F.col("_n") * ploidy(F.col("chrom"), F.col("sex"))).alias("_an"))
+    return c.join(at, "id").join(F.broadcast(number), "chrom").select("id", F.round(F.col("_h") / F.when(F.col("_an") > 0, F.col("_an")), digits).alias("haplotype_freq"))
 
 
 def observed_haplotypes(windows: DataFrame, max_putative: int = 10) -> DataFrame:
@@ -132,7 +141,7 @@ def observed_haplotypes(windows: DataFrame, max_putative: int = 10) -> DataFrame
     ``windows`` has window_id, sample_id, pos, alt, gt and optionally phase_set, one row for each variant in the window
     and sample. A sample whose variants are all phased in one phase set gives one CONFIRMED set for each haplotype. Any
     other gives every non-empty subset of what it carries as PUTATIVE, or only the union if it carries more than
-    ``max_putative`` (-1: no limit, which is for tests). Equal sets are one row: carriers united, CONFIRMED only if all
+    ``max_putative`` (-1: no limit; more than MOST_PUTATIVE are then refused with an error). Equal sets are one row: carriers united, CONFIRMED only if all
     contributors are. Sets are never put together from several individuals.
     """
     ps = F.col("phase_set") if "phase_set" in windows.columns else F.lit(None).cast("string")
@@ -145,10 +154,14 @@ def observed_haplotypes(windows: DataFrame, max_putative: int = 10) -> DataFrame
     carried = F.array_sort(F.array_distinct(F.transform(F.filter("e", lambda x: F.exists(x["s"], lambda t: t)), lambda x: x["v"])))
     per = per.withColumns({"sure": sure, "confirmed": confirmed, "carried": carried})
     k = F.size("carried")
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.least(k, F.lit(max(max_putative, 0) or 20))) - 1).cast("int"))
+    if max_putative > MOST_PUTATIVE:
+        raise ValueError(f"max_putative must be at most {MOST_PUTATIVE}")
+    limit = max_putative if max_putative >= 0 else MOST_PUTATIVE
+    masks = F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.least(k, F.lit(limit))) - 1).cast("int"))
     subsets = F.transform(masks, lambda m: F.filter("carried", lambda x, i: (F.floor(m / F.pow(F.lit(2.0), i)).cast("int") % 2) == 1))
-    wide = (k > max_putative) if max_putative >= 0 else F.lit(False)
-    putative = F.when(k == 0, F.array().cast("array<array<struct<pos:bigint,alt:string>>>")).when(wide, F.array("carried")).otherwise(subsets)
+    wide = k > limit
+    union = F.array("carried") if max_putative >= 0 else F.raise_error(F.lit(f"more than {MOST_PUTATIVE} unphased variants in one window and sample")).cast("array<array<struct<pos:bigint,alt:string>>>")
+    putative = F.when(k == 0, F.array().cast("array<array<struct<pos:bigint,alt:string>>>")).when(wide, union).otherwise(subsets)
     sets = per.select("window_id", "sample_id", "sure", F.explode(F.when(F.col("sure"), F.col("confirmed")).otherwise(putative)).alias("variants"))
     return sets.groupBy("window_id", "variants").agg(F.array_sort(F.collect_set("sample_id")).alias("carriers"), F.when(F.bool_and("sure"), "CONFIRMED").otherwise("PUTATIVE").alias("phase_state"))
 

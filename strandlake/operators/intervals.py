@@ -64,6 +64,17 @@ def nearest_feature(hits: DataFrame, features: DataFrame, length: int = 1, width
     return hits.join(named, "id", "left")
 
 
+def gene_distance(near: DataFrame) -> DataFrame:
+    """``nearest_feature``'s result with what its label says of the gene, the distance in kb, and the region.
+
+    Labels are attributes like ``gene_id=G1;gene_name=ABC``; what is missing there is null. ``region`` is ``intergenic``
+    where the feature does not hold the hit, and null where it does or there is none.
+    """
+    value = lambda key: F.regexp_extract("nearest", rf"(?:^|;)\s*{key}=([^;]*)", 1)
+    own = lambda key: F.when(value(key) != "", value(key))
+    return near.withColumns({"gene_id": own("gene_id"), "gene_name": own("gene_name"), "distance_kb": F.col("distance") / F.lit(1000.0), "region": F.when(F.col("distance") != 0, "intergenic")})
+
+
 def match_empirical(hits: DataFrame, empirical: DataFrame, assays: list[str], slack: int = 4, below: int = 50) -> tuple[DataFrame, DataFrame]:
     """(hits with one column for each assay, empirical rows that no hit matches).
 
@@ -107,8 +118,10 @@ def asof_match(a: DataFrame, b: DataFrame, by: list[str], on: str, tolerance: in
     chosen = F.when(F.col("_p").isNotNull() & (F.col("_n").isNull() | (gp <= gn)), F.col("_p")).otherwise(F.col("_n"))
     near = near.withColumn("_b", chosen).withColumn("_gap", F.abs(F.col("_on") - F.col("_b.on")))
     near = near.withColumn("_b", F.when(F.col("_gap") <= tolerance, F.col("_b")))
+    # Only rows that found a ``b`` are ranked by claim; the many without one stay where they are.
     claim = Window.partitionBy(*by, "_b").orderBy("_gap", "_on", "_id")
-    near = near.withColumn("_b", F.when(F.row_number().over(claim) == 1, F.col("_b")))
+    claimed = near.where("_b is not null").withColumn("_b", F.when(F.row_number().over(claim) == 1, F.col("_b")))
+    near = near.where("_b is null").select(claimed.columns).unionByName(claimed)
     left = near.select(*by, F.col("_id").alias("id_a"), F.col("_on").alias("on_a"), F.col("_b.id").alias("id_b"), F.col("_b.on").alias("on_b"), F.when(F.col("_b").isNotNull(), "both").otherwise("a_only").alias("origin"))
     taken = left.where("id_b is not null").select(*by, F.col("id_b").alias("_id"), F.col("on_b").alias("_on"))
     rest = rb.join(taken, [*by, "_id", "_on"], "left_anti")

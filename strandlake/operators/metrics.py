@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .cluster import value_ranks
+
 
 def _hit() -> Column:
     return F.col("rel") != 0
@@ -59,8 +63,8 @@ def dcg_at_k(df: DataFrame, k: int, method: int = 0, digits: int = 6) -> DataFra
 
 def rank_normalize(df: DataFrame, group: list[str], value: str, threshold: float = 0.8, flip: bool = False, digits: int = 6) -> DataFrame:
     """``df`` with rank (ties average, over the group's largest) and label (rank above the threshold)."""
-    order = F.col(value).desc() if flip else F.col(value).asc()
-    rank = F.rank().over(Window.partitionBy(*group).orderBy(order)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / F.lit(2.0)
-    r = df.withColumn("_r", rank)
-    share = F.col("_r") / F.max("_r").over(Window.partitionBy(*group))
-    return r.withColumn("rank", F.round(share, digits)).withColumn("label", (share > threshold).cast("int")).drop("_r")
+    r = value_ranks(df, group, value, "_r", flip)
+    most = r.groupBy(*group).agg(F.max("_r").alias("_most")).select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(group)], "_most")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(group)])
+    share = F.col("_r") / F.col("_most")
+    return r.join(most, same).withColumns({"rank": F.round(share, digits), "label": (share > threshold).cast("int")}).select(*[c for c in df.columns if c not in ("rank", "label")], "rank", "label")

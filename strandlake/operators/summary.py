@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .clean import partition_mask
+from .cluster import score_ranks, value_ranks
 
 SCORE_TIERS, TOTAL_TIERS = (0.5, 0.2, 0.05), (1, 2, 3, 4)
 TIES = ("pos", "strand", "id")
@@ -32,6 +33,7 @@ def summary_by_sample(carried: DataFrame, samples: DataFrame, created: str | Non
     own = known.groupBy("guide", "sample").agg(F.count("*").alias("n_sample"), F.count_if(flag).alias("n_pam_created"))
     pop = known.select("guide", "population", "id").distinct().groupBy("guide", "population").agg(F.count("*").alias("n_population"))
     sup = known.select("guide", "superpopulation", "id").distinct().groupBy("guide", "superpopulation").agg(F.count("*").alias("n_superpopulation"))
+    # The result has a row for each sample and guide by contract.
     grid = samples.join(F.broadcast(carried.select("guide").distinct()))
     out = grid.join(own, ["guide", "sample"], "left").join(pop, ["guide", "population"], "left").join(sup, ["guide", "superpopulation"], "left")
     n = ("n_sample", "n_population", "n_superpopulation", "n_pam_created")
@@ -100,10 +102,16 @@ def dedupe_reference(df: DataFrame, keys: tuple[str, ...] = ("chrom", "pos", "st
 
 
 def origin_by_population(carried: DataFrame) -> DataFrame:
-    """Hits by origin, and variant hits by superpopulation, each once: kind, name, n."""
-    by_origin = carried.select("id", "origin").distinct().groupBy(F.col("origin").alias("name")).agg(F.count("*").alias("n")).select(F.lit("origin").alias("kind"), "name", "n")
-    sup = carried.where("origin = 'alt'").select("id", F.coalesce("superpopulation", F.lit("unknown")).alias("name")).distinct().groupBy("name").agg(F.count("*").alias("n"))
-    return by_origin.unionByName(sup.select(F.lit("superpopulation").alias("kind"), "name", "n"))
+    """Off-targets by origin, and variant ones by superpopulation, each once: kind, name, n.
+
+    On-target rows (``total`` 0) count nowhere. Without a column ``superpopulation`` the samples' ``database`` stands in
+    for it; a carrier without either is ``unknown``.
+    """
+    off = carried.where("total != 0")
+    group = "superpopulation" if "superpopulation" in carried.columns else "database"
+    by_origin = off.select("id", "origin").distinct().groupBy(F.col("origin").alias("name")).agg(F.count("*").alias("n")).select(F.lit("origin").alias("kind"), "name", "n")
+    by_group = off.where("origin = 'alt'").select("id", F.coalesce(group, F.lit("unknown")).alias("name")).distinct().groupBy("name").agg(F.count("*").alias("n"))
+    return by_origin.unionByName(by_group.select(F.lit(group).alias("kind"), "name", "n"))
 
 
 def cumulative_annotation_counts(annotated: DataFrame, most: int = 14) -> DataFrame:
@@ -140,6 +148,11 @@ def personal_private(sites: DataFrame) -> DataFrame:
     return rows.groupBy("sample").agg(F.count("*").alias("personal"), F.count_if("only").alias("private")).withColumn("ratio", F.round(F.col("private") / F.col("personal"), 6))
 
 
+def mean_private_ratio(sites: DataFrame, digits: int = 6) -> DataFrame:
+    """One row: how many samples carry a site, and the mean of their ratios of private to personal sites."""
+    return personal_private(sites).agg(F.count("*").alias("samples"), F.round(F.avg("ratio"), digits).alias("mean_ratio"))
+
+
 def two_sample_t(a: DataFrame, b: DataFrame, column: str, digits: int = 6) -> DataFrame:
     """One row: the means, and Student's t with equal variances between a column of two tables."""
     s = lambda df, p: df.agg(F.count(column).alias(f"n_{p}"), F.avg(column).alias(f"mean_{p}"), F.var_samp(column).alias(f"v_{p}"))
@@ -151,9 +164,14 @@ def two_sample_t(a: DataFrame, b: DataFrame, column: str, digits: int = 6) -> Da
 
 def score_correlation(df: DataFrame, x: str = "score", y: str = "score_ref", digits: int = 6) -> DataFrame:
     """Pearson's and Spearman's correlation per guide; ties get their average rank."""
-    rank = lambda c: F.rank().over(Window.partitionBy("guide").orderBy(c)) + (F.count("*").over(Window.partitionBy("guide", c)) - 1) / F.lit(2.0)
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": rank(x), "_ry": rank(y)})
-    return r.groupBy("guide").agg(F.round(F.corr(x, y), digits).alias("pearson"), F.round(F.corr("_rx", "_ry"), digits).alias("spearman"))
+    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("guide", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    r = value_ranks(value_ranks(r, ["guide"], "_x", "_rx"), ["guide"], "_y", "_ry")
+    return r.groupBy("guide").agg(F.round(F.corr("_x", "_y"), digits).alias("pearson"), F.round(F.corr("_rx", "_ry"), digits).alias("spearman"))
+
+
+def rank_correlation(df: DataFrame, second: str = "score_ref", clip: int = 10_000, digits: int = 6, ties=TIES) -> DataFrame:
+    """The same over the ranks by both scores, clipped at ``clip``, of the rows that are in the first ``clip`` of either."""
+    return score_correlation(score_ranks(df, second, clip, ties), "rank_score", "rank_second", digits)
 
 
 def score_maf_heatmap(df: DataFrame, bin_: Column, decade: Column, decades: list[float]) -> DataFrame:
@@ -170,23 +188,36 @@ def category_overlap(df: DataFrame) -> DataFrame:
 
 
 def guide_top_stats(df: DataFrame, ks: tuple[int, ...] = (10, 100, 1000), least: float = 0.1, key: str = "aligned_ref", digits: int = 6, ties=TIES) -> DataFrame:
-    """Per guide and k: among the k best sites by score, variant ones, their mean score, and the number of duplicates dropped.
+    """Per guide and k, of the variant ones among the k best sites by score: how many there are, how many lie on the
+    on-target's chromosome, have a regulatory element (``ccre``), or stand in coding sequence (a ``gene_region`` with
+    CDS), and the mean, deviation, least and largest frequency (``af``); and the number of duplicates dropped.
 
-    Sites: off-targets with more than one edit and a score of at least ``least``; of those with equal ``key`` the best.
+    Sites: off-targets with more than one edit and a score of at least ``least``; of those with equal ``key`` the best,
+    among equal scores one with a regulatory element. The on-target is a guide's first row without edits of that score.
     """
-    rows = df.where((F.col("total") > 1) & (F.col("score") >= least))
+    good = df.where(F.col("score") >= least)
+    target = good.where("total = 0").groupBy("guide").agg(F.min_by("chrom", F.struct(*ties)).alias("_target"))
+    rows = good.where("total > 1")
+    order = [F.col("score").desc(), F.col("ccre").desc_nulls_last(), *ties]
     same = Window.partitionBy("guide", key)
-    rows = rows.withColumn("duplicates", F.count("*").over(same) - 1).withColumn("_d", F.row_number().over(same.orderBy(F.col("score").desc(), *ties))).where("_d = 1")
-    r = rows.withColumn("_r", F.row_number().over(Window.partitionBy("guide").orderBy(F.col("score").desc(), *ties)))
-    r = r.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("_r <= k")
+    rows = rows.withColumn("duplicates", F.count("*").over(same) - 1).withColumn("_d", F.row_number().over(same.orderBy(*order))).where("_d = 1")
+    r = rows.withColumn("_r", F.row_number().over(Window.partitionBy("guide").orderBy(*order))).where(F.col("_r") <= max(ks))
+    r = r.join(target, "guide", "left").withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("_r <= k")
     alt = F.col("origin") == "alt"
-    return r.groupBy("guide", "k").agg(F.count("*").alias("n"), F.count_if(alt).alias("n_alt"), F.sum("duplicates").alias("duplicates"), F.round(F.avg(F.when(alt, F.col("score"))), digits).alias("mean_alt"), F.min(F.when(alt, F.col("score"))).alias("min_alt"), F.max(F.when(alt, F.col("score"))).alias("max_alt"))
+    af = F.when(alt, F.col("af"))
+    return r.groupBy("guide", "k").agg(
+        F.count("*").alias("n"), F.count_if(alt).alias("n_alt"), F.sum("duplicates").alias("duplicates"),
+        F.count_if(alt & (F.col("chrom") == F.col("_target"))).alias("n_same_chrom"), F.count_if(alt & F.col("ccre").isNotNull()).alias("n_ccre"),
+        F.count_if(alt & F.coalesce(F.col("gene_region").contains("CDS"), F.lit(False))).alias("n_cds"),
+        F.round(F.avg(af), digits).alias("mean_af"), F.round(F.stddev_samp(af), digits).alias("std_af"), F.min(af).alias("min_af"), F.max(af).alias("max_af"),
+    )
 
 
 def alt_target_counts(df: DataFrame) -> DataFrame:
     """Rows with at most one edit, with their guide's number of rows, variant rows, and variant rows with a score of its own."""
-    w = Window.partitionBy("guide")
-    return df.withColumns({"n_rows": F.count("*").over(w), "n_alt": F.count_if(F.col("origin") == "alt").over(w), "n_alt_score": F.count_if((F.col("origin") == "alt") & (F.col("score") > F.col("score_ref"))).over(w)}).where("total <= 1")
+    alt = F.col("origin") == "alt"
+    counts = df.groupBy(F.col("guide").alias("_guide")).agg(F.count("*").alias("n_rows"), F.count_if(alt).alias("n_alt"), F.count_if(alt & (F.col("score") > F.col("score_ref"))).alias("n_alt_score"))
+    return df.where("total <= 1").join(counts, F.col("guide").eqNullSafe(F.col("_guide"))).drop("_guide")
 
 
 def alt_in_top_k(df: DataFrame, k: int, by_score: bool = True, ties=TIES) -> DataFrame:

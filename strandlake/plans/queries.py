@@ -15,7 +15,7 @@ QUERIES, ORACLES = {}, {}
 ID = "guide, chrom, pos, strand, id"
 
 
-def query(sql: str | None = None, views: str = "hits"):
+def query(sql: str | None = None, views: str = "hits", recursive: bool = False):
     """Registers a function of (views by name) under its name, with its SQL over the same views."""
     known = {"hits": HITS, "features": FEATURES, "samples": SAMPLES, "genotypes": GENOTYPES} | VIEWS
     names = views.split()
@@ -23,7 +23,7 @@ def query(sql: str | None = None, views: str = "hits"):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*[bind(spark, sf_dir, known[n]) for n in names])
         if sql is not None:
-            ORACLES[f.__name__] = oracle(sql, **{n: known[n] for n in names})
+            ORACLES[f.__name__] = oracle(sql, **{n: known[n] for n in names}).replace("WITH", "WITH RECURSIVE" if recursive else "WITH", 1)
         return f
 
     return add
@@ -110,8 +110,13 @@ def w7_merge_panel_clusters(hits):
     return cluster.merge_panel_clusters(rows, ["guide", "chrom", "cluster"]).select("id", "label", "best", F.round("delta", 6).alias("delta"), "n_others")
 
 
-@query(", o AS (SELECT *, least(rank() OVER (ORDER BY score DESC), rank() OVER (ORDER BY total)) AS severity, (total <= 2 OR score >= 0.99) AS hard FROM (SELECT * FROM hits WHERE total > 0)), h AS (SELECT count(*) AS n FROM o WHERE hard), f AS (SELECT *, row_number() OVER (ORDER BY severity, score DESC, total, pos, strand, id) AS r FROM o WHERE NOT hard) SELECT id, NULL::BIGINT AS severity, true AS hard FROM hits WHERE total = 0 UNION ALL SELECT id, severity, hard FROM o WHERE hard UNION ALL SELECT id, severity, hard FROM f, h WHERE r + n <= 60000")
+@query(", o AS (SELECT *, least(rank() OVER (ORDER BY score DESC), rank() OVER (ORDER BY total)) AS severity, (total <= 2 OR score >= 0.5) AS hard FROM (SELECT * FROM hits WHERE total > 0)), h AS (SELECT count(*) AS n FROM o WHERE hard), f AS (SELECT *, row_number() OVER (ORDER BY severity, score DESC, total, pos, strand, id) AS r FROM o WHERE NOT hard) SELECT id, NULL::BIGINT AS severity, true AS hard FROM hits WHERE total = 0 UNION ALL SELECT id, severity, hard FROM o WHERE hard UNION ALL SELECT id, severity, hard FROM f, h WHERE r + n <= 100")
 def w8_severity_panel(hits):
+    return cluster.severity_panel(hits).select("id", "severity", "hard")
+
+
+@query(", o AS (SELECT *, least(rank() OVER (ORDER BY score DESC), rank() OVER (ORDER BY total)) AS severity, (total <= 2 OR score >= 0.99) AS hard FROM (SELECT * FROM hits WHERE total > 0)), h AS (SELECT count(*) AS n FROM o WHERE hard), f AS (SELECT *, row_number() OVER (ORDER BY severity, score DESC, total, pos, strand, id) AS r FROM o WHERE NOT hard) SELECT id, NULL::BIGINT AS severity, true AS hard FROM hits WHERE total = 0 UNION ALL SELECT id, severity, hard FROM o WHERE hard UNION ALL SELECT id, severity, hard FROM f, h WHERE r + n <= 60000")
+def w8_severity_panel_fill(hits):
     return cluster.severity_panel(hits, 60_000, floor_score=0.99).select("id", "severity", "hard")
 
 
@@ -122,7 +127,7 @@ def w9_score_ranks(hits):
 
 @query(", x AS (SELECT id, row_number() OVER (PARTITION BY guide ORDER BY score DESC, total, pos, strand, id)::INTEGER AS site_rank FROM hits) SELECT * FROM x")
 def w10_site_rank(hits):
-    return cluster.site_rank(hits, [F.col("score").desc(), F.col("total")]).select("id", "site_rank")
+    return cluster.site_rank(hits, [("score", True), ("total", False)]).select("id", "site_rank")
 
 
 @query(", x AS (SELECT guide, id, score, row_number() OVER (PARTITION BY guide ORDER BY score DESC, pos, strand, id)::INTEGER AS rank FROM hits WHERE total > 1) SELECT * FROM x WHERE rank <= 1000")
@@ -238,11 +243,17 @@ def a11_dedupe_reference(hits):
     return rows.select("id", clean.partition_mask(F.col("total"), F.col("origin")).alias("kind"))
 
 
-@query(" SELECT 'origin' AS kind, origin AS name, count(DISTINCT id) AS n FROM hits GROUP BY origin UNION ALL SELECT 'superpopulation', superpopulation, count(DISTINCT id) FROM hits WHERE origin = 'alt' GROUP BY superpopulation")
+@query(" SELECT 'origin' AS kind, origin AS name, count(DISTINCT id) AS n FROM hits WHERE total > 0 GROUP BY origin UNION ALL SELECT 'superpopulation', superpopulation, count(DISTINCT id) FROM hits WHERE origin = 'alt' AND total > 0 GROUP BY superpopulation")
 def a12_origin_by_population(hits):
     return summary.origin_by_population(hits)
 
 
+@query(" SELECT 'origin' AS kind, origin AS name, count(DISTINCT id) AS n FROM hits WHERE total > 0 GROUP BY origin UNION ALL SELECT 'database', CASE WHEN sample % 4 = 3 THEN 'unknown' ELSE 'd' || sample % 4 END, count(DISTINCT id) FROM hits WHERE origin = 'alt' AND total > 0 GROUP BY ALL")
+def a12_origin_by_database(hits):
+    db = F.when(F.col("sample") % 4 < 3, F.concat(F.lit("d"), (F.col("sample") % 4).cast("string")))
+    return summary.origin_by_population(hits.select("id", "origin", "total", db.alias("database")))
+
+
 @query(f", {LABELS.format(a='hits')}, l AS (SELECT guide, total, hits.id, unnest(list_concat(['all'], labels)) AS label FROM hits JOIN lab USING (id)), n AS (SELECT guide, label, total, count(DISTINCT id) AS n FROM l GROUP BY ALL), t AS (SELECT unnest(range(15))::INTEGER AS threshold), g AS (SELECT DISTINCT guide, label FROM n) SELECT g.guide, g.label, t.threshold, coalesce(sum(n.n), 0)::BIGINT AS n FROM g CROSS JOIN t LEFT JOIN n ON n.guide = g.guide AND n.label = g.label AND n.total <= t.threshold GROUP BY ALL", "hits features")
 def a13_cumulative_annotation_counts(hits, features):
     return summary.cumulative_annotation_counts(intervals.annotate_overlaps(hits, features, 23).where("labels is not null"))
@@ -253,6 +264,11 @@ def a15_personal_private(hits):
     return summary.personal_private(_sites(hits))
 
 
+@query(f", {SITES}, s AS (SELECT unnest(samples) AS sample, len(samples) AS k FROM sites), r AS (SELECT sample, round(count(*) FILTER (k = 1) / count(*), 6) AS ratio FROM s GROUP BY sample) SELECT count(*) AS samples, round(avg(ratio), 6) AS mean_ratio FROM r")
+def a15_mean_private_ratio(hits):
+    return summary.mean_private_ratio(_sites(hits))
+
+
 @query(", a AS (SELECT count(score) AS n, avg(score) AS m, var_samp(score) AS v FROM hits WHERE origin = 'ref'), b AS (SELECT count(score) AS n, avg(score) AS m, var_samp(score) AS v FROM hits WHERE origin = 'alt') SELECT a.n AS n_a, b.n AS n_b, round(a.m, 6) AS mean_a, round(b.m, 6) AS mean_b, round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)), 6) AS t FROM a, b")
 def a15_two_sample_t(hits):
     return summary.two_sample_t(hits.where("origin = 'ref'"), hits.where("origin = 'alt'"), "score")
@@ -263,6 +279,11 @@ def a16_score_correlation(hits):
     return summary.score_correlation(hits)
 
 
+@query(", k AS (SELECT guide, row_number() OVER (PARTITION BY guide ORDER BY score DESC, pos, strand, id) AS a, row_number() OVER (PARTITION BY guide ORDER BY score_ref DESC, pos, strand, id) AS b FROM hits), c AS (SELECT guide, least(a, 500) AS a, least(b, 500) AS b FROM k WHERE a <= 500 OR b <= 500), r AS (SELECT *, rank() OVER (PARTITION BY guide ORDER BY a) + (count(*) OVER (PARTITION BY guide, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY guide ORDER BY b) + (count(*) OVER (PARTITION BY guide, b) - 1) / 2.0 AS rb FROM c) SELECT guide, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY guide")
+def a16_rank_correlation(hits):
+    return summary.rank_correlation(hits, "score_ref", 500)
+
+
 @query(", x AS (SELECT (round(score * 1000)::BIGINT // 100) / 10.0 AS bin, CASE WHEN sample % 1000 = 0 THEN 0 WHEN sample % 1000 >= 100 THEN 3 WHEN sample % 1000 >= 10 THEN 2 ELSE 1 END AS d FROM hits WHERE total > 1) SELECT bin, " + ", ".join(f"CASE WHEN count(*) FILTER (d = {i}) = 0 THEN 0.1 ELSE count(*) FILTER (d = {i}) END::DOUBLE AS d{i}" for i in range(4)) + " FROM x GROUP BY bin")
 def a17_score_maf_heatmap(hits):
     af = (F.col("sample") % 1000) / F.lit(1000.0)
@@ -275,9 +296,15 @@ def a18_category_overlap(hits):
     return summary.category_overlap(clean.categories(flags))
 
 
-@query(", d AS (SELECT *, count(*) OVER (PARTITION BY guide, pos) - 1 AS dup, row_number() OVER (PARTITION BY guide, pos ORDER BY score DESC, pos, strand, id) AS q FROM hits WHERE total > 1 AND score >= 0.1), r AS (SELECT *, row_number() OVER (PARTITION BY guide ORDER BY score DESC, pos, strand, id) AS r FROM d WHERE q = 1) SELECT guide, k::INTEGER AS k, count(*) AS n, count(*) FILTER (origin = 'alt') AS n_alt, sum(dup)::BIGINT AS duplicates, round(avg(score) FILTER (origin = 'alt'), 6) AS mean_alt, min(score) FILTER (origin = 'alt') AS min_alt, max(score) FILTER (origin = 'alt') AS max_alt FROM r JOIN (VALUES (10), (100), (1000)) v(k) ON r <= k GROUP BY guide, k")
+@query(""", b AS (SELECT *, CASE WHEN mm % 2 = 0 THEN population END AS ccre, CASE WHEN bulge = 1 THEN 'exon,CDS' WHEN bulge = 2 THEN 'exon' END AS region, (sample % 1000) / 1000.0::DOUBLE AS af FROM hits WHERE score >= 0.1),
+o AS (SELECT guide, chrom AS target FROM (SELECT *, row_number() OVER (PARTITION BY guide ORDER BY pos, strand, id) AS q FROM b WHERE total = 0) WHERE q = 1),
+d AS (SELECT *, count(*) OVER (PARTITION BY guide, pos) - 1 AS dup, row_number() OVER (PARTITION BY guide, pos ORDER BY score DESC, ccre DESC NULLS LAST, pos, strand, id) AS q FROM b WHERE total > 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY guide ORDER BY score DESC, ccre DESC NULLS LAST, pos, strand, id) AS r FROM d WHERE q = 1)
+SELECT r.guide, k::INTEGER AS k, count(*) AS n, count(*) FILTER (origin = 'alt') AS n_alt, sum(dup)::BIGINT AS duplicates, count(*) FILTER (origin = 'alt' AND chrom = target) AS n_same_chrom, count(*) FILTER (origin = 'alt' AND ccre IS NOT NULL) AS n_ccre, count(*) FILTER (origin = 'alt' AND region LIKE '%CDS%') AS n_cds,
+round(avg(af) FILTER (origin = 'alt'), 6) AS mean_af, round(stddev_samp(af) FILTER (origin = 'alt'), 6) AS std_af, min(af) FILTER (origin = 'alt') AS min_af, max(af) FILTER (origin = 'alt') AS max_af FROM r LEFT JOIN o USING (guide) JOIN (VALUES (10), (100), (1000)) v(k) ON r <= k GROUP BY r.guide, k""")
 def a19_guide_top_stats(hits):
-    return summary.guide_top_stats(hits, key="pos")
+    rows = hits.withColumns({"ccre": F.when(F.col("mm") % 2 == 0, F.col("population")), "gene_region": F.when(F.col("bulge") == 1, "exon,CDS").when(F.col("bulge") == 2, "exon"), "af": (F.col("sample") % 1000) / F.lit(1000.0)})
+    return summary.guide_top_stats(rows, key="pos")
 
 
 @query(", w AS (SELECT id, total, count(*) OVER (PARTITION BY guide) AS n_rows, count(*) FILTER (origin = 'alt') OVER (PARTITION BY guide) AS n_alt, count(*) FILTER (origin = 'alt' AND score > score_ref) OVER (PARTITION BY guide) AS n_alt_score FROM hits) SELECT id, n_rows, n_alt, n_alt_score FROM w WHERE total <= 1")
@@ -315,6 +342,17 @@ def j2_nearest_feature(hits, features):
     return intervals.nearest_feature(sites, features).where("distance is not null").select("chrom", "pos", F.col("distance").cast("bigint").alias("distance"))
 
 
+@query(""", f2 AS (SELECT chrom, start, "end", 'gene_id=G' || start || CASE WHEN start % 2 = 0 THEN ';gene_name=' || label ELSE '' END AS label FROM features), u AS (SELECT DISTINCT chrom, pos FROM hits), d AS (SELECT u.chrom, u.pos, f.label, f.start, f."end", CASE WHEN f.start <= u.pos THEN -greatest(0, u.pos - f."end" + 1) ELSE greatest(0, f.start - (u.pos + 1) + 1) END AS distance FROM u JOIN f2 f ON f.chrom = u.chrom),
+r AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY abs(distance), distance > 0, CASE WHEN distance <= 0 THEN -"end" ELSE start END, label) AS r FROM d)
+SELECT chrom, pos, distance / 1000.0::DOUBLE AS distance_kb, CASE WHEN distance <> 0 THEN 'intergenic' END AS region, CASE WHEN distance >= 0 THEN nullif(regexp_extract(label, 'gene_id=([^;]*)', 1), '') END AS gene_id, CASE WHEN distance > 0 THEN nullif(regexp_extract(label, 'gene_name=([^;]*)', 1), '') END AS gene_name FROM r WHERE r = 1 AND distance > 0""", "hits features")
+def j2_gene_distance(hits, features):
+    """Of the features that follow their hit, whose start alone decides which is nearest."""
+    sites = hits.select("chrom", "pos").distinct().withColumn("id", F.concat_ws(":", "chrom", "pos"))
+    named = features.withColumn("label", F.concat(F.lit("gene_id=G"), "start", F.when(F.col("start") % 2 == 0, F.concat(F.lit(";gene_name="), "label")).otherwise("")))
+    near = intervals.gene_distance(intervals.nearest_feature(sites, named)).where("distance > 0")
+    return near.select("chrom", "pos", "distance_kb", "region", "gene_id", "gene_name")
+
+
 @query(""", e AS (SELECT chrom, start, start + 3 AS "end", label, CASE WHEN start % 2 = 0 THEN 'even' ELSE 'odd' END AS assay, (start % 97)::BIGINT AS value FROM features WHERE start % 60 < 50),
 p AS (SELECT h.id, e.assay, e.value FROM hits h JOIN e ON h.chrom = e.chrom AND e.start < h.pos + 4 AND h.pos - 4 < e."end")
 SELECT hits.id, max(value) FILTER (assay = 'even') AS even, max(value) FILTER (assay = 'odd') AS odd FROM hits LEFT JOIN p USING (id) GROUP BY hits.id""", "hits features")
@@ -410,24 +448,28 @@ def a24_record_stats(g, samples):
     return genotypes.record_stats(genotypes.allele_counts_panel(g, samples))
 
 
-_PAIRS = ", v AS (SELECT pos // 2 AS id, count(DISTINCT pos) AS k FROM genotypes WHERE chrom <> 'chrX' GROUP BY pos // 2), r AS (SELECT g.pos // 2 AS id, sample_id, count(*) AS n, bool_and(gt LIKE '%|%') AS phased, bool_and(substr(gt, 1, 1) = '1') AS h1, bool_and(substr(gt, 3, 1) = '1') AS h2 FROM genotypes g WHERE chrom <> 'chrX' GROUP BY ALL), f AS (SELECT r.*, k FROM r JOIN v USING (id) WHERE n = k)"
+# Variants of one chromosome at neighbouring places make a hit; a male's second slot on X does not count.
+_PAIRS = """, hg AS (SELECT chrom || ':' || (pos // 50) AS id, g.chrom, pos, sample_id, gt, CASE WHEN g.chrom = 'chrX' AND sex = 'male' THEN 1 ELSE 2 END AS p FROM genotypes g JOIN samples USING (sample_id)),
+v AS (SELECT id, count(DISTINCT pos) AS k FROM hg GROUP BY id),
+ca AS (SELECT * FROM hg WHERE substr(gt, 1, 1) = '1' OR p = 2 AND substr(gt, 3, 1) = '1'),
+r AS (SELECT id, sample_id, max(p) AS p, count(*) AS n, bool_and(gt LIKE '%|%') AS phased, bool_and(substr(gt, 1, 1) = '1') AS h1, bool_and(substr(gt, 3, 1) = '1' AND p = 2) AS h2 FROM ca GROUP BY id, sample_id), f AS (SELECT r.*, k FROM r JOIN v USING (id) WHERE n = k)"""
 
 
 def _pair_hits(g: DataFrame) -> DataFrame:
-    return g.where("chrom != 'chrX'").groupBy(F.floor(F.col("pos") / 2).alias("id")).agg(F.collect_set(F.struct("chrom", "pos", "ref", "alt")).alias("variants"))
+    return g.groupBy(F.concat("chrom", F.lit(":"), F.floor(F.col("pos") / 50)).alias("id")).agg(F.collect_set(F.struct("chrom", "pos", "ref", "alt")).alias("variants"))
 
 
-@query(_PAIRS + " SELECT id, k::INTEGER AS k, sample_id, 2 AS ploidy, phased OR k = 1 AS phased, (h1::INT + h2::INT)::BIGINT AS haplotypes FROM f", "genotypes samples")
+@query(_PAIRS + " SELECT id, k::INTEGER AS k, sample_id, p AS ploidy, phased OR k = 1 AS phased, (h1::INT + h2::INT)::BIGINT AS haplotypes FROM f", "genotypes samples")
 def a25_combinations(g, samples):
     return genotypes.combinations(_pair_hits(g), g, samples)
 
 
-@query(_PAIRS + ", o AS (SELECT id, k, phased OR k = 1 AS phased, h1::INT + h2::INT AS h FROM f WHERE NOT (phased OR k = 1) OR h1 OR h2), t AS (SELECT id, k, count(*) AS n_carrier, CASE WHEN bool_and(phased) THEN sum(h) END AS ac, count(*) FILTER (phased AND h = 2) AS n_hom, bool_and(phased) AS phased FROM o GROUP BY ALL), s AS (SELECT pos // 2 AS id, count(*) AS s FROM genotypes WHERE chrom <> 'chrX' GROUP BY ALL) SELECT t.id, k::INTEGER AS k, n_carrier, ac::BIGINT AS ac, n_hom, phased, CASE WHEN phased THEN n_carrier ELSE least(n_carrier, greatest(0, s.s - (k - 1) * (SELECT count(*) FROM samples))) END::BIGINT AS n_carrier_low FROM t JOIN s USING (id)", "genotypes samples")
+@query(_PAIRS + ", o AS (SELECT id, k, p, phased OR k = 1 AS phased, h1::INT + h2::INT AS h FROM f WHERE NOT (phased OR k = 1) OR h1 OR h2), t AS (SELECT id, k, count(*) AS n_carrier, CASE WHEN bool_and(phased) THEN sum(h) END AS ac, count(*) FILTER (phased AND h = p) AS n_hom, bool_and(phased) AS phased FROM o GROUP BY ALL), s AS (SELECT id, count(*) AS s FROM hg GROUP BY ALL) SELECT t.id, k::INTEGER AS k, n_carrier, ac::BIGINT AS ac, n_hom, phased, CASE WHEN phased THEN n_carrier ELSE least(n_carrier, greatest(0, s.s - (k - 1) * (SELECT count(*) FROM samples))) END::BIGINT AS n_carrier_low FROM t JOIN s USING (id)", "genotypes samples")
 def a25_combination_summary(g, samples):
     return genotypes.combination_summary(_pair_hits(g), g, samples).where("group_kind = 'global'").drop("group_kind", "db", "subpop")
 
 
-@query(_PAIRS + " SELECT id, round(CASE WHEN bool_and(phased OR k = 1) THEN sum(h1::INT + h2::INT) END / ((SELECT count(*) FROM samples) * 2), 6) AS haplotype_freq FROM f GROUP BY id", "genotypes samples")
+@query(_PAIRS + ", an AS (SELECT sum(CASE WHEN sex = 'male' THEN 1 ELSE 2 END) AS x, count(*) * 2 AS a FROM samples) SELECT id, round(CASE WHEN bool_and(phased OR k = 1) THEN sum(h1::INT + h2::INT) END / CASE WHEN id LIKE 'chrX:%' THEN any_value(an.x) ELSE any_value(an.a) END, 6) AS haplotype_freq FROM f, an GROUP BY id", "genotypes samples")
 def a30_haplotype_frequency(g, samples):
     return genotypes.haplotype_frequency(_pair_hits(g), g, samples)
 
@@ -510,9 +552,11 @@ def p9_p11_p12_p14_scores(hits):
     return rows.select("id", F.round(clean.scored(F.col("score") - 0.5), 6).alias("valid"), clean.effective_score(F.col("score"), F.col("score_ref")).alias("effective"), F.round("risk", 6).alias("risk"), F.round("abs_risk", 6).alias("abs_risk"), clean.partition_mask(F.col("total"), F.col("origin")).alias("kind"))
 
 
-@query(" SELECT 'not_genotyped' AS check, 'info' AS severity, count(*) AS n, array_to_string(list_slice(list(sample_id ORDER BY sample_id), 1, 5), ',') AS example FROM samples WHERE sample_id NOT IN (SELECT sample_id FROM genotypes) HAVING count(*) > 0", "samples genotypes")
+@query(""", ro AS (SELECT sample_id FROM samples WHERE sample % 3 <> 0), ge AS (SELECT sample_id FROM genotypes WHERE sample_id NOT LIKE '%7') SELECT 'not_genotyped' AS check, 'info' AS severity, count(*) AS n, array_to_string(list_slice(list(sample_id ORDER BY sample_id), 1, 5), ',') AS example FROM ro WHERE sample_id NOT IN (SELECT sample_id FROM ge) HAVING count(*) > 0
+UNION ALL SELECT 'not_in_roster', 'error', count(DISTINCT sample_id), array_to_string(list_slice(list_sort(list(DISTINCT sample_id)), 1, 5), ',') FROM ge WHERE sample_id NOT IN (SELECT sample_id FROM ro) HAVING count(*) > 0""", "samples genotypes")
 def q2_check_samples(samples, g):
-    return quality.check_samples(samples, g)
+    """A roster and a panel that lack each other's samples in part, as when two releases are put together."""
+    return quality.check_samples(samples.where("sample % 3 != 0"), g.where("sample_id not like '%7'"))
 
 
 @query(" SELECT count(*) AS rows, count(*) FILTER (score < 0.4) AS failing, count(*) FILTER (score < 0.4) <= 0.5 * count(*) AS passed FROM hits")
@@ -549,16 +593,25 @@ def _dna(text):
     return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
 
 
-@query(f", s AS (SELECT doc_id, substr({_DNA}, 1, 400) AS s FROM seqs) SELECT doc_id, reverse(translate(s, 'ACGT', 'TGCA')) AS rc, length(regexp_replace(s, '[^GC]', '', 'g'))::INTEGER AS gc FROM s", "seqs")
+@query(f", s AS (SELECT doc_id, {_DNA} AS s FROM seqs) SELECT doc_id, reverse(translate(s, 'ACGT', 'TGCA')) AS rc, length(regexp_replace(s, '[^GC]', '', 'g'))::INTEGER AS gc FROM s", "seqs")
 def f1_reverse_complement(seqs):
-    s = F.substring(_dna(F.col("text")), 1, 400)
+    s = _dna(F.col("text"))
     return seqs.select("doc_id", seqf.reverse_complement(s).alias("rc"), seqf.gc_count(s).alias("gc"))
 
 
-@query(f", s AS (SELECT doc_id, substr({_DNA}, 1, 23) AS a, substr({_DNA}, 24, 23) AS b FROM seqs) SELECT doc_id, hamming(a, b)::INTEGER AS mm FROM s WHERE length(b) = 23", "seqs")
+def _cut(seqs: DataFrame, length: int) -> DataFrame:
+    """doc_id, part (from 0), s: the consecutive pieces of ``length`` letters of each whole sequence."""
+    pieces = F.regexp_extract_all(_dna(F.col("text")), F.lit(f"[ACGT]{{{length}}}"), F.lit(0))
+    return seqs.select("doc_id", F.posexplode(pieces).alias("part", "s"))
+
+
+def _cut_sql(length: int) -> str:
+    return f", s0 AS (SELECT doc_id, regexp_extract_all({_DNA}, '[ACGT]{{{length}}}') AS l FROM seqs), s AS (SELECT doc_id, unnest(range(len(l)))::INTEGER AS part, unnest(l) AS s FROM s0)"
+
+
+@query(_cut_sql(46) + " SELECT doc_id, part, hamming(substr(s, 1, 23), substr(s, 24, 23))::INTEGER AS mm FROM s", "seqs")
 def f3_count_mismatches(seqs):
-    a, b = F.substring(_dna(F.col("text")), 1, 23), F.substring(_dna(F.col("text")), 24, 23)
-    return seqs.where(F.length(b) == 23).select("doc_id", seqf.count_mismatches(a, b).alias("mm"))
+    return _cut(seqs, 46).select("doc_id", "part", seqf.count_mismatches(F.substring("s", 1, 23), F.substring("s", 24, 23)).alias("mm"))
 
 
 @query(" SELECT id, part::BIGINT AS pos, 'A' AS ref, 'G' AS alt FROM hits")
@@ -592,10 +645,10 @@ def g2_search_ungapped(seqs, bench):
     return search.search_ungapped(_tiles(seqs), guides, 1 << 30, "NGG", 20, 4).drop("marked")
 
 
-@query(", w AS (SELECT DISTINCT pos // 100 * 100 AS pos, 'chr1' AS chrom FROM hits), v AS (SELECT DISTINCT pos FROM hits WHERE chrom = 'chr1') SELECT w.pos AS window_id, count(v.pos) AS n FROM w LEFT JOIN v ON v.pos >= w.pos AND v.pos < w.pos + 23 GROUP BY w.pos")
+@query(", w AS (SELECT DISTINCT chrom, pos // 100 * 100 AS pos FROM hits), v AS (SELECT DISTINCT chrom, pos FROM hits) SELECT w.chrom || ':' || w.pos AS window_id, count(v.pos) AS n FROM w LEFT JOIN v ON v.chrom = w.chrom AND v.pos >= w.pos AND v.pos < w.pos + 23 GROUP BY ALL")
 def g4_enrich_windows(hits):
-    w = hits.select((F.floor(F.col("pos") / 100) * 100).alias("pos")).distinct().select(F.col("pos").alias("window_id"), F.lit("chr1").alias("chrom"), "pos")
-    v = hits.where("chrom = 'chr1'").select("chrom", "pos", F.lit("A").alias("ref"), F.lit("G").alias("alt")).distinct()
+    w = hits.select("chrom", (F.floor(F.col("pos") / 100) * 100).alias("pos")).distinct().withColumn("window_id", F.concat_ws(":", "chrom", "pos"))
+    v = hits.select("chrom", "pos", F.lit("A").alias("ref"), F.lit("G").alias("alt")).distinct()
     return search.enrich_windows(w, v, 23).select("window_id", F.size("variants").cast("bigint").alias("n"))
 
 
@@ -617,9 +670,9 @@ def j9_merge_panels(hits):
     return genotypes.merge_panels({"a": rows.where("s = 0"), "b": rows.where("s = 1")}).withColumn("sources", F.array_join("sources", ","))
 
 
-@query(_PANEL + ", w AS (SELECT DISTINCT pos // 10 AS window_id, chrom, pos, alt FROM genotypes WHERE pos % 3 = 0) SELECT w.window_id, w.chrom, w.pos, w.alt, pc.ref, '.' AS rsid, round(ac / an, 6) AS af, n_carrier FROM w JOIN pc ON w.chrom = pc.chrom AND w.pos = pc.pos AND w.alt = pc.alt WHERE group_kind = 'global'", "genotypes samples")
+@query(_PANEL + ", w AS (SELECT DISTINCT pos // 10 AS window_id, chrom, pos, alt FROM genotypes) SELECT w.window_id, w.chrom, w.pos, w.alt, pc.ref, '.' AS rsid, round(ac / an, 6) AS af, n_carrier FROM w JOIN pc ON w.chrom = pc.chrom AND w.pos = pc.pos AND w.alt = pc.alt WHERE group_kind = 'global'", "genotypes samples")
 def j13_attach_variant_info(g, samples):
-    w = g.where("pos % 3 = 0").select(F.floor(F.col("pos") / 10).alias("window_id"), "chrom", "pos", "alt").distinct()
+    w = g.select(F.floor(F.col("pos") / 10).alias("window_id"), "chrom", "pos", "alt").distinct()
     counts = genotypes.allele_counts_panel(g, samples).withColumn("rsid", F.lit(None).cast("string"))
     return genotypes.attach_variant_info(w, counts).withColumn("af", F.round("af", 6))
 
@@ -672,17 +725,16 @@ def q4_check_contigs(hits):
     return quality.check_contigs(hits, hits.where("chrom not in ('chr2', 'chr3')"))
 
 
-_PART = f", s AS (SELECT doc_id, {_DNA} AS s FROM seqs), p AS (SELECT doc_id, substr(s, 1, 20) AS a, substr(s, 21, 20) AS b, substr(s, 41, 2) AS pam2, substr(s, 1, 23) AS w FROM s WHERE length(s) >= 42)"
+_PART = _cut_sql(42) + ", p AS (SELECT doc_id, part, substr(s, 1, 20) AS a, substr(s, 21, 20) AS b, substr(s, 41, 2) AS pam2, substr(s, 1, 23) AS w, s FROM s)"
 
 
 def _parts(seqs: DataFrame) -> DataFrame:
-    s = seqs.select("doc_id", _dna(F.col("text")).alias("s")).where(F.length("s") >= 42)
-    return s.select("doc_id", F.substring("s", 1, 20).alias("a"), F.substring("s", 21, 20).alias("b"), F.substring("s", 41, 2).alias("pam2"), F.substring("s", 1, 23).alias("w"))
+    return _cut(seqs, 42).select("doc_id", "part", F.substring("s", 1, 20).alias("a"), F.substring("s", 21, 20).alias("b"), F.substring("s", 41, 2).alias("pam2"), F.substring("s", 1, 23).alias("w"), "s")
 
 
-@query(_PART + " SELECT doc_id, w AS dna FROM p WHERE substr(w, 21, 1) IN ('A', 'G') AND substr(w, 23, 1) = 'G'", "seqs")
+@query(_PART + " SELECT doc_id, part, w AS dna FROM p WHERE substr(w, 21, 1) IN ('A', 'G') AND substr(w, 23, 1) = 'G'", "seqs")
 def p1_filter_pam(seqs):
-    return clean.filter_pam(_parts(seqs).select("doc_id", F.col("w").alias("dna")), "RNG")
+    return clean.filter_pam(_parts(seqs).select("doc_id", "part", F.col("w").alias("dna")), "RNG")
 
 
 @query(" SELECT id, chrom AS contig, score, mm FROM hits")
@@ -710,22 +762,22 @@ def p15_fill_annotation_buckets(hits):
     return b.select("id", *[F.array_join(f"b.{c}", "|").alias(c) for c in ("cosmic", "personal", "encode")])
 
 
-@query(_PART + " SELECT doc_id, array_to_string(list_transform(range(1, 21), lambda i: CASE WHEN substr(a, i, 1) <> substr(b, i, 1) THEN lower(substr(b, i, 1)) ELSE substr(b, i, 1) END), '') AS marked, hamming(a, b)::INTEGER AS mm, len(list_filter(range(1, 21), lambda i: i > 10 AND substr(a, i, 1) <> substr(b, i, 1)))::INTEGER AS seed FROM p", "seqs")
+@query(_PART + " SELECT doc_id, part, array_to_string(list_transform(range(1, 21), lambda i: CASE WHEN substr(a, i, 1) <> substr(b, i, 1) THEN lower(substr(b, i, 1)) ELSE substr(b, i, 1) END), '') AS marked, hamming(a, b)::INTEGER AS mm, len(list_filter(range(1, 21), lambda i: i > 10 AND substr(a, i, 1) <> substr(b, i, 1)))::INTEGER AS seed FROM p", "seqs")
 def f4_f5_f9_marks(seqs):
     m = _parts(seqs).withColumn("marked", seqf.mark_mismatches(F.col("a"), F.col("b")))
-    return m.select("doc_id", "marked", seqf.count_ref_mm(F.col("marked")).alias("mm"), seqf.seed_split(F.col("marked"), F.col("a"), False)["seed"].alias("seed"))
+    return m.select("doc_id", "part", "marked", seqf.count_ref_mm(F.col("marked")).alias("mm"), seqf.seed_split(F.col("marked"), F.col("a"), False)["seed"].alias("seed"))
 
 
-@query(_PART + " SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(substr(a, 4, 5), 'A') THEN 'ABE' END, CASE WHEN contains(substr(a, 4, 5), 'C') THEN 'CBE' END, CASE WHEN contains(substr(a, 4, 5), 'G') THEN 'GBE' END, CASE WHEN contains(substr(a, 4, 5), 'T') THEN 'TBE' END], lambda x: x IS NOT NULL), ',') AS editors, substr(w, 21, 3) AS pam, len(list_filter(range(1, 20), lambda i: substr(a, i, 2) = 'AC'))::INTEGER AS ac FROM p", "seqs")
+@query(_PART + " SELECT doc_id, part, array_to_string(list_filter([CASE WHEN contains(substr(a, 4, 5), 'A') THEN 'ABE' END, CASE WHEN contains(substr(a, 4, 5), 'C') THEN 'CBE' END, CASE WHEN contains(substr(a, 4, 5), 'G') THEN 'GBE' END, CASE WHEN contains(substr(a, 4, 5), 'T') THEN 'TBE' END], lambda x: x IS NOT NULL), ',') AS editors, substr(w, 21, 3) AS pam, len(list_filter(range(1, 20), lambda i: substr(a, i, 2) = 'AC'))::INTEGER AS ac FROM p", "seqs")
 def f7_f10_f20_windows(seqs):
     p = _parts(seqs)
-    return p.select("doc_id", seqf.base_editor_flags(F.col("a"), 4, 8).alias("editors"), seqf.pam_of(F.col("w"), F.col("w"), F.lit("alt"), 3, False).alias("pam"), F.coalesce(F.element_at(seqf.kmer_counts(F.col("a"), 2), F.lit("AC")), F.lit(0)).alias("ac"))
+    return p.select("doc_id", "part", seqf.base_editor_flags(F.col("a"), 4, 8).alias("editors"), seqf.pam_of(F.col("w"), F.col("w"), F.lit("alt"), 3, False).alias("pam"), F.coalesce(F.element_at(seqf.kmer_counts(F.col("a"), 2), F.lit("AC")), F.lit(0)).alias("ac"))
 
 
-@query(_PART + ", q AS (SELECT doc_id, a || substr(w, 21, 3) AS x FROM p) SELECT doc_id, CASE WHEN substr(x, 22, 2) <> 'GG' THEN pam2 END AS created FROM q JOIN p USING (doc_id)", "seqs")
+@query(_PART + ", q AS (SELECT doc_id, part, pam2, a || substr(w, 21, 3) AS x FROM p) SELECT doc_id, part, CASE WHEN substr(x, 22, 2) <> 'GG' THEN pam2 END AS created FROM q", "seqs")
 def f8_pam_created(seqs):
     p = _parts(seqs)
-    return p.select("doc_id", seqf.pam_created(F.right(F.col("w"), F.lit(3)), F.col("pam2"), "NGG").alias("created"))
+    return p.select("doc_id", "part", seqf.pam_created(F.right(F.col("w"), F.lit(3)), F.col("pam2"), "NGG").alias("created"))
 
 
 @query(" SELECT id, CASE WHEN strand = '+' THEN greatest(mm - 1, 1)::VARCHAR || 'A>GT' ELSE CASE WHEN mm - 1 < 1 THEN 23 ELSE abs(mm - 1 - 1 - 23) END::VARCHAR || 'T>AC' END AS variant FROM hits")
@@ -736,18 +788,32 @@ def f11_variant_in_spacer(hits):
 _WEIGHTS = "SELECT substr('ACGU', (k % 4 + 1)::INTEGER, 1) AS rna, substr('ACGT', (k // 4 % 4 + 1)::INTEGER, 1) AS dna, k // 16 + 1 AS pos, (k % 7 + 1) / 8.0 AS w FROM range(320) t(k)"
 
 
-@query(_PART + f", wt AS ({_WEIGHTS}), t AS (SELECT doc_id, pam2, unnest(range(1, 21)) AS pos, a, b FROM p), e AS (SELECT doc_id, pam2, CASE WHEN substr(a, t.pos, 1) = substr(b, t.pos, 1) THEN 1.0 ELSE coalesce(w, 1.0) END AS w FROM t LEFT JOIN wt ON wt.pos = t.pos AND wt.rna = replace(substr(a, t.pos, 1), 'T', 'U') AND wt.dna = translate(substr(b, t.pos, 1), 'ACGT', 'TGCA')) SELECT doc_id, round(product(w) * CASE pam2 WHEN 'GG' THEN 1.0 WHEN 'AG' THEN 0.25 ELSE 0 END, 6) AS score FROM e GROUP BY doc_id, pam2", "seqs")
+@query(_PART + f", wt AS ({_WEIGHTS}), t AS (SELECT doc_id, part, pam2, unnest(range(1, 21)) AS pos, a, b FROM p), e AS (SELECT doc_id, part, pam2, CASE WHEN substr(a, t.pos, 1) = substr(b, t.pos, 1) THEN 1.0 ELSE coalesce(w, 1.0) END AS w FROM t LEFT JOIN wt ON wt.pos = t.pos AND wt.rna = replace(substr(a, t.pos, 1), 'T', 'U') AND wt.dna = translate(substr(b, t.pos, 1), 'ACGT', 'TGCA')) SELECT doc_id, part, round(product(w) * CASE pam2 WHEN 'GG' THEN 1.0 WHEN 'AG' THEN 0.25 ELSE 0 END, 6) AS score FROM e GROUP BY doc_id, part, pam2", "seqs")
 def f13_cfd_score(seqs):
     k = F.col("id")
     weights = seqs.sparkSession.range(320).select(F.substring(F.lit("ACGU"), (k % 4 + 1).cast("int"), F.lit(1)).alias("rna"), F.substring(F.lit("ACGT"), (F.floor(k / 4) % 4 + 1).cast("int"), F.lit(1)).alias("dna"), (F.floor(k / 16) + 1).cast("int").alias("pos"), ((k % 7 + 1) / F.lit(8.0)).alias("w"))
     pams = seqs.sparkSession.range(2).select(F.when(k == 0, "GG").otherwise("AG").alias("pam"), F.when(k == 0, 1.0).otherwise(0.25).alias("w"))
-    rows = _parts(seqs).select(F.col("doc_id").alias("id"), F.col("a").alias("crrna"), F.col("b").alias("dna"), "pam2")
-    return search.cfd_score(rows, weights, pams, 6).select(F.col("id").alias("doc_id"), "score")
+    rows = _parts(seqs).select(F.struct("doc_id", "part").alias("id"), F.col("a").alias("crrna"), F.col("b").alias("dna"), "pam2")
+    return search.cfd_score(rows, weights, pams, 6).select("id.doc_id", "id.part", "score")
+
 
+def _count(condition: str, upto: int = 17) -> str:
+    return f"len(list_filter(range(1, {upto + 1}), lambda i: {condition}))::INTEGER"
 
-@query(_PART + " SELECT doc_id, hamming(a, b)::INTEGER AS mm, length(regexp_replace(b, '[^GC]', '', 'g'))::INTEGER AS gc, len(list_filter(range(1, 21), lambda i: substr(a, i, 1) || substr(b, i, 1) IN ('AG', 'GA')))::INTEGER AS rr FROM p", "seqs")
+
+_ENTHALPY = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in seqf.ENTHALPY.items()) + ") AS n(pair, h)"
+
+
+# The guide is the first 20 letters, the target the other 20, of which the last three are the PAM; the flank is the whole part.
+@query(_PART + ", h AS (SELECT doc_id, part, round(sum(CASE WHEN i BETWEEN 21 AND 39 THEN h END), 6) AS enthalpy, round(sum(h), 6) AS flank_enthalpy FROM (SELECT doc_id, part, unnest(range(1, 42)) AS i, s FROM p) JOIN " + _ENTHALPY + f""" ON pair = substr(s, i::INTEGER, 2) GROUP BY ALL)
+SELECT doc_id, part, {_count("substr(a, i, 1) <> substr(b, i, 1)")} AS mm, {_count("substr(a, i, 1) <> substr(b, i, 1) AND i < 17 AND substr(a, i + 1, 1) = substr(b, i + 1, 1)")} AS runs,
+{_count("substr(a, i, 1) <> substr(b, i, 1) AND i IN (17, 13, 9, 5)")} AS firsts, 0 AS mm_17_end,
+{_count("(substr(a, i, 1) = 'G' AND substr(b, i, 1) = 'A') OR (substr(a, i, 1) = 'T' AND substr(b, i, 1) = 'C')")} AS wobble, {_count("substr(a, i, 1) IN ('A', 'G') AND substr(b, i, 1) IN ('C', 'T')")} AS rr,
+{_count("substr(a, i, 1) IN ('C', 'T') AND substr(b, i, 1) IN ('A', 'G')")} AS yy, {_count("(substr(a, i, 1) = 'A' AND substr(b, i, 1) = 'G') OR (substr(a, i, 1) = 'C' AND substr(b, i, 1) = 'T')")} AS transversions,
+length(regexp_replace(b, '[^GC]', '', 'g'))::INTEGER AS gc, enthalpy, flank_enthalpy, translate(substr(b, 13, 2), 'ACGT', '1234')::INTEGER AS couple, translate(substr(b, 19, 2), 'ACGT', '1234')::INTEGER AS pam_last FROM p JOIN h USING (doc_id, part)""", "seqs")
 def f14_crista_features(seqs):
-    return _parts(seqs).select("doc_id", seqf.crista_features(F.col("a"), F.col("b")).alias("f")).select("doc_id", "f.mm", "f.gc", "f.rr")
+    f = _parts(seqs).select("doc_id", "part", seqf.crista_features(F.col("a"), F.col("b"), F.col("s")).alias("f"))
+    return f.select("doc_id", "part", "f.mm", "f.runs", (F.col("f.mm_1_4") + F.col("f.mm_5_8") + F.col("f.mm_9_12") + F.col("f.mm_13_16")).alias("firsts"), "f.mm_17_end", "f.wobble", "f.rr", "f.yy", "f.transversions", "f.gc", F.round("f.enthalpy", 6).alias("enthalpy"), F.round("f.flank_enthalpy", 6).alias("flank_enthalpy"), F.get("f.couples", F.lit(0)).alias("couple"), "f.pam_last")
 
 
 @query(" SELECT chrom, pos, sample_id, CASE WHEN g.chrom = 'chrX' AND sex = 'male' THEN 1 ELSE 2 END AS ploidy, CASE WHEN g.chrom = 'chrX' AND sex = 'male' THEN substr(gt, 1, 1) ELSE substr(gt, 1, 1) || ',' || substr(gt, 3, 1) END AS alleles FROM genotypes g JOIN samples USING (sample_id)", "genotypes samples")
@@ -763,38 +829,50 @@ def f18_min_maf_first_known(hits):
     return hits.select("id", gtf.min_maf(afs).alias("least_af"), gtf.first_known(ids).alias("rsid"))
 
 
-@query(", w AS (SELECT DISTINCT pos // 20 * 20 AS pos FROM hits), v AS (SELECT DISTINCT pos FROM hits WHERE chrom IN ('chr1', 'chr2')), n AS (SELECT w.pos AS window_id, count(v.pos)::INTEGER AS n_variants FROM w JOIN v ON v.pos >= w.pos AND v.pos < w.pos + 40 GROUP BY w.pos) SELECT * FROM n WHERE n_variants > 10")
+@query(", w AS (SELECT DISTINCT chrom, pos // 20 * 20 AS pos FROM hits), v AS (SELECT DISTINCT chrom, pos FROM hits), n AS (SELECT w.chrom || ':' || w.pos AS window_id, count(v.pos)::INTEGER AS n_variants FROM w JOIN v ON v.chrom = w.chrom AND v.pos >= w.pos AND v.pos < w.pos + 40 GROUP BY ALL) SELECT * FROM n WHERE n_variants > 3")
 def g8_dense_regions(hits):
-    w = hits.select((F.floor(F.col("pos") / 20) * 20).alias("pos")).distinct().select(F.col("pos").alias("window_id"), F.lit("c").alias("chrom"), "pos")
-    v = hits.where("chrom in ('chr1', 'chr2')").select(F.lit("c").alias("chrom"), "pos", F.lit("A").alias("ref"), F.lit("G").alias("alt")).distinct()
-    return search.dense_windows(search.enrich_windows(w, v, 40), 10).select("window_id", "n_variants")
+    w = hits.select("chrom", (F.floor(F.col("pos") / 20) * 20).alias("pos")).distinct().withColumn("window_id", F.concat_ws(":", "chrom", "pos"))
+    v = hits.select("chrom", "pos", F.lit("A").alias("ref"), F.lit("G").alias("alt")).distinct()
+    return search.dense_windows(search.enrich_windows(w, v, 40), 3).select("window_id", "n_variants")
 
 
-@query(_PART + ", h AS (SELECT doc_id, a, substr(a, 1, 3) || 'G' || substr(a, 5, 20) AS hap FROM p) SELECT doc_id, hap AS hap_seq, hamming('ACGTACGTACGTACGTACGT', hap)::INTEGER AS mm FROM h WHERE hamming('ACGTACGTACGTACGTACGT', hap) <= 14", "seqs")
+@query(_PART + ", h AS (SELECT doc_id, part, a, substr(a, 1, 3) || 'G' || substr(a, 5, 20) AS hap FROM p) SELECT doc_id, part, hap AS hap_seq, hamming('ACGTACGTACGTACGTACGT', hap)::INTEGER AS mm FROM h WHERE hamming('ACGTACGTACGTACGTACGT', hap) <= 14", "seqs")
 def g9_apply_haplotype(seqs):
-    rows = _parts(seqs).select("doc_id", F.lit(100).cast("bigint").alias("pos"), F.col("a").alias("seq"), F.array(F.struct(F.lit(103).cast("bigint").alias("pos"), F.lit("G").alias("alt"))).alias("variants"))
-    return search.apply_haplotype(rows, "ACGTACGTACGTACGTACGT", 14).select("doc_id", "hap_seq", "mm")
+    rows = _parts(seqs).select("doc_id", "part", F.lit(100).cast("bigint").alias("pos"), F.col("a").alias("seq"), F.array(F.struct(F.lit(103).cast("bigint").alias("pos"), F.lit("G").alias("alt"))).alias("variants"))
+    return search.apply_haplotype(rows, "ACGTACGTACGTACGTACGT", 14).select("doc_id", "part", "hap_seq", "mm")
 
 
-@query(_PART + " SELECT doc_id, hamming('ACGTACGTACGTACGTACGT', a)::INTEGER AS mm FROM p WHERE hamming('ACGTACGTACGTACGTACGT', a) <= 14", "seqs")
+@query(_PART + " SELECT doc_id, part, hamming('ACGTACGTACGTACGTACGT', a)::INTEGER AS mm FROM p WHERE hamming('ACGTACGTACGTACGTACGT', a) <= 14", "seqs")
 def g10_reference_rows(seqs):
-    return search.reference_rows(_parts(seqs).select("doc_id", F.col("a").alias("seq")), "ACGTACGTACGTACGTACGT", 14).select("doc_id", "mm")
+    return search.reference_rows(_parts(seqs).select("doc_id", "part", F.col("a").alias("seq")), "ACGTACGTACGTACGTACGT", 14).select("doc_id", "part", "mm")
 
 
-@query(f", s AS (SELECT doc_id, {_DNA} AS s FROM seqs) SELECT doc_id::VARCHAR AS chrom, 7::BIGINT AS contig_start, substr(s, 8, 10) || 'ACGT' || substr(s, 21, 10) AS seq FROM s WHERE length(s) >= 40", "seqs")
+@query(_PART + f", t AS (SELECT doc_id, {_DNA} AS s FROM seqs) SELECT doc_id::VARCHAR AS chrom, part * 42::BIGINT + 17 AS pos, (part * 42 + 7)::BIGINT AS contig_start, substr(t.s, part * 42 + 8, 10) || 'ACGT' || substr(t.s, part * 42 + 21, 10) AS seq FROM p JOIN t USING (doc_id)", "seqs")
 def g11_indel_windows(seqs):
-    tiles = _tiles(seqs).where(F.length("seq") >= 40)
-    v = tiles.select("chrom", F.lit(17).cast("bigint").alias("pos"), F.substring("seq", 18, 3).alias("ref"), F.lit("ACGT").alias("alt"))
-    return search.indel_windows(v, tiles, 10, 1 << 20).select("chrom", "contig_start", "seq")
+    """An indel in every part of every sequence."""
+    v = _parts(seqs).select(F.col("doc_id").cast("string").alias("chrom"), (F.col("part") * 42 + 17).cast("bigint").alias("pos"), F.substring("s", 18, 3).alias("ref"), F.lit("ACGT").alias("alt"))
+    return search.indel_windows(v, _tiles(seqs), 10, 1 << 20).select("chrom", "pos", "contig_start", "seq")
+
+
+_GAPPED = f""", s AS (SELECT doc_id, {_DNA} AS s FROM seqs), g AS ({_GUIDES}), k AS (SELECT unnest([19, 20, 21]) AS n),
+w AS (SELECT doc_id, n, unnest(range(length(s) - n - 2)) AS i, s FROM s, k WHERE length(s) >= n + 3), x AS (SELECT doc_id, n, i, substr(s, i + 1, n + 3) AS w FROM w),
+y AS (SELECT doc_id, n, i, '+' AS strand, w FROM x UNION ALL SELECT doc_id, n, i, '-', reverse(translate(w, 'ACGT', 'TGCA')) FROM x),
+c AS (SELECT guide, doc_id, i, strand, substr(w, n + 1, 3) AS pam, substr(w, 1, n) AS site FROM y, g WHERE substr(w, n + 2, 2) = 'GG' AND levenshtein(guide, substr(w, 1, n)) <= 4),
+al AS (SELECT *, 0 AS p, 0 AS q, '' AS crrna, '' AS dna, 0 AS mm, 0 AS d, 0 AS r FROM c UNION ALL
+SELECT guide, doc_id, i, strand, pam, site, p + dp, q + dq, crrna || CASE dp WHEN 1 THEN substr(guide, p + 1, 1) ELSE '-' END,
+dna || CASE WHEN dq = 0 THEN '-' WHEN dp = 1 AND substr(guide, p + 1, 1) <> substr(site, q + 1, 1) THEN lower(substr(site, q + 1, 1)) ELSE substr(site, q + 1, 1) END,
+mm + (dp = 1 AND dq = 1 AND substr(guide, p + 1, 1) <> substr(site, q + 1, 1))::INT, d + 1 - dp, r + 1 - dq FROM al, (VALUES (1, 1), (0, 1), (1, 0)) v(dp, dq)
+WHERE p + dp <= 20 AND q + dq <= length(site) AND (dp = 1 OR p BETWEEN 1 AND 19) AND d + 1 - dp <= 1 AND r + 1 - dq <= 1 AND mm + (dp = 1 AND dq = 1 AND substr(guide, p + 1, 1) <> substr(site, q + 1, 1))::INT + d + 1 - dp + r + 1 - dq <= 4)
+SELECT DISTINCT guide, doc_id::VARCHAR AS chrom, i::BIGINT AS pos, strand, pam, crrna, dna, mm::INTEGER AS mm, d::INTEGER AS bulge_dna, r::INTEGER AS bulge_rna FROM al WHERE p = 20 AND q = length(site)"""
 
 
-@query(None, "seqs bench")
+@query(_GAPPED, "seqs bench", recursive=True)
 def g3_search_gapped(seqs, bench):
     guides = bench.select(F.substring(_dna(F.col("text")), 1, 20).alias("spacer"))
-    return search.search_gapped(_tiles(seqs), guides, 1 << 30, "NGG", 20, 1, 1, 1, 2)
+    return search.search_gapped(_tiles(seqs), guides, 1 << 30, "NGG", 20, 4, 1, 1, 4)
 
 
-@query(_PAIRS + ", o AS (SELECT id, phased OR k = 1 AS phased, h1::INT + h2::INT AS h FROM f WHERE NOT (phased OR k = 1) OR h1 OR h2) SELECT id, count(*) || '|' || coalesce((CASE WHEN bool_and(phased) THEN sum(h) END)::BIGINT::VARCHAR, 'NA') || '|' || count(*) FILTER (phased AND h = 2) AS everyone FROM o GROUP BY id", "genotypes samples")
+@query(_PAIRS + ", o AS (SELECT id, p, phased OR k = 1 AS phased, h1::INT + h2::INT AS h FROM f WHERE NOT (phased OR k = 1) OR h1 OR h2) SELECT id, count(*) || '|' || coalesce((CASE WHEN bool_and(phased) THEN sum(h) END)::BIGINT::VARCHAR, 'NA') || '|' || count(*) FILTER (phased AND h = p) AS everyone FROM o GROUP BY id", "genotypes samples")
 def a26_population_companion(g, samples):
     c = genotypes.population_companion(_pair_hits(g), g, samples)
     return c.select("id", F.element_at("groups", F.lit("global")).alias("everyone"))
@@ -817,9 +895,9 @@ def v3_split_multiallelic(hits):
     return panel.split_multiallelic(m).select(F.col("chrom").alias("id"), "alt", "gt")
 
 
-@query(" SELECT id FROM hits WHERE chrom = 'chr1' UNION ALL SELECT id FROM hits WHERE chrom = 'chr2'")
+@query(" SELECT id FROM hits")
 def u4_concat_tables(hits):
-    return sets.concat_tables([hits.where(F.col("chrom") == c).select("id") for c in ("chr1", "chr2")])
+    return sets.concat_tables([hits.where(F.col("chrom") == f"chr{i}").select("id") for i in range(1, 23)])
 
 
 @query(" SELECT guide, chrom, strand, mm::VARCHAR AS mm, total::VARCHAR AS total, origin, CASE WHEN total = 0 THEN 'Yes' ELSE 'No' END AS perfect_match, '-' AS samples FROM hits")
@@ -830,7 +908,7 @@ def s10_curated(hits):
     return curated(rows).select("guide", "chrom", "strand", "mm", "total", "origin", "perfect_match", "samples")
 
 
-@query(_PART + ", g AS (SELECT doc_id % 5 AS k, substr(a, 1, (doc_id % 5 + 1)::INTEGER) AS guide FROM p), n AS (SELECT 'shorter_than_motif' AS check, count(*) FILTER (length(guide) < 3) AS n FROM g UNION ALL SELECT 'several_lengths', count(DISTINCT length(guide)) FROM g) SELECT * FROM n WHERE n > 0", "seqs")
+@query(_PART + ", g AS (SELECT substr(a, 1, (doc_id % 5 + 1)::INTEGER) AS guide FROM p), n AS (SELECT 'shorter_than_motif' AS check, count(*) FILTER (length(guide) < 3) AS n FROM g UNION ALL SELECT 'several_lengths', count(DISTINCT length(guide)) FROM g) SELECT * FROM n WHERE n > 0", "seqs")
 def q3_check_guides(seqs):
     g = _parts(seqs).select(F.substring(F.col("a"), F.lit(1), (F.col("doc_id") % 5 + 1).cast("int")).alias("guide"), F.lit("").alias("spacer"), F.lit("NGG").alias("pam"))
     return quality.check_guides(g).select("check", "n")
@@ -840,3 +918,50 @@ def q3_check_guides(seqs):
 def q6_check_features(hits):
     lines = hits.select(F.concat_ws("\t", "chrom", F.col("mm"), F.lit(3), "population").alias("value"))
     return quality.check_features(lines).select("check", "n")
+
+
+@query(_PART + " SELECT doc_id, part, NOT regexp_matches(substr(w, 21, 3), '[CT].[AG]') AS any_match FROM p", "seqs")
+def f2_iupac_match(seqs):
+    """Whether a window's PAM fails to be YNR, code by code."""
+    p = _parts(seqs)
+    pam = lambda i: F.substring("w", 21 + i, 1)
+    fits = seqf.iupac_match(pam(0), F.lit("Y")) & seqf.iupac_match(pam(1), F.lit("n")) & seqf.iupac_match(F.lit("R"), pam(2))
+    return p.select("doc_id", "part", (~fits).alias("any_match"))
+
+
+@query(_PART + " SELECT doc_id, part, substr(a, 1, 5) || '-' || substr(a, 6, 9) || '--' || substr(a, 15, 6) AS gapped FROM p", "seqs")
+def f6_insert_gaps(seqs):
+    template = F.concat(F.substring("b", 1, 5), F.lit("-"), F.substring("b", 6, 9), F.lit("--"), F.substring("b", 15, 6))
+    return _parts(seqs).select("doc_id", "part", seqf.insert_gaps(F.col("a"), template).alias("gapped"))
+
+
+@query(" SELECT id, CASE WHEN score = 0 THEN 0.00001 WHEN score >= 0.1 THEN 1.0 WHEN score >= 0.01 THEN 0.01 ELSE 0.001 END::DOUBLE AS decade FROM hits")
+def f19_af_decade(hits):
+    return hits.select("id", F.round(seqf.af_decade(F.col("score")), 6).alias("decade"))
+
+
+@query(_PART + ", m AS (SELECT * FROM (VALUES ('RY'), ('NG'), ('SW')) v(motif)) SELECT motif, count(*) AS n FROM p, m WHERE regexp_matches(pam2, CASE motif WHEN 'RY' THEN '^[AG][CT]$' WHEN 'NG' THEN '^.G$' ELSE '^[CG][AT]$' END) GROUP BY motif", "seqs")
+def f21_expand_iupac(seqs):
+    """How many PAMs are among the strings that a motif expands to."""
+    n = F.array(*[F.struct(F.lit(m).alias("motif"), F.col("pam2").isin(seqf.expand_iupac(m)).alias("fits")) for m in ("RY", "NG", "SW")])
+    return _parts(seqs).select(F.explode(n).alias("x")).where("x.fits").groupBy(F.col("x.motif").alias("motif")).agg(F.count("*").alias("n"))
+
+
+@query(""", w AS (SELECT pos // 10 AS window_id, pos, alt, list_sort(list(DISTINCT sample_id)) AS c FROM genotypes GROUP BY ALL), o AS (SELECT window_id, [row(pos, alt)] AS v, pos AS last, c FROM w),
+b AS (SELECT o.window_id, list_append(o.v, row(w.pos, w.alt)) AS v, w.pos AS last, list_intersect(o.c, w.c) AS c FROM o JOIN w ON w.window_id = o.window_id AND w.pos > o.last WHERE len(list_intersect(o.c, w.c)) > 0)
+SELECT window_id, array_to_string(list_transform(v, lambda x: x[1] || x[2]), ',') AS variants, len(c) AS n FROM (SELECT window_id, v, c FROM o UNION ALL SELECT window_id, v, c FROM b)""", "genotypes")
+def g6_combine_by_shared_samples(g):
+    singles = g.groupBy(F.floor(F.col("pos") / 10).alias("window_id"), "pos", "alt").agg(F.collect_set("sample_id").alias("carriers"))
+    out = genotypes.combine_by_shared_samples(singles, 2, peel=False)
+    return out.select("window_id", F.array_join(F.transform("variants", lambda v: F.concat(v["pos"].cast("string"), v["alt"])), ",").alias("variants"), F.size("carriers").cast("bigint").alias("n"))
+
+
+@query(f", s AS (SELECT doc_id, {_DNA} AS s FROM seqs) SELECT doc_id, substr(s, (length(s) // 3 + 1)::BIGINT, (length(s) // 3)::BIGINT) AS sequence FROM s WHERE length(s) >= 3", "seqs")
+def s2_extract_region(seqs):
+    """The middle third of every sequence, out of tiles of 500 letters."""
+    s = seqs.select("doc_id", _dna(F.col("text")).alias("s")).where("length(s) >= 3")
+    parts = F.regexp_extract_all("s", F.lit("[ACGT]{1,500}"), F.lit(0))
+    tiles = s.select(F.col("doc_id").cast("string").alias("chrom"), F.posexplode(parts).alias("i", "seq")).select("chrom", (F.col("i") * 500).cast("bigint").alias("start"), "seq")
+    third = F.floor(F.length("s") / 3)
+    regions = s.select(F.col("doc_id").alias("region_id"), F.col("doc_id").cast("string").alias("chrom"), third.alias("start"), (2 * third).alias("end"))
+    return intervals.extract_region(tiles, regions, 500).select(F.col("region_id").alias("doc_id"), "sequence")

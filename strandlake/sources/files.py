@@ -30,27 +30,36 @@ def read_fasta(spark: SparkSession, path: str, tile: int = 100_000, overlap: int
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(cut, "chrom string, start long, seq string")
 
 
+#: Bytes of VCF headers that may go to all tasks.
+HEADERS = 64 << 20
+
+
 def read_vcf(spark: SparkSession, path: str, header: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(variants, genotypes) of VCF text. ``header``: the #CHROM line; by default the first one found."""
-    lines = spark.read.text(path)
-    if header is None:
-        first = lines.where(F.col("value").startswith("#CHROM")).first()
-        if first is None:
-            raise ValueError(f"no #CHROM line in {path}")
-        header = first["value"]
-    names = header.split("\t")[9:]
-    p = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("p"))
+    """(variants, genotypes) of VCF text. ``header``: the #CHROM line of all files; by default each file has its own.
+
+    Files may list different samples, or the same in another order. Files without a #CHROM line have no genotypes.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    split = F.split("value", "\t")
+    p = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select("file", split.alias("p"))
     at = lambda i: F.get("p", F.lit(i))
     pairs = F.transform(F.split(at(7), ";"), lambda x: F.split(x, "=", 2))
     info = F.map_from_entries(F.array_distinct(F.transform(pairs, lambda x: F.struct(F.get(x, F.lit(0)), F.coalesce(F.get(x, F.lit(1)), F.lit(""))))))
-    v = p.select(at(0).alias("chrom"), at(1).try_cast("bigint").alias("pos"), F.when(at(2) != ".", at(2)).alias("rsid"), at(3).alias("ref"), F.split(at(4), ",").alias("alts"), F.split(at(6), ";").alias("filter"), info.alias("info"), F.slice("p", 10, max(1, len(names))).alias("gts"))
+    v = p.select("file", at(0).alias("chrom"), at(1).try_cast("bigint").alias("pos"), F.when(at(2) != ".", at(2)).alias("rsid"), at(3).alias("ref"), F.split(at(4), ",").alias("alts"), F.split(at(6), ";").alias("filter"), info.alias("info"), F.slice("p", F.lit(10), F.greatest(F.size("p"), F.lit(0))).alias("gts"))
     v = v.withColumn("af", F.transform(F.split(F.element_at("info", "AF"), ","), lambda x: x.try_cast("double")))
     variants = v.select("chrom", "pos", "rsid", "ref", "alts", "filter", "af", "info")
-    if not names:
-        return variants, v.select("chrom", "pos", "ref", "alts", F.lit("").alias("sample_id"), F.lit("").alias("gt")).limit(0)
-    g = v.select("chrom", "pos", "ref", "alts", F.posexplode("gts").alias("_i", "field"))
-    ids = F.array(*map(F.lit, names))
-    return variants, g.select("chrom", "pos", "ref", "alts", F.get(ids, F.col("_i")).alias("sample_id"), F.get(F.split("field", ":"), F.lit(0)).alias("gt"))
+    names = lambda column: F.slice(column, F.lit(10), F.greatest(F.size(column), F.lit(0)))
+    if header is None:
+        heads = lines.where(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.min("value").alias("value"))
+        size = heads.agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("b")).first()
+        if not size["n"]:
+            raise ValueError(f"no #CHROM line in {path}")
+        heads = heads.select("file", names(split).alias("ids"))
+        v = v.join(F.broadcast(heads) if size["b"] <= HEADERS else heads, "file")
+    else:
+        v = v.withColumn("ids", F.array(*map(F.lit, header.split("\t")[9:])).cast("array<string>"))
+    g = v.select("chrom", "pos", "ref", "alts", "ids", F.posexplode("gts").alias("_i", "field")).where(F.col("_i") < F.size("ids"))
+    return variants, g.select("chrom", "pos", "ref", "alts", F.get("ids", F.col("_i")).alias("sample_id"), F.get(F.split("field", ":"), F.lit(0)).alias("gt"))
 
 
 def import_snp_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

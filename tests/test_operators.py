@@ -1,7 +1,9 @@
 """Hand cases of the off-target operators, and invariants."""
 
 import itertools
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,12 +50,36 @@ def test_sequence_functions(spark):
     assert one(spark, sq.parse_variant_key(c("a")), a="nonsense") is None
     assert one(spark, sq.kmer_counts(c("a"), 2), a="ACAC") == {"AC": 2, "CA": 1}
     assert [x["kmer"] for x in one(spark, sq.one_hot(c("a"), 2), a="ACG")] == ["AC", "CG"]
-    f = one(spark, sq.crista_features(c("a"), c("b")), a="GACT-A", b="AACTTA")
-    assert (f["mm"], f["dna_bulges"], f["rr"], f["wobble"], f["mm_runs"]) == (1, 1, 1, 1, 1)
     assert [one(spark, sq.af_decade(c("a")), a=x) for x in (0.0, 0.5, 0.1)] == [1e-5, 1.0, 1.0]
     assert one(spark, sq.af_decade(c("a")), a=0.02) == pytest.approx(0.01)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_alignment_features_equal_a_recount(spark, seed):
+    r = random.Random(seed)
+    guide = "".join(r.choice("ACGT-") if 0 < i < 19 else "A" for i in range(20)) + "TGG"
+    dna = "".join(x if x != "-" and r.random() < 0.6 else r.choice("ACGT") for x in guide[:19]) + ("-" if guide[19] != "-" else "A") + "AGG"
+    flank = "ACC" + dna.replace("-", "") + "GTA"
+    f = one(spark, sq.crista_features(c("a"), c("b"), c("f")), a=guide, b=dna, f=flank)
+    pairs = list(zip(guide, dna))[:-3]
+    bad = [a != b and "-" not in (a, b) for a, b in pairs]
+    runs = sum(pairs[i][0] != pairs[i][1] and pairs[i + 1][0] == pairs[i + 1][1] for i in range(len(pairs) - 1))
+    assert (f["mm"], f["rna_bulges"], f["dna_bulges"], f["runs"]) == (sum(bad), guide.count("-"), dna.count("-"), runs)
+    assert f["run_length"] == pytest.approx((sum(bad) + guide.count("-") + dna.count("-")) / runs if runs else 0)
+    back = bad[::-1]
+    assert [f[k] for k in ("mm_1_4", "mm_5_8", "mm_9_12", "mm_13_16", "mm_17_end")] == [*map(int, back[0:16:4]), sum(back[16:-3])]
+    kind = lambda *kinds: sum(a + b in kinds for a, b in pairs)
+    assert (f["wobble"], f["rr"], f["yy"], f["transversions"]) == (kind("GA", "TC"), kind("GC", "GT", "AC", "AT"), kind("CA", "CG", "TA", "TG"), kind("AG", "CT"))
+    plain = dna.replace("-", "")
+    number = lambda x: int(x.translate(str.maketrans("ACGT", "1234")))
+    assert [f[f"n_{x}"] for x in "acgt"] == [plain.count(x) for x in "ACGT"]
+    assert (f["pam_last"], f["pam_first"], f["first_base"]) == (number(plain[-2:]), number(plain[-3]), number(plain[0]))
+    assert f["couples"] == [number(plain[len(plain) - 8 + i : len(plain) - 6 + i]) for i in range(4)] and f["seed_bases"] == [number(plain[i]) for i in range(-8, -3)]
+    heat = lambda x: sum(sq.ENTHALPY[x[i : i + 2]] for i in range(len(x) - 1))
+    assert f["enthalpy"] == pytest.approx(heat(plain)) and f["flank_enthalpy"] == pytest.approx(heat(flank))
+    assert f["flank_gc"] == pytest.approx(sum(x in "GC" for x in flank) / len(flank)) and f["downstream"] == [3, 4, 1]
+
+
 @pytest.mark.parametrize("pos,strand,want", [(105, "+", "5A>G"), (95, "+", "1A>G"), (105, "-", "16T>C"), (90, "-", "20T>C")])
 def test_variant_in_spacer(spark, pos, strand, want):
     got = one(spark, sq.variant_in_spacer(c("p"), F.lit("A"), F.lit("G"), F.lit(100), c("s"), F.lit(20)), p=pos, s=strand)
@@ -167,6 +193,15 @@ def test_haplotypes(spark):
     assert {h[0] for h in haplotypes(spark, apart)} == {(1,), (2,)}
 
 
+def test_subsets_are_never_cut_short(spark):
+    rows = [(1, "s", p, "G", "0/1", None) for p in range(genotypes.MOST_PUTATIVE + 1)]
+    with pytest.raises(ValueError):
+        haplotypes(spark, rows, genotypes.MOST_PUTATIVE + 1)
+    with pytest.raises(Exception, match="unphased variants"):
+        haplotypes(spark, rows, -1)
+    assert len(haplotypes(spark, rows[:6], -1)) == 2**6 - 1
+
+
 def test_lattice_agrees_on_phased_data(spark):
     singles = spark.createDataFrame([(1, 1, "G", ["s", "t"]), (1, 2, "G", ["s"])], "window_id long, pos long, alt string, carriers array<string>")
     got = {(tuple(v["pos"] for v in r["variants"]), tuple(r["carriers"])) for r in genotypes.combine_by_shared_samples(singles).collect()}
@@ -201,6 +236,14 @@ def test_combination_bounds(spark):
     assert genotypes.haplotype_frequency(hits, g, samples).first()["haplotype_freq"] is None
 
 
+def test_haplotype_frequency_counts_ploidies(spark):
+    samples = spark.createDataFrame([(f"s{i}", "p", "x", "male" if i < 3 else "female", "d") for i in range(5)], SAMPLE)
+    g = spark.createDataFrame([("chrX", 1, "A", "G", "s0", "1"), ("chrX", 1, "A", "G", "s3", "1|1"), ("chr2", 1, "A", "G", "s0", "0|1"), ("chrY", 1, "A", "G", "s1", "1")], GT)
+    hits = spark.createDataFrame([(ch, [(ch, 1, "A", "G")]) for ch in ("chrX", "chr2", "chrY")], "id string, variants array<struct<chrom:string,pos:long,ref:string,alt:string>>")
+    got = {r["id"]: r["haplotype_freq"] for r in genotypes.haplotype_frequency(hits, g, samples).collect()}
+    assert got == {"chrX": round(3 / 7, 6), "chr2": 0.1, "chrY": round(1 / 3, 6)}
+
+
 def test_panel_operators(spark):
     m = spark.createDataFrame([("c", 1, "A", ["G", "T"], "s", "1|2")], "chrom string, pos long, ref string, alts array<string>, sample_id string, gt string")
     assert {r["alt"]: r["gt"] for r in panel.split_multiallelic(m).collect()} == {"G": "1|0", "T": "0|1"}
@@ -254,6 +297,57 @@ def test_gapped_search_equals_exhaustive_alignment(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 3
 
 
+def test_least_mismatches_equal_the_alignments():
+    r = random.Random(4)
+    sets = lambda s: np.array([[1 << "ACGT".index(x) for x in s]], np.uint8)
+    for _ in range(60):
+        guide = "".join(r.choice("ACGT") for _ in range(7))
+        site = list(guide)
+        for _ in range(r.randrange(3)):
+            at = r.randrange(len(site))
+            site[at : at + 1] = r.choice([[], ["A"], [site[at], "C"]])
+        site = "".join(site)
+        got = search.least_mismatches(sets(guide), sets(site), 2, 1)[0]
+        want = np.full((3, 2), 99)
+        for _, _, k, d, b in search.alignments(guide, site, 99, 2, 1):
+            want[d, b] = min(want[d, b], k)
+        # Gaps at the guide's end are alignments of the program only where the guide ends there in both.
+        assert (got <= want).all() and ((got == want) | (want == 99)).all()
+
+
+def test_many_guides_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "GUIDES", 2)
+    guides = ["ACGTACGATCGATTA", "ACGTACGATCCATTA", "TTACGATCGATCGTA", "CCCCCCCCCCCCCCC", "NCGTACGATCGATTR"]
+    got = search.search_ungapped(genome(spark, SEQ), spark.createDataFrame([(g,) for g in guides], "spacer string"), 50, "NGG", 15, 2)
+    want = sorted((g, *x) for g in guides[:4] for x in brute(SEQ, g, 2))
+    assert sorted((r["guide"], r["pos"], r["strand"], r["mm"]) for r in got.where("guide not like 'N%'").collect()) == want
+    assert (0, "+") in {(r["mm"], r["strand"]) for r in got.where("guide like 'N%'").collect()}
+
+
+def test_ranks_and_clusters_across_bins(spark):
+    r = random.Random(6)
+    data = [hit(r.randrange(400), r.choice([None, 0.1, 0.2, 0.2, 0.9]), id_=str(i), total=r.randrange(3), guide=r.choice("GH")) for i in range(300)]
+    df = spark.createDataFrame(data, HIT)
+    for guide in "GH":
+        own = sorted((x for x in data if x[0] == guide), key=lambda x: (x[7] is None, -(x[7] or 0), x[6], x[2], x[3], x[10]))
+        got = {x["id"]: x["place"] for x in cluster.ranked(df, ["guide"], [("score", True), ("total", False)], "place", width=16).where(F.col("guide") == guide).collect()}
+        assert got == {x[10]: i for i, x in enumerate(own, 1)}
+    wide, narrow = ({x["id"]: x["cluster"] for x in cluster.cluster_by_gap(df, ["guide", "chrom"], 3, width=w).collect()} for w in (1 << 20, 8))
+    assert wide == narrow and len(set(wide.values())) > 10 and min(wide.values()) == 0
+    known = [x for x in data if x[7] is not None and x[0] == "G"]
+    got = {x["id"]: x["rank"] for x in cluster.value_ranks(df, ["guide"], "score", "rank").where("guide = 'G' and score is not null").collect()}
+    below = {x[10]: sum(y[7] < x[7] for y in known) for x in known}
+    nulls = sum(x[7] is None for x in data if x[0] == "G")
+    assert got == {x[10]: nulls + below[x[10]] + (sum(y[7] == x[7] for y in known) + 1) / 2 for x in known}
+
+
+def test_genes_of_nearest_features(spark):
+    hits = spark.createDataFrame([(1, "c", 10), (2, "c", 100), (3, "d", 5)], "id long, chrom string, pos long")
+    features = spark.createDataFrame([("c", 5, 20, "gene_id=G1;gene_name=ABC"), ("c", 1100, 1200, "x; gene_id=G2")], "chrom string, start long, end long, label string")
+    got = {r["id"]: (r["gene_id"], r["gene_name"], r["distance_kb"], r["region"]) for r in intervals.gene_distance(intervals.nearest_feature(hits, features)).collect()}
+    assert got == {1: ("G1", "ABC", 0.0, None), 2: ("G1", "ABC", -0.081, "intergenic"), 3: (None, None, None, None)}
+
+
 def test_registered_gapped_search_takes_every_guide(spark):
     from strandlake.plans.queries import g3_search_gapped
 
@@ -269,7 +363,7 @@ def test_registered_gapped_search_takes_every_guide(spark):
                 w = seq[i : i + size + 3]
                 for strand, s in (("+", w), ("-", w.translate(comp)[::-1])):
                     if s[-2:] == "GG":
-                        want |= {(g, str(doc), i, strand, *x) for g in guides.values() for x in search.alignments(g, s[:-3], 1, 1, 1, 2)}
+                        want |= {(g, str(doc), i, strand, *x) for g in guides.values() for x in search.alignments(g, s[:-3], 4, 1, 1, 4)}
     got = [(r["guide"], r["chrom"], r["pos"], r["strand"], r["crrna"], r["dna"], r["mm"], r["bulge_dna"], r["bulge_rna"]) for r in g3_search_gapped(seqs, bench).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {x[0] for x in got} == set(guides.values())
 
@@ -304,13 +398,15 @@ def test_extract_region(spark):
 
 
 def test_metrics(spark):
-    rel = [1, 1, 0, 1, 0, 1, 0, 0, 0, 1]
+    rel = [0, 1, 1, 0, 0, 1]
     df = spark.createDataFrame([("q", i + 1, x) for i, x in enumerate(rel)] + [("z", 1, 0)], "query string, rank int, rel int")
-    assert {r["query"]: r["ap"] for r in metrics.average_precision(df).collect()} == {"q": 0.783333, "z": 0.0}
-    assert metrics.mean_reciprocal_rank(df).first()["mrr"] == 0.5
-    graded = spark.createDataFrame([("q", i + 1, x) for i, x in enumerate([3, 2, 3, 0, 0, 1, 2, 2, 3, 0])], "query string, rank int, rel int")
-    assert metrics.dcg_at_k(graded, 10).first()["dcg"] == 9.605118
-    assert metrics.dcg_at_k(graded, 2, 1).first()["dcg"] == 4.26186
+    # (1/2 + 2/3 + 3/6) / 3, and (1/2 + 0) / 2.
+    assert {r["query"]: r["ap"] for r in metrics.average_precision(df).collect()} == {"q": 0.555556, "z": 0.0}
+    assert metrics.mean_reciprocal_rank(df).first()["mrr"] == 0.25
+    graded = spark.createDataFrame([("q", i + 1, x) for i, x in enumerate([1, 0, 2, 3])], "query string, rank int, rel int")
+    # 1 + 0 + 2 / log2(3) + 3 / 2, and 1 + 0 + 2 / log2(4).
+    assert metrics.dcg_at_k(graded, 10).first()["dcg"] == 3.76186
+    assert metrics.dcg_at_k(graded, 3, 1).first()["dcg"] == 2.0
 
 
 def test_quality_checks(spark):

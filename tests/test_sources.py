@@ -23,6 +23,18 @@ def test_vcf(spark, tmp_path):
     assert {(x["sample_id"], x["gt"]) for x in g.collect()} == {("S1", "0|1"), ("S2", "1|2")}
 
 
+def test_vcf_files_have_their_own_samples(spark, tmp_path):
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, samples, row in (("a", "S1\tS2", "chr1\t5\t.\tA\tG\t.\tPASS\t.\tGT\t0|1\t1|1"), ("b", "S2\tS1\tS3", "chr2\t7\t.\tA\tG\t.\tPASS\t.\tGT\t0|0\t1|0\t0|1")):
+        (folder / f"{name}.vcf").write_text(f"{head}\t{samples}\n{row}\n")
+    (folder / "c.vcf").write_text(f"{head.rpartition(chr(9))[0]}\nchr3\t9\t.\tA\tG\t.\tPASS\t.\n")
+    v, g = files.read_vcf(spark, str(folder))
+    assert v.count() == 3
+    assert {(x["chrom"], x["sample_id"], x["gt"]) for x in g.collect()} == {("chr1", "S1", "0|1"), ("chr1", "S2", "1|1"), ("chr2", "S2", "0|0"), ("chr2", "S1", "1|0"), ("chr2", "S3", "0|1")}
+
+
 def test_snp_dictionary(spark, tmp_path):
     path = write(tmp_path, "d.json", '{"chr1,5": "S1:0|1,S2:1|1;A,G;rs1;0.01$;A;rs2", "chr1,9": "bad"}')
     v, g = files.import_snp_dictionary(spark, path)
