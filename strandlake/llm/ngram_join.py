@@ -15,8 +15,8 @@ from .common import NOT_SPACE, WordHasher, discard, materialize, mix, small_batc
 RANGE = 0.25
 #: N-grams in one task of a tree join; larger groups are dealt into several.
 BLOCK = 1 << 19
-#: Parts into which the rows of one n-gram, however many, are dealt when what is known of it is joined to them.
-SALTS = 8
+#: The keys with most rows, at most HOT of them, are dealt into SALTS parts when what is known of them is joined to their rows.
+HOT, SALTS = 20_000, 32
 
 
 def _shingles(hasher: WordHasher, column: pa.Array, n: int) -> list[np.ndarray]:
@@ -229,15 +229,17 @@ def link_forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, lab
     return edges
 
 
-def _salted(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int"))
+def _with_known(rows: DataFrame, known: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``rows`` joined with ``known``, a written table that has the keys' number of rows as ``k``; the hot keys' rows are dealt by ``column``."""
+    total = known.agg(F.sum("k")).first()[0] or 0
+    hot = F.col("k") >= max(1024, total // HOT)
+    marks = known.where(hot).select(*keys, F.lit(True).alias("hot"))
+    dealt = rows.join(F.broadcast(marks), keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    spread = known.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(spread.drop("k"), [*keys, "salt"]).drop("salt")
 
 
-def _to_all(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _prefixes(profile: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+def _prefixes(profile: DataFrame, reps: DataFrame, num: int, den: int, keep) -> DataFrame:
     """rep, g, size, lo, hi, bucket: the prefix n-grams of each representative, and which sizes a partner can have whose first common n-gram it is.
 
     At place ``p`` of a set of ``size`` at most ``size - p`` n-grams can be common, which bounds the partner from above.
@@ -245,8 +247,8 @@ def _prefixes(profile: DataFrame, reps: DataFrame, num: int, den: int) -> DataFr
     """
     one = profile.join(reps.select("sig1", "sig2", F.col("rep").alias("doc_id")), ["sig1", "sig2", "doc_id"]).select(F.col("doc_id").alias("rep"), "size", "head", "tail")
     held = one.select("rep", F.explode("head").alias("g"))
-    shared = held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    heads = _salted(held, "rep").join(_to_all(shared), ["g", "salt"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("shared"))
+    shared = keep(held.groupBy("g").agg(F.count("*").alias("k")).where("k > 1"), "shared").withColumn("df", F.col("k"))
+    heads = _with_known(held, shared, ["g"], "rep").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("shared"))
     sizes = one.select("rep", "size", F.size("head").alias("heads"), F.when(F.size("tail") > 0, F.col("tail")).alias("tail"))
     need = F.col("size") - F.expr(f"(size * {num} + {den} - 1) div {den}") + 1
     alone = F.col("heads") - F.size("shared")  # n-grams of the range that no other set has: they come first of all
@@ -337,7 +339,7 @@ def _star_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     return _linked(rows.withColumn("key", F.col("hub")), ["key", "part"], ["hub", "rep"], links)
 
 
-def _cross_links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _cross_links(entries: DataFrame, sets: DataFrame, num: int, den: int, keep) -> DataFrame:
     """Links between different clusters, by tree joins where several clusters meet in an n-gram's bucket of sizes.
 
     ``entries`` has the columns of ``_prefixes`` and cluster. Sets of a bucket also visit the next one if the partner
@@ -346,17 +348,17 @@ def _cross_links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     BLOCK, each pair of its parts.
     """
     rows = entries.withColumn("at", F.explode(F.when(F.col("next"), F.array(F.col("bucket"), F.col("bucket") + 1)).otherwise(F.array("bucket"))))
-    group = rows.groupBy("g", "at").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1"), F.max("bucket").alias("top"), F.min("rep").alias("hub"), F.ceil(F.sum("size") / F.lit(BLOCK)).cast("int").alias("parts"))
-    open_ = group.where("c0 != c1 and top = at").select("g", "at", "hub", "parts")
-    work = materialize(_salted(rows, "rep").join(_to_all(open_), ["g", "at", "salt"]).select("g", "at", "rep", "size", "cluster", "hi", "hub", "parts"), "open")
-    group = materialize(components(work.select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "groups")
+    group = rows.groupBy("g", "at").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1"), F.max("bucket").alias("top"), F.min("rep").alias("hub"), F.count("*").alias("k"), F.ceil(F.sum("size") / F.lit(BLOCK)).cast("int").alias("parts"))
+    open_ = keep(group.where("c0 != c1 and top = at").select("g", "at", "hub", "parts", "k"), "open")
+    work = keep(_with_known(rows, open_, ["g", "at"], "rep").select("g", "at", "rep", "size", "cluster", "hi", "hub", "parts"), "work")
+    group = keep(components(work.select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "groups")
     members = work.select("rep", "size", "cluster").distinct().join(group.select(F.col("node").alias("rep"), "component"), "rep")
-    members = materialize(members.join(members.groupBy("component").agg((F.sum("size") > BLOCK).alias("wide")), "component"), "members")
+    members = keep(members.join(members.groupBy("component").agg((F.sum("size") > BLOCK).alias("wide")), "component"), "members")
 
     def whole(reps, clusters, sets):
         return link_forest(reps, sets, num, den, clusters)
 
-    links = materialize(_linked(members.where("not wide").join(sets, "rep"), ["component"], ["rep", "cluster"], whole), "links")
+    links = keep(_linked(members.where("not wide").join(sets, "rep"), ["component"], ["rep", "cluster"], whole), "links")
     dealt = work.join(members.where("wide").select("rep"), "rep", "left_semi").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
     dealt = dealt.select("g", "at", "rep", "cluster", "hi", F.explode(pair).alias("x")).select("g", "at", "x.i", "x.j", "rep", "cluster", "hi")
@@ -364,8 +366,7 @@ def _cross_links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     def one_gram(reps, clusters, most, sets):
         return link_forest(reps, sets, num, den, clusters, most)
 
-    more = materialize(_linked(dealt.join(sets, "rep"), ["g", "at", "i", "j"], ["rep", "cluster", "hi"], one_gram), "links")
-    discard(work, group, members)
+    more = keep(_linked(dealt.join(sets, "rep"), ["g", "at", "i", "j"], ["rep", "cluster", "hi"], one_gram), "links")
     return links.union(more)
 
 
@@ -387,19 +388,24 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     num, den = threshold
     profile = materialize(_profile(docs, n, num, den), "profile")
     reps = profile.where("size > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"))
-    prefix = materialize(_prefixes(profile, reps, num, den), "prefix")
-    shared = prefix.groupBy("g").agg(F.count("*").alias("k"), F.min("size").alias("least"), F.max("size").alias("most")).where("k > 1").drop("k")
-    entries = materialize(_salted(prefix, "rep").join(_to_all(shared), ["g", "salt"]).where("hi >= least and lo <= most").drop("salt", "least", "most"), "entries")
-    hubs = entries.groupBy("g", "bucket").agg(F.min(F.struct(F.col("rep").alias("hub"), F.col("size").alias("n"), F.col("lo").alias("from"), F.col("hi").alias("to"))).alias("h"), F.count("*").alias("k")).where("k > 1").select("g", "bucket", "h.*")
-    near = _salted(entries, "rep").join(_to_all(hubs), ["g", "bucket", "salt"]).where("rep != hub and size between from and to and n between lo and hi")
-    pairs = materialize(near.select("rep", "size", "hub").distinct(), "pairs")
-    sets = materialize(_sets(docs, entries.select("rep").distinct().join(reps.select("rep", "sig1"), "rep"), n), "sets")
-    star = materialize(_star_links(pairs, sets, num, den), "star")
-    clusters = materialize(components(star), "clusters")
+    spent: list[DataFrame] = []
+    keep = lambda df, name: spent.append(materialize(df, name)) or spent[-1]
+    prefix = keep(_prefixes(profile, reps, num, den, keep), "prefix")
+    shared = keep(prefix.groupBy("g").agg(F.count("*").alias("k"), F.min("size").alias("least"), F.max("size").alias("most")).where("k > 1"), "shared")
+    entries = _with_known(prefix, shared, ["g"], "rep").where("hi >= least and lo <= most").drop("least", "most")
+    entries = keep(entries, "entries")
+    discard(*(x for x in spent if x is not entries))
+    spent[:] = [entries]
+    hubs = entries.groupBy("g", "bucket").agg(F.min(F.struct(F.col("rep").alias("hub"), F.col("size").alias("n"), F.col("lo").alias("from"), F.col("hi").alias("to"))).alias("h"), F.count("*").alias("k")).where("k > 1").select("g", "bucket", "h.*", "k")
+    near = _with_known(entries, keep(hubs, "hubs"), ["g", "bucket"], "rep").where("rep != hub and size between from and to and n between lo and hi")
+    pairs = keep(near.select("rep", "size", "hub").distinct(), "pairs")
+    sets = keep(_sets(docs, entries.select("rep").distinct().join(reps.select("rep", "sig1"), "rep"), n), "sets")
+    star = keep(_star_links(pairs, sets, num, den), "star")
+    clusters = keep(components(star), "clusters")
     labelled = entries.join(clusters.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("cluster", F.coalesce("component", "rep")).drop("component")
-    cross = _cross_links(labelled, sets, num, den)
+    cross = _cross_links(labelled, sets, num, den, keep)
     found = materialize(components(cross.union(star)).select(F.col("node").alias("rep"), "component"), "components")
-    discard(prefix, entries, pairs, sets, star, clusters)
+    discard(*spent)
     own = reps.join(found, "rep", "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("least"))
     return profile.join(own, ["sig1", "sig2"], "left").select("doc_id", F.col("size").alias(size), F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias(component))
 
