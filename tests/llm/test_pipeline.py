@@ -59,3 +59,24 @@ def test_near_copies_between_the_limits(spark):
     d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(further))], "doc_id long, text string")
     # Five-word Jaccard to the first: 176/216 = 0.815 and 171/221 = 0.774; four-word: 181/213 = 0.8498.
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, d, "").collect()) == [1, 3]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "some words that no document of this test holds anywhere at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, line int, component_id string, item_id string, version string, rep string"
+    text = "the same words stand here more than once in this table"
+    rows = [(i, text if i % 2 else f"eine ganz andere zeile mit der nummer {i} steht hier", "en" if i % 2 else "de", "s", 1, 9, "c", "i", "v", "r") for i in range(12)]
+    rows += [(None, "a text without a number", "en", None, None, None, None, None, None, None), (3, text, "en", "s", 1, 9, "c", "i", "v", "r"), (40, None, None, None, None, None, None, None, None, None), (41, "", "en", "s", 0, 0, "", "", "", "")]
+    for name, table in (("full", rows), ("empty", [])):
+        d = spark.createDataFrame(table, schema)
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, d, str(tmp_path))
+            assert out.columns == d.columns
+            path = str(tmp_path / f"{name}-{stage_name}")
+            out.write.parquet(path)
+            d = spark.read.schema(schema).parquet(path)
+        kept = d.collect()
+        assert len(kept) == (0 if name == "empty" else len(kept)) and all(r["rep"] in ("r", None) for r in kept)
+        if table:
+            assert {1, None} <= {r["doc_id"] for r in kept} and not {40, 41} & {r["doc_id"] for r in kept}
+        assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).count() == len(kept)

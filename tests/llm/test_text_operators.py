@@ -429,6 +429,13 @@ def test_packing_round_trip(spark, model):
     assert packing.pack(d.limit(0), model).count() == 0
 
 
+def test_packing_of_odd_tables(spark, model):
+    d = spark.createDataFrame([(None, "one two", 7, "x", 1), (5, "one two", 8, "y", 2), (5, "one two", 8, "y", 2), (6, None, None, None, None)], "doc_id long, text string, length long, piece string, sequence_id int")
+    out = packing.pack(d, model).collect()
+    assert sorted((r["doc_id"] or 0, r["piece"], r["start"], r["length"]) for r in out) == [(0, 0, 0, out[0]["length"] if out[0]["doc_id"] is None else max(r["length"] for r in out)), (5, 0, 0, max(r["length"] for r in out)), (5, 0, 0, max(r["length"] for r in out)), (6, 0, 0, 1)]
+    assert {r["sequence_id"] for r in out} == {out[0]["sequence_id"]} and len({r["offset"] for r in out}) == 4
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_is_near_the_bound(seed):
     r = np.random.default_rng(seed)
