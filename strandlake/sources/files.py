@@ -5,29 +5,56 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MISSING = ("", "NA", "n", ".", "NaN", "None")
 #: Curated columns of an export, in order.
 CURATED = ("site_rank", "guide", "chrom", "start", "strand", "aligned_spacer", "aligned_target", "pam", "mm", "bulge", "total", "bulge_type", "origin", "pam_creation", "score", "score_ref", "score_alt", "risk", "variants", "samples", "annotations", "perfect_match")
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each line's place in its split of the file; a split is read by one task, in order."""
+    last, n = None, 0
+    for batch in batches:
+        place = []
+        for key in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            n = n + 1 if key == last else 0
+            last = key
+            place.append(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], ["value", "file", "block", "n"])
+
+
 def read_fasta(spark: SparkSession, path: str, tile: int = 100_000, overlap: int = 100) -> DataFrame:
-    """(chrom, start, seq): upper-case tiles that start every ``tile`` bases and run ``overlap`` on. One task for each file."""
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                for record in bytes(content).decode("ascii").split(">")[1:]:
-                    head, _, body = record.partition("\n")
-                    name = head.split()[0] if head.split() else ""
-                    seq = "".join(body.split()).upper()
-                    for at in range(0, max(1, len(seq)), tile):
-                        yield pd.DataFrame({"chrom": [name], "start": [at], "seq": [seq[at : at + tile + overlap]]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(cut, "chrom string, start long, seq string")
+    """(chrom, start, seq): upper-case tiles that start every ``tile`` bases and run ``overlap`` on.
+
+    Files are read in splits, so that a chromosome is no single task. One row for each piece of a contig in a split tells
+    its name and where it begins; lines are then cut at tile borders and put together by tile. A contig without a
+    sequence has one empty tile; what stands before the first name of a file is left out.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = lines.mapInArrow(_numbered, "value string, file string, block long, n long")
+    head = F.col("value").startswith(">")
+    inside = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    seq = F.upper(F.regexp_replace("value", r"\s", ""))
+    rows = rows.select("file", "block", "n", F.when(head, F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("name"), F.when(head, "").otherwise(seq).alias("seq")).withColumn("part", F.count("name").over(inside))
+    piece = Window.partitionBy("file", "block", "part").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("seq")).over(piece), F.lit(0)))
+    parts = rows.groupBy("file", "block", "part").agg(F.max("name").alias("name"), F.sum(F.length("seq")).alias("size"))
+    order = Window.partitionBy("file").orderBy("block", "part")
+    parts = parts.withColumns({"chrom": F.last("name", ignorenulls=True).over(order), "contig": F.count("name").over(order)}).where("contig > 0")
+    before = Window.partitionBy("file", "contig").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0))).select("file", "block", "part", "chrom", "contig", "first")
+    own = rows.join(parts, ["file", "block", "part"]).select("file", "contig", "chrom", (F.col("first") + F.col("at")).alias("a"), "seq", "name").where("seq != '' or name is not null")
+    end = F.col("a") + F.greatest(F.length("seq"), F.lit(1))
+    tiles = F.sequence(F.greatest(F.lit(0), F.floor((F.col("a") - overlap) / F.lit(tile))), F.floor((end - 1) / F.lit(tile)))
+    cut = own.select("*", F.explode(F.when(F.col("seq") == "", F.array(F.lit(0).cast("bigint"))).otherwise(tiles)).alias("t"))
+    lo, hi = F.greatest(F.col("a"), F.col("t") * tile), F.least(F.col("a") + F.length("seq"), F.col("t") * tile + tile + overlap)
+    text = F.substring(F.col("seq"), (lo - F.col("a") + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", text.alias("s")))), lambda x: x["s"]), "")
+    return cut.groupBy("file", "contig", "chrom", "t").agg(joined.alias("seq")).select("chrom", (F.col("t") * tile).cast("bigint").alias("start"), "seq").where("seq != '' or start = 0")
 
 
 #: Bytes of VCF headers that may go to all tasks.

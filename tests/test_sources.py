@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from strandlake.sources import files
@@ -15,6 +17,27 @@ def test_fasta_tiles(spark, tmp_path):
     assert got == {("chr1", 0): "ACGTAC", ("chr1", 4): "ACGT", ("chr2", 0): "TT"}
 
 
+def test_fasta_in_splits(spark, tmp_path):
+    r = random.Random(3)
+    want, folder = {}, tmp_path / "genome"
+    folder.mkdir()
+    for name in ("x", "y"):
+        text = "; before any name\n"
+        for i in range(5):
+            seq = "".join(r.choice("acgtN") for _ in range(r.choice([0, 3, 61, 400, 1999])))
+            text += f"> {name}{i} about it\r\n" + "".join(seq[k : k + 50] + "\r\n" for k in range(0, len(seq), 50)) + "\n"
+            for at in range(0, max(1, len(seq)), 64):
+                want[f"{name}{i}", at] = seq[at : at + 74].upper()
+        (folder / f"{name}.fa").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = files.read_fasta(spark, str(folder), 64, 10)
+        assert {(x["chrom"], x["start"]): x["seq"] for x in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_vcf(spark, tmp_path):
     path = write(tmp_path, "a.vcf", "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2\nchr1\t5\t.\tA\tG,T\t.\tPASS\tAF=0.1,0.2;DB\tGT:DP\t0|1:3\t1|2\n")
     v, g = files.read_vcf(spark, path)
