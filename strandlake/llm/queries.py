@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch
-from . import decontaminate, language_id, licenses, line_dedup, ngram_join, packing, quality, secrets, topk, url_rules
+from . import decontaminate, language_id, licenses, line_dedup, ngram_join, packing, quality, secrets, topk, url_rules, vector_codes
 
 QUERIES, ORACLES = {}, {}
 
@@ -101,3 +101,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_id", "overlap")
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.sha256(books)).alias("codebooks_sha256"))
+
+
+ORACLES["op13_vector_codes"] = vector_codes.oracle()
