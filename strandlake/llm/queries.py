@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch
-from . import decontaminate, language_id, licenses, line_dedup, ngram_join, packing, quality, secrets, topk, url_rules, vector_codes
+from . import decontaminate, language_id, lexical, licenses, line_dedup, ngram_join, packing, quality, secrets, topk, url_rules, vector_codes
 
 QUERIES, ORACLES = {}, {}
 
@@ -110,3 +110,11 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_vector_codes"] = vector_codes.oracle()
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"), 10)
+
+
+ORACLES["op11_ranked_search"] = lexical.oracle()
