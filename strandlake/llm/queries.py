@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch
-from . import decontaminate, language_id, lexical, licenses, line_dedup, ngram_join, packing, quality, secrets, topk, url_rules, vector_codes
+from . import decontaminate, language_id, lexical, licenses, line_dedup, ngram_join, packing, quality, secrets, slack, topk, url_rules, vector_codes
 
 QUERIES, ORACLES = {}, {}
 
@@ -118,3 +118,8 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_ranked_search"] = lexical.oracle()
+
+
+@query
+def op12_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
