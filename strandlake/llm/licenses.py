@@ -14,21 +14,41 @@ from .common import ascii_lower
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places are always reported, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices of public licenses as (label, text, the words without which it is not that license); at most BLOCK / 2 + 1
-#: words each, so that a whole notice lies in one block.
+#: How the conditions of Creative Commons licenses are written: in one word, in two, in letters; and the words of which none may stand near the notice of a license without that condition.
+CONDITIONS = {
+    "nc": ("NonCommercial", "Non Commercial", "NC", "noncommercial commercial"),
+    "nd": ("NoDerivatives", "No Derivatives", "ND", "noderivatives noderivs derivatives"),
+    "sa": ("ShareAlike", "Share Alike", "SA", "sharealike alike"),
+}
+VARIANTS = ((), ("nc",), ("nd",), ("sa",), ("nc", "nd"), ("nc", "sa"))
+
+
+def commons(*conditions: str) -> list[tuple[str, str, str, str]]:
+    """The templates of the Creative Commons Attribution license with these conditions."""
+    label = "-".join(("cc-by", *conditions))
+    bars = " ".join(words for c, (*_, words) in CONDITIONS.items() if c not in conditions)
+    out = []
+    for style in (0, 1) if conditions else (0,):
+        said = " ".join(CONDITIONS[c][style] for c in conditions)
+        out.append((label, f"this work is licensed under a Creative Commons Attribution {said} 4 0 International License", f"creative commons attribution {said}", bars))
+    said = " ".join(CONDITIONS[c][2] for c in conditions)
+    return [*out, (label, f"licensed under CC BY {said} 4 0", f"cc by {said}", " ".join([bars, *(c for c in CONDITIONS if c not in conditions)]))]
+
+
+#: Notices of public licenses as (label, text, the words without which it is not that license, the words with which it
+#: is not); at most BLOCK / 2 + 1 words each, so that a whole notice lies in one block.
 TEMPLATES = [
-    ("mit", "released under the MIT License", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "granted charge software obtaining"),
-    ("apache", "licensed under the Apache License version 2 0", "apache license"),
-    ("apache", "you may not use this file except in compliance with the License", "except compliance license"),
-    ("gpl", "this work is licensed under the GNU General Public License version 3", "general public license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the GNU General Public License", "redistribute general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary permitted"),
-    ("cc-by", "this work is licensed under a Creative Commons Attribution 4 0 International License", "creative commons attribution"),
-    ("cc-by-nc", "licensed under CC BY NC 4 0", "cc by nc"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "granted distribute purpose fee"),
-    ("mpl", "this source code form is subject to the terms of the Mozilla Public License", "mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered public domain"),
+    ("mit", "released under the MIT License", "mit license", ""),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "granted charge software obtaining", ""),
+    ("apache", "licensed under the Apache License version 2 0", "apache license", ""),
+    ("apache", "you may not use this file except in compliance with the License", "except compliance license", ""),
+    ("gpl", "this work is licensed under the GNU General Public License version 3", "general public license", ""),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the GNU General Public License", "redistribute general public license", ""),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary permitted", ""),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "granted distribute purpose fee", ""),
+    ("mpl", "this source code form is subject to the terms of the Mozilla Public License", "mozilla public license", ""),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered public domain", ""),
+    *(template for conditions in VARIANTS for template in commons(*conditions)),
 ]
 #: Blocks are BLOCK words long and start every BLOCK / 2 words.
 BLOCK = 64
@@ -46,7 +66,7 @@ def tokens(text: str) -> list[str]:
 
 def vocabulary_counts(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """How often each word of the templates occurs in the whole corpus; as many entries as the templates have words."""
-    vocabulary = sorted({w for _, t, _ in templates for w in tokens(t)})
+    vocabulary = sorted({w for _, t, *_ in templates for w in tokens(t)})
     counted = docs.select(F.explode(words(F.col("text"))).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
     return {w: 0 for w in vocabulary} | {r["w"]: r["count"] for r in counted.collect()}
 
@@ -59,7 +79,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
     ``size - need + 1`` words, so only blocks at such words are candidates; the length filter (the block has at least
     ``need`` different words) and the positional filter (enough words come after the first common one, in the template
     and in the block) drop candidates before the exact count. A template counts only where the block also holds all its
-    telling words. ``score`` is the highest containment found, 0 without.
+    telling words and none of those that bar it. ``score`` is the highest containment found, 0 without.
 
     A null text counts as empty; a null doc_id stays null; repeated rows give repeated results; other columns are not
     read. The second pass has no shuffle, whatever the number of copies.
@@ -67,16 +87,16 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
     counts = vocabulary_counts(docs, templates)
     rank = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
     sets, index = [], {}
-    for k, (label, text, telling) in enumerate(templates):
+    for k, (label, text, telling, bars) in enumerate(templates):
         own = sorted(tokens(text), key=rank.get)
         need = math.ceil(containment * len(own) - 1e-9)
-        sets.append((label, own, need, tokens(telling)))
+        sets.append((label, own, need, tokens(telling), tokens(bars)))
         for at, w in enumerate(own[: len(own) - need + 1]):
             index.setdefault(w, []).append((k, at))
     prefix = F.array(*map(F.lit, index))
     posted = F.create_map(*[x for w, hits in index.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).alias("at")) for k, at in hits]))])
     ranks = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)])
-    table = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, own)).alias("words"), F.lit(need).alias("need"), F.array(*map(F.lit, telling)).alias("telling")) for label, own, need, telling in sets])
+    table = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, own)).alias("words"), F.lit(need).alias("need"), F.array(*map(F.lit, telling)).alias("telling"), F.array(*map(F.lit, bars)).cast("array<string>").alias("bars")) for label, own, need, telling, bars in sets])
     half = BLOCK // 2
 
     rows = docs.select("doc_id", words(F.col("text")).alias("w"))
@@ -124,7 +144,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
         t = F.get(table, c["k"])
         common = F.size(F.array_intersect(block(c), t["words"]))
         told = F.size(F.array_except(t["telling"], block(c))) == 0
-        return F.named_struct(F.lit("label"), t["label"], F.lit("c"), F.when((common >= t["need"]) & told, common / F.size(t["words"])))
+        return F.named_struct(F.lit("label"), t["label"], F.lit("c"), F.when((common >= t["need"]) & told & ~F.arrays_overlap(t["bars"], block(c)), common / F.size(t["words"])))
 
     found = F.when(F.arrays_overlap(w, prefix), F.filter(F.transform(F.filter(candidates, survives), contained), lambda x: x["c"].isNotNull())).otherwise(F.array().cast("array<struct<label:string,c:double>>"))
     rows = rows.select("doc_id", F.size(w).cast("long").alias("n_words"), F.when(F.size(w) > 0, base).otherwise(nothing).alias("base"), F.when(F.size(w) > 0, found).alias("found"))
@@ -137,7 +157,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
 
 def oracle() -> str:
     """The same in DuckDB SQL: every block is compared with every template."""
-    values = ", ".join(f"({k}, '{label}', {tokens(t)!r}, {tokens(telling)!r})" for k, (label, t, telling) in enumerate(TEMPLATES))
+    values = ", ".join(f"({k}, '{label}', {tokens(t)!r}, {tokens(telling)!r}, {tokens(bars)!r}::VARCHAR[])" for k, (label, t, telling, bars) in enumerate(TEMPLATES))
     phrases = " UNION ALL ".join(
         f"SELECT r, i, '{v}' AS label FROM places WHERE " + " AND ".join(f"w[i + {j + 1}] = '{p}'" for j, p in enumerate(phrase.split())) for phrase, v in PHRASES.items()
     )
@@ -146,12 +166,12 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to
 places AS (SELECT r, w, unnest(range(len(w))) AS i FROM d WHERE list_contains(w, 'license')),
 base AS ({phrases}),
 b AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list(label) AS labels FROM base GROUP BY r),
-t AS (SELECT * FROM (VALUES {values}) AS v(k, label, words, telling)),
+t AS (SELECT * FROM (VALUES {values}) AS v(k, label, words, telling, bars)),
 blocks AS (SELECT r, s, list_distinct(w[s * {BLOCK // 2} + 1 : s * {BLOCK // 2} + {BLOCK}]) AS bw FROM (SELECT r, w, unnest(range((len(w) - 1) // {BLOCK // 2} + 1)) AS s FROM d WHERE len(w) > 0)),
 bt AS (SELECT r, s, unnest(bw) AS word FROM blocks),
 tt AS (SELECT k, label, len(words) AS size, len(telling) AS must, unnest(list_transform(words, lambda x: struct_pack(word := x, tells := list_contains(telling, x))), recursive := true) FROM t),
 hit AS (SELECT r, s, k, label, size, must, count(*) AS c FROM bt JOIN tt USING (word) GROUP BY ALL HAVING count(*) >= ceil({CONTAINMENT} * size - 1e-9) AND count(*) FILTER (tells) = must),
-m AS (SELECT r, list(label) AS labels, max(c::DOUBLE / size) AS score FROM hit GROUP BY r)
+m AS (SELECT r, list(h.label) AS labels, max(c::DOUBLE / size) AS score FROM hit h JOIN blocks USING (r, s) JOIN t USING (k) WHERE NOT list_has_any(bw, bars) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word,
 array_to_string(list_sort(list_distinct(coalesce(b.labels, []))), ',') AS base_labels,
 array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,

@@ -31,6 +31,8 @@ def _either_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 
 
+#: A token that could run on to the left of a match would be tried from each of its places: such matches begin a word.
+BEGINS = "(?<![A-Za-z0-9_-])"
 _KEYS = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
 #: The kinds in the order in which findings of one start are listed; the first three are the base kinds.
 RULES = (
@@ -40,7 +42,7 @@ RULES = (
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", needs=("PRIVATE KEY-----",)),
     Rule("github", "gh[oprsu]_[A-Za-z0-9]{36,}", needs=("gho_", "ghp_", "ghr_", "ghs_", "ghu_")),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", needs=("xox",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs=("eyJ",)),
+    Rule("jwt", BEGINS + r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs=("eyJ",), version=2),
     Rule("url_login", r"://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@", needs=("://",)),
 )
 BASE = ("assign", "access", "hex")
@@ -57,7 +59,9 @@ def _matches(rule: Rule) -> Column:
     gaps = F.transform(F.split(text, F.lit(rule.pattern), -1), F.length)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    each = F.transform(F.arrays_zip(whole.alias("m"), kept.alias("k")), lambda x, i: F.struct(F.lit(rule.kind).alias("rule"), i.alias("i"), (F.get(gaps, i)).alias("gap"), F.length(x["m"]).alias("length"), (F.length(x["k"]) >= rule.least).alias("stays")))
+    # All three are zipped once: what a lambda takes from outside is computed anew for each match.
+    zipped = F.filter(F.arrays_zip(gaps.alias("g"), whole.alias("m"), kept.alias("k")), lambda x: x["m"].isNotNull())
+    each = F.transform(zipped, lambda x, i: F.struct(F.lit(rule.kind).alias("rule"), i.alias("i"), x["g"].alias("gap"), F.length(x["m"]).alias("length"), (F.length(x["k"]) >= rule.least).alias("stays")))
     none = F.array().cast("array<struct<rule:string,i:int,gap:int,length:int,stays:boolean>>")
     pending = F.array_contains("rules", rule.kind)
     for_text = F.lit(not rule.needs)
@@ -141,17 +145,18 @@ def digest(findings: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL, over every document rather than every blob."""
+    """The same in DuckDB SQL, over every document rather than every blob; what stands before a word is matched with it and cut off again."""
+    words = lambda x: x.pattern.startswith(BEGINS)
     hits = " UNION ALL ".join(
-        f"SELECT r, '{x.kind}' AS kind, {k} AS ord, '{esc}' AS p, regexp_split_to_array(text, '{esc}') AS g, regexp_extract_all(text, '{esc}', 0) AS m, regexp_extract_all(text, '{esc}', {x.group}) AS q, {x.least} AS least FROM d WHERE regexp_matches(text, '{esc}')"
+        f"SELECT r, '{x.kind}' AS kind, {k} AS ord, regexp_split_to_array(text, '{esc}') AS g, regexp_extract_all(text, '{esc}', 0) AS m, regexp_extract_all(text, '{esc}', {2 * words(x)}) AS o, regexp_extract_all(text, '{esc}', {2 if words(x) else x.group}) AS q, {x.least} AS least FROM d WHERE regexp_matches(text, '{esc}')"
         for k, x in enumerate(RULES)
-        for esc in [x.pattern.replace("'", "''")]
+        for esc in [(f"(^|[^A-Za-z0-9_-])({x.pattern.removeprefix(BEGINS)})" if words(x) else x.pattern).replace("'", "''")]
     )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 h AS ({hits}),
-e AS (SELECT r, kind, ord, least, m, q, g, unnest(range(1, len(m) + 1)) AS i FROM h),
-s AS (SELECT r, kind, ord, length(m[i]) AS n, length(q[i]) >= least AS stays, sum(length(g[i]) + length(m[i])) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM e),
+e AS (SELECT r, kind, ord, least, m, o, q, g, unnest(range(1, len(m) + 1)) AS i FROM h),
+s AS (SELECT r, kind, ord, length(o[i]) AS n, length(q[i]) >= least AS stays, sum(length(g[i]) + length(m[i])) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM e),
 f AS (SELECT r, kind, ord, (e - n)::BIGINT AS a, e::BIGINT AS e FROM s WHERE stays),
 a AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
 string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, ord) AS spans FROM f GROUP BY r)

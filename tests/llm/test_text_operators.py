@@ -121,7 +121,27 @@ def test_licenses(spark):
 
 def test_license_templates_need_their_telling_words(spark):
     d = docs(spark, "Released under the Apache License.", "Released under the BSD license terms", "licensed under CC BY SA 4.0", "this code was released; under review is the license", "Licensed under CC-BY-NC 4.0.", "released under a MIT license")
-    assert [r["labels"] for r in licenses.scan(d).orderBy("doc_id").collect()] == ["apache", "", "", "", "cc-by-nc", "mit"]
+    assert [r["labels"] for r in licenses.scan(d).orderBy("doc_id").collect()] == ["apache", "", "cc-by-sa", "", "cc-by-nc", "mit"]
+
+
+@pytest.mark.parametrize("text, label", [
+    ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-Non-Commercial-ShareAlike 4.0 International License", ""),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"),
+    ("this work is licensed under a creative commons attribution no derivatives 4.0 international license", "cc-by-nd"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("Licensed under CC BY 4.0", "cc-by"), ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa"), ("Licensed under CC BY NC ND 4.0", "cc-by-nc-nd"), ("Licensed under CC BY-ND 4.0", "cc-by-nd"),
+])
+def test_licenses_differ_by_their_conditions(spark, text, label):
+    assert licenses.scan(docs(spark, text)).first()["labels"] == label
+
+
+def test_license_scan_of_very_long_and_empty_tables(spark):
+    long = "filler words " * 150_000
+    d = docs(spark, long + "Licensed under the Apache License, Version 2.0 " + long)
+    assert licenses.scan(d).first().asDict() == {"doc_id": 1, "n_words": 600_008, "n_base": 1, "first_word": 300_003, "last_word": 300_003, "base_labels": "apache", "labels": "apache", "score": 1.0}
+    assert licenses.scan(d.where("false")).collect() == []
 
 
 def spans(text):
@@ -145,6 +165,28 @@ def test_secrets_equal_a_direct_search(spark):
     assert got[7]["spans"].startswith("private_key:0:31")
 
 
+#: For each rule what it begins to match again and again, without an end.
+NEAR_MATCHES = {"assign": "secret  ", "access": "AKIA", "hex": "0123456789abcdef0123456789abcde ", "private_key": "-----BEGIN PRIVATE KEY", "github": "ghp_abcdefgh", "slack": "xoxb-a ", "jwt": "eyJabcdefgh", "url_login": "://user:pass"}
+
+
+@pytest.mark.parametrize("kind", NEAR_MATCHES)
+def test_rules_are_linear_in_the_text(spark, kind):
+    """2 MB of near matches take some seconds; a rule that scanned on from each of them would take hours."""
+    import time
+
+    text = NEAR_MATCHES[kind] * (2_000_000 // len(NEAR_MATCHES[kind]))
+    d = spark.createDataFrame([(1, text)], "doc_id long, content string")
+    began = time.time()
+    secrets.scan_blobs(d).collect()
+    assert time.time() - began < 10
+
+
+def test_a_jwt_begins_a_word(spark):
+    a, b = "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJl", "xeyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJl"
+    d = spark.createDataFrame([(1, f"{a} {a},{b}")], "doc_id long, content string")
+    assert secrets.digest(secrets.findings_by_path(d, secrets.scan_blobs(d))).first()["spans"] == f"jwt:0:{len(a)},jwt:{len(a) + 1}:{2 * len(a) + 1}"
+
+
 def test_ledger_scans_only_what_is_new(spark):
     d = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh")], "doc_id long, content string")
     ledger = secrets.scan_blobs(d).cache()
