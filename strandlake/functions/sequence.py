@@ -71,9 +71,11 @@ def pam_of(alt: Column, ref: Column, origin: Column, n: int, five_prime: bool) -
     return F.substring(seq, 1, n) if five_prime else F.right(seq, F.lit(n))
 
 
-def pam_regex(motif: str) -> str:
-    """A pattern of the strings whose every code shares a base with the motif's."""
+def pam_regex(motif: str, lower: bool = False) -> str:
+    """A pattern of the strings whose every code shares a base with the motif's; with ``lower`` also codes in lower case."""
     bits = {k: set(v) for k, v in IUPAC.items()}
+    if lower:
+        bits |= {k.lower(): v for k, v in bits.items()}
     return "^" + "".join("[" + "".join(k for k, v in bits.items() if v & bits[c.upper()]) + "]" for c in motif) + "$"
 
 
