@@ -24,6 +24,12 @@ GENOTYPES = """
 SELECT CASE WHEN l_partkey % 23 = 22 THEN 'chrX' ELSE 'chr' || CAST(l_partkey % 23 + 1 AS STRING) END AS chrom, l_partkey AS pos, 'A' AS ref, 'G' AS alt, CAST(o_custkey AS STRING) AS sample_id,
 CASE min(l_linenumber) % 4 WHEN 0 THEN '0|1' WHEN 1 THEN '1|0' WHEN 2 THEN '1|1' ELSE '0/1' END AS gt
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY l_partkey, o_custkey"""
+#: Single-base calls on the sequences of the documents; up to two alternates at a place.
+CALLS = """
+SELECT CAST(l_partkey % 1000 AS STRING) AS chrom, CAST((l_orderkey * 31 + l_suppkey) % 3000 AS BIGINT) AS pos, substr('ACGTAC', CAST((l_orderkey + l_suppkey) % 4 + 1 + o_custkey % 2 AS INT), 1) AS alt, 's' || CAST(o_custkey % 7 AS STRING) AS sample_id,
+CASE min(l_linenumber) % 4 WHEN 0 THEN '0|1' WHEN 1 THEN '1|0' WHEN 2 THEN '1|1' ELSE '0/1' END AS gt
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+GROUP BY l_partkey % 1000, (l_orderkey * 31 + l_suppkey) % 3000, substr('ACGTAC', CAST((l_orderkey + l_suppkey) % 4 + 1 + o_custkey % 2 AS INT), 1), o_custkey % 7"""
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels")
 
 

@@ -9,7 +9,7 @@ from ..functions import genotype as gtf
 from ..functions import sequence as seqf
 from ..operators import clean, cluster, genotypes, intervals, lookup, metrics, panel, quality, search, sets, summary
 from . import jobs
-from .bindings import FEATURES, GENOTYPES, HITS, SAMPLES, bind, oracle
+from .bindings import CALLS, FEATURES, GENOTYPES, HITS, SAMPLES, bind, oracle
 
 QUERIES, ORACLES = {}, {}
 ID = "guide, chrom, pos, strand, id"
@@ -636,6 +636,7 @@ def g1_enumerate_guides(seqs):
 
 _GUIDES = "SELECT DISTINCT substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 20) AS guide FROM bench"
 VIEWS["bench"] = "SELECT item_id, text FROM {benchmark}"
+VIEWS["calls"] = CALLS
 _SITES = f"s AS (SELECT doc_id, {_DNA} AS s FROM seqs), w AS (SELECT doc_id, unnest(range(length(s) - 22)) AS i, s FROM s WHERE length(s) >= 23), x AS (SELECT doc_id, i, substr(s, i + 1, 23) AS w FROM w), y AS (SELECT doc_id, i, '+' AS strand, w FROM x UNION ALL SELECT doc_id, i, '-', reverse(translate(w, 'ACGT', 'TGCA')) FROM x), z AS (SELECT *, substr(w, 1, 20) AS dna, substr(w, 21, 3) AS pam FROM y WHERE substr(w, 22, 2) = 'GG')"
 
 
@@ -645,6 +646,75 @@ def g2_search_ungapped(seqs, bench):
     return search.search_ungapped(_tiles(seqs), guides, 1 << 30, "NGG", 20, 4).drop("marked")
 
 
+def _snvs(seqs: DataFrame, calls: DataFrame) -> DataFrame:
+    """The calls with the reference base of their place; those beyond the sequence or equal to it go."""
+    ref = F.substring(F.col("seq"), (F.col("pos") + 1).cast("int"), F.lit(1))
+    return calls.join(_tiles(seqs).drop("start"), "chrom").withColumn("ref", ref).where("ref <> '' and ref <> alt").select("chrom", "pos", "ref", "alt", "sample_id", "gt")
+
+
+_SNVS = f"s AS MATERIALIZED (SELECT doc_id, doc_id::VARCHAR AS chrom, {_DNA} AS s FROM seqs), g AS MATERIALIZED ({_GUIDES}), c AS MATERIALIZED (SELECT chrom, pos, s[pos + 1] AS ref, alt, sample_id, gt FROM calls JOIN s USING (chrom) WHERE pos < length(s) AND s[pos + 1] <> alt)"
+_SNV_SETS = """w AS (SELECT chrom, unnest(range(greatest(0, pos - 22), pos + 1)) AS i, sample_id, pos, alt, gt FROM c),
+p AS (SELECT chrom, i, sample_id, bool_and(gt LIKE '%|%') AS sure, list(DISTINCT row(pos, alt) ORDER BY row(pos, alt)) AS c, list(row(pos, alt) ORDER BY pos, alt) FILTER (gt LIKE '1%') AS h1, list(row(pos, alt) ORDER BY pos, alt) FILTER (gt LIKE '%1') AS h2 FROM w GROUP BY ALL),
+u AS (SELECT chrom, i, sample_id, sure, h1 AS v FROM p WHERE sure AND h1 IS NOT NULL UNION SELECT chrom, i, sample_id, sure, h2 FROM p WHERE sure AND h2 IS NOT NULL UNION ALL SELECT chrom, i, sample_id, sure, c FROM p WHERE NOT sure AND len(c) > 10
+UNION ALL SELECT chrom, i, sample_id, sure, list_filter(c, lambda x, k: (m >> (k - 1)) & 1 = 1) FROM (SELECT *, unnest(range(1, (1::BIGINT << len(c)))) AS m FROM p WHERE NOT sure AND len(c) <= 10)),
+o AS MATERIALIZED (SELECT chrom, i, v, list_sort(list(DISTINCT sample_id)) AS carriers, CASE WHEN bool_and(sure) THEN 'CONFIRMED' ELSE 'PUTATIVE' END AS phase_state FROM u GROUP BY chrom, i, v)"""
+_TURN = "SELECT *, '+' AS strand, w AS h FROM {0} UNION ALL SELECT *, '-', reverse(translate(w, 'ACGT', 'TGCA')) FROM {0}"
+
+
+@query(f""", {_SNVS}, {_SNV_SETS},
+a AS (SELECT o.*, list_reduce(list_prepend(substr(s.s, i + 1, 23), list_transform(v, lambda x: (x[1] - i)::VARCHAR || ':' || x[2])), lambda acc, x: substr(acc, 1, split_part(x, ':', 1)::INTEGER) || split_part(x, ':', 2) || substr(acc, split_part(x, ':', 1)::INTEGER + 2)) AS w FROM o JOIN s USING (chrom) WHERE i + 23 <= length(s.s)),
+r AS (SELECT chrom, unnest(range(length(s) - 22)) AS i, NULL AS v, NULL AS carriers, NULL AS phase_state, s FROM s WHERE length(s) >= 23), rw AS (SELECT chrom, i, v, carriers, phase_state, substr(s, i + 1, 23) AS w FROM r),
+x AS (SELECT chrom, i, v, carriers, phase_state, w, 'alt' AS origin FROM a UNION ALL SELECT *, 'ref' FROM rw), y AS ({_TURN.format('x')}), z AS (SELECT * FROM y WHERE substr(h, 22, 2) = 'GG')
+SELECT guide, chrom, i::BIGINT AS pos, strand, substr(h, 1, 20) AS dna, substr(h, 21, 3) AS pam, hamming(guide, substr(h, 1, 20))::INTEGER AS mm, origin, coalesce(array_to_string(list_transform(v, lambda x: x[1] || x[2]), ','), '') AS variants, coalesce(array_to_string(carriers, ','), '') AS carriers, phase_state,
+CASE WHEN origin = 'alt' AND NOT (CASE WHEN strand = '+' THEN substr(s.s, i + 22, 2) = 'GG' ELSE substr(s.s, i + 1, 2) = 'CC' END) THEN substr(h, 21, 3) END AS pam_created
+FROM z JOIN s USING (chrom), g WHERE hamming(guide, substr(h, 1, 20)) <= 6""", "seqs bench calls")
+def g4_variant_search(seqs, bench, calls):
+    """Off-targets in the reference and in observed haplotypes; the SQL goes through every haplotype of every window."""
+    guides = bench.select(F.substring(_dna(F.col("text")), 1, 20).alias("spacer"))
+    out = search.variant_search(_tiles(seqs), guides, _snvs(seqs, calls), 1 << 30, "NGG", 20, 6)
+    return out.withColumns({"variants": F.array_join(F.transform("variants", lambda v: F.concat(v["pos"].cast("string"), v["alt"])), ","), "carriers": F.array_join("carriers", ",")})
+
+
+def _indels(seqs: DataFrame, calls: DataFrame) -> DataFrame:
+    """An insertion of two letters at each even place of the calls, a deletion of two at each odd one."""
+    at = lambda n: F.substring(F.col("seq"), (F.col("pos") + 1).cast("int"), F.lit(n))
+    even = F.col("pos") % 2 == 0
+    rows = calls.join(_tiles(seqs).drop("start"), "chrom").where(F.col("pos") + 3 <= F.length("seq"))
+    return rows.select("chrom", "pos", F.when(even, at(1)).otherwise(at(3)).alias("ref"), F.when(even, F.concat(at(1), "alt", F.lit("G"))).otherwise(at(1)).alias("alt"), "sample_id", "gt")
+
+
+@query(f""", s AS MATERIALIZED (SELECT doc_id, doc_id::VARCHAR AS chrom, {_DNA} AS s FROM seqs), g AS MATERIALIZED ({_GUIDES}),
+c AS (SELECT chrom, pos, CASE WHEN pos % 2 = 0 THEN substr(s, pos + 1, 1) ELSE substr(s, pos + 1, 3) END AS ref, CASE WHEN pos % 2 = 0 THEN substr(s, pos + 1, 1) || alt || 'G' ELSE substr(s, pos + 1, 1) END AS alt, sample_id, s FROM calls JOIN s USING (chrom) WHERE pos + 3 <= length(s)),
+k AS (SELECT chrom, pos, ref, alt, list_sort(list(DISTINCT sample_id)) AS carriers, any_value(substr(s, 1, pos) || alt || substr(s, pos + length(ref) + 1)) AS s FROM c GROUP BY ALL),
+x AS (SELECT * EXCLUDE (i, s), greatest(0, pos - 22) + i AS i, substr(s, greatest(0, pos - 22) + i + 1, 23) AS w FROM (SELECT *, unnest(range(22 + length(alt))) AS i FROM k)),
+y AS ({_TURN.format("x")}), z AS (SELECT * FROM y WHERE length(w) = 23 AND substr(h, 22, 2) = 'GG' AND i < pos + length(alt) AND i + 23 > pos + 1)
+SELECT guide, chrom, CASE WHEN i <= pos THEN i ELSE greatest(pos, i - length(alt) + length(ref)) END::BIGINT AS pos, strand, substr(h, 1, 20) AS dna, substr(h, 21, 3) AS pam, hamming(guide, substr(h, 1, 20))::INTEGER AS mm, pos AS indel_pos, ref, alt, array_to_string(carriers, ',') AS carriers
+FROM z, g WHERE hamming(guide, substr(h, 1, 20)) <= 6""", "seqs bench calls")
+def g11_indel_search(seqs, bench, calls):
+    """Off-targets that an indel makes, in genome coordinates with carriers; the SQL cuts windows out of whole sequences that carry it."""
+    guides = bench.select(F.substring(_dna(F.col("text")), 1, 20).alias("spacer"))
+    return search.indel_search(_tiles(seqs), guides, _indels(seqs, calls), 1 << 20, "NGG", 20, 6).withColumn("carriers", F.array_join("carriers", ","))
+
+
+_CODES = "CASE m " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(seqf.BY_MASK, 1)) + " END"
+_SET = "CASE {} WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 END"
+
+
+@query(f""", {_SNVS}, n AS (SELECT chrom, i, count(DISTINCT pos)::INTEGER AS n_variants, list_sort(list(DISTINCT sample_id)) AS carriers FROM (SELECT chrom, unnest(range(greatest(0, pos - 22), pos + 1)) AS i, sample_id, pos FROM c) GROUP BY ALL HAVING count(DISTINCT pos) > 1),
+k AS (SELECT chrom, pos, bit_or({_SET.format('alt')}) AS alts FROM c GROUP BY ALL),
+l AS (SELECT n.chrom, n.i, s.s, unnest(range(23)) AS j FROM n JOIN s USING (chrom) WHERE n.i + 23 <= length(s.s)),
+b AS (SELECT l.chrom, l.i, j, {_SET.format('s[i + j + 1]')} | coalesce(alts, 0) AS m FROM l LEFT JOIN k ON k.chrom = l.chrom AND k.pos = l.i + l.j),
+q AS MATERIALIZED (SELECT chrom, i, list(m ORDER BY j) AS m, string_agg({_CODES}, '' ORDER BY j) AS sequence FROM b GROUP BY ALL),
+y AS (SELECT *, '+' AS strand, m AS h FROM q UNION ALL SELECT *, '-', list_reverse(list_transform(m, lambda x: ((x & 1) << 3) | ((x & 2) << 1) | ((x & 4) >> 1) | ((x & 8) >> 3))) FROM q),
+z AS (SELECT * FROM y WHERE h[22] & 4 > 0 AND h[23] & 4 > 0), gm AS (SELECT guide, list_transform(string_split(guide, ''), lambda x: {_SET.format('x')}) AS gs FROM g)
+SELECT DISTINCT chrom, i::BIGINT AS start, (i + 23)::BIGINT AS "end", guide, n_variants, array_to_string(carriers, ',') AS carriers, sequence FROM z JOIN n USING (chrom, i), gm WHERE list_sum(list_transform(list_zip(h[1:20], gs), lambda x: (x[1] & x[2] = 0)::INTEGER)) <= 6""", "seqs bench calls")
+def g8_dense_report(seqs, bench, calls):
+    """Windows with more than one variant position that a guide may hit, with all alleles and carriers."""
+    guides, g = bench.select(F.substring(_dna(F.col("text")), 1, 20).alias("spacer")), _snvs(seqs, calls)
+    hits = search.search_ungapped(_tiles(seqs), guides, 1 << 30, "NGG", 20, 6, variants=g)
+    return search.dense_report(hits, g, 23, 1).withColumn("carriers", F.array_join("carriers", ","))
+
+
 @query(", w AS (SELECT DISTINCT chrom, pos // 100 * 100 AS pos FROM hits), v AS (SELECT DISTINCT chrom, pos FROM hits) SELECT w.chrom || ':' || w.pos AS window_id, count(v.pos) AS n FROM w LEFT JOIN v ON v.chrom = w.chrom AND v.pos >= w.pos AND v.pos < w.pos + 23 GROUP BY ALL")
 def g4_enrich_windows(hits):
     w = hits.select("chrom", (F.floor(F.col("pos") / 100) * 100).alias("pos")).distinct().withColumn("window_id", F.concat_ws(":", "chrom", "pos"))
