@@ -107,19 +107,64 @@ def merge_panel_clusters(df: DataFrame, keys: list[str], a: str = "A", b: str =
     return r.withColumn("label", label).withColumn("delta", F.col("score") - F.col("_base")).drop("_rank", "_a", "_b", "_ar", "_br", "_ref", "_base")
 
 
-def severity_panel(df: DataFrame, cap: int = 100, floor_total: int = 2, floor_score: float = 0.5, crista: str | None = None, ties=TIES) -> DataFrame:
+#: Pieces into which the values of a column are cut when what stands before each is summed: CUTS * CUTS at most.
+CUTS = 32
+#: Rows for each piece below which fewer pieces are made.
+PIECE = 1 << 14
+
+
+def bounds(df: DataFrame, columns: list[str], piece: int | None = None) -> dict[str, list]:
+    """For each column the values that cut ``df`` into pieces of about ``piece`` rows; at most CUTS * CUTS - 1. They come to the driver.
+
+    They decide only how the work is dealt; sums over pieces are exact wherever these lie.
+    """
+    steps = [i / (CUTS * CUTS) for i in range(1, CUTS * CUTS)]
+    named = {f"_p{i}": F.percentile_approx(c, steps) for i, c in enumerate(columns)}
+    row = df.agg(F.count("*").alias("_n"), *[x.alias(k) for k, x in named.items()]).first()
+    n = min(CUTS * CUTS, -(-row["_n"] // (piece or PIECE)))
+    return {c: sorted({row[f"_p{i}"][j * CUTS * CUTS // n - 1] for j in range(1, n)} if n > 1 and row[f"_p{i}"] else ()) for i, c in enumerate(columns)}
+
+
+def _piece(value: Column, cuts: list) -> Column:
+    """How many of the ``cuts`` are at most ``value``; -1 for null. Every CUTS-th cut is looked at first."""
+    reached = lambda array: F.size(F.filter(array, lambda x: x <= value))
+    groups = [cuts[i : i + CUTS] for i in range(0, len(cuts), CUTS)]
+    inside = F.array(*[F.array(*map(F.lit, g)) for g in groups])
+    group = F.greatest(reached(F.array(*[F.lit(g[0]) for g in groups])) - 1, F.lit(0))
+    return F.when(value.isNull(), -1).otherwise(group * CUTS + reached(F.get(inside, group)))
+
+
+def before(counts: DataFrame, keys: list[str], value: str, descending: bool, cuts: list) -> DataFrame:
+    """``counts`` (keys, value, _n) with ``_before``: the sum of ``_n`` over the keys' rows with an earlier value; null is the lowest.
+
+    A window over a whole key would be one task where values are nearly unique. Sums run inside pieces of the values, and
+    over the pieces, of which a key has at most CUTS * CUTS + 1.
+    """
+    turn = lambda c: F.col(c).desc() if descending else F.col(c).asc()
+    upto = lambda parts, c, n: F.coalesce(F.sum(n).over(Window.partitionBy(*parts).orderBy(turn(c)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if not cuts:
+        return counts.withColumn("_before", upto(keys, value, "_n"))
+    c = counts.withColumn("_piece", _piece(F.col(value), cuts))
+    names = [*keys, "_piece"]
+    pieces = c.groupBy(*names).agg(F.sum("_n").alias("_m")).withColumn("_rest", upto(keys, "_piece", "_m")).select(*[F.col(x).alias(f"_q{i}") for i, x in enumerate(names)], "_rest")
+    same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"_q{i}")) for i, x in enumerate(names)])
+    own = c.withColumn("_own", upto(names, value, "_n"))
+    return own.join(pieces, same).withColumn("_before", F.col("_own") + F.col("_rest")).select(*counts.columns, "_before")
+
+
+def severity_panel(df: DataFrame, cap: int = 100, floor_total: int = 2, floor_score: float = 0.5, crista: str | None = None, ties=TIES, piece: int | None = None) -> DataFrame:
     """The validation panel: all perfect matches, all hits with few edits or a high score, then the most severe up to ``cap``.
 
     Severity is the least of the competition ranks by score (desc), total (asc) and, if given, the second score (desc).
-    Ranks come from the counts of distinct values, which are few, rather than from a window over all rows.
+    Ranks come from the counts of distinct values, summed in pieces, rather than from a window over all rows.
     """
     off = df.where("total != 0").withColumn("_s", F.coalesce("score", F.lit(-1.0)))
     metrics = {"_s": False, "total": True} | ({crista: False} if crista else {})
+    cuts = bounds(off, list(metrics), piece)
 
     def ranks(c: str, ascending: bool) -> DataFrame:
         n = off.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        before = Window.orderBy(F.col(c).asc() if ascending else F.col(c).desc()).rowsBetween(Window.unboundedPreceding, -1)
-        return n.select(c, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias(f"_rank_{c}"))
+        return before(n, [], c, not ascending, cuts[c]).select(c, (F.col("_before") + 1).alias(f"_rank_{c}"))
 
     for c, ascending in metrics.items():
         off = off.join(ranks(c, ascending), c, "left")
@@ -135,36 +180,36 @@ def severity_panel(df: DataFrame, cap: int = 100, floor_total: int = 2, floor_sc
     return perfect.select(*df.columns, "severity", "hard").unionByName(off.where("hard").select(*df.columns, "severity", "hard")).unionByName(numbered.select(*df.columns, "severity", "hard"))
 
 
-def ranked(df: DataFrame, keys: list[str], by: list[tuple[str, bool]], name: str, ties=TIES, width: int = 1 << 16) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], by: list[tuple[str, bool]], name: str, ties=TIES, width: int = 1 << 16, piece: int | None = None) -> DataFrame:
     """Adds the row's place, from 1, within its keys: by the columns ``by`` (name, descending; null last when descending, first else), then ``ties``.
 
     A window over a whole key would be one task. Rows are numbered within equal values of ``by`` and bins of ``width`` of
-    the first of ``ties``, a number; before each bin stands the count of rows in the ones before, from the counts of the
-    values and of the bins.
+    the first of ``ties``, a number; what stands before each value of a column of ``by``, among rows equal in those
+    before it, is summed in pieces of the values, and before each bin from the counts of the bins.
     """
     columns, first = [c for c, _ in by], ties[0]
-    order = [F.col(c).desc_nulls_last() if down else F.col(c).asc() for c, down in by]
+    cuts = bounds(df, columns, piece)
     rows = df.withColumn("_bin", F.floor(F.col(first) / F.lit(width)))
-    before = lambda keys_, order_: F.coalesce(F.sum("_n").over(Window.partitionBy(*keys_).orderBy(*order_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = rows.groupBy(*keys, *columns, "_bin").agg(F.count("*").alias("_n"))
-    values = bins.groupBy(*keys, *columns).agg(F.sum("_n").alias("_n"))
     names = [*keys, *columns, "_bin"]
-    values = values.withColumn("_v", before(keys, order)).select(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(names[:-1])], "_v")
-    bins = bins.withColumn("_b", before([*keys, *columns], ["_bin"])).select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(names)], "_b")
-    same = lambda p, cs: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{p}{i}")) for i, c in enumerate(cs)])
-    offset = bins.join(values, reduce(lambda x, y: x & y, [F.col(f"_b{i}").eqNullSafe(F.col(f"_v{i}")) for i in range(len(names) - 1)]))
-    offset = offset.select(*[f"_b{i}" for i in range(len(names))], (F.col("_v") + F.col("_b")).alias("_before"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, *columns).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = bins.withColumn("_sum", inside).drop("_n")
+    for i, (c, down) in enumerate(by):
+        own = [*keys, *columns[: i + 1]]
+        level = before(bins.groupBy(*own).agg(F.sum("_n").alias("_n")), own[:-1], c, down, cuts[c]).select(*[F.col(x).alias(f"_l{k}") for k, x in enumerate(own)], F.col("_before").alias("_level"))
+        same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"_l{k}")) for k, x in enumerate(own)])
+        offset = offset.join(level, same).withColumn("_sum", F.col("_sum") + F.col("_level")).select(*names, "_sum")
+    offset = offset.select(*[F.col(x).alias(f"_b{i}") for i, x in enumerate(names)], F.col("_sum").alias("_before"))
+    same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"_b{i}")) for i, x in enumerate(names)])
     own = F.row_number().over(Window.partitionBy(*names).orderBy(*ties))
-    return rows.withColumn("_own", own).join(offset, same("_b", names)).withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).select(*[c for c in df.columns if c != name], name)
+    return rows.withColumn("_own", own).join(offset, same).withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).select(*[c for c in df.columns if c != name], name)
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, name: str, descending: bool = False) -> DataFrame:
-    """Adds the average rank, from 1, of ``value`` within the keys; equal values share it. From counts of distinct values."""
-    n = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def value_ranks(df: DataFrame, keys: list[str], value: str, name: str, descending: bool = False, piece: int | None = None) -> DataFrame:
+    """Adds the average rank, from 1, of ``value`` within the keys; equal values share it. From counts of distinct values, summed in pieces."""
+    n = before(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, value, descending, bounds(df, [value], piece)[value])
     names = [*keys, value]
-    n = n.withColumn(name, before + (F.col("_n") + 1) / F.lit(2.0)).select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(names)], name)
+    n = n.withColumn(name, F.col("_before") + (F.col("_n") + 1) / F.lit(2.0)).select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(names)], name)
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(names)])
     return df.drop(name).join(n, same).select(*[c for c in df.columns if c != name], name)
 

@@ -440,3 +440,30 @@ def test_reconcile_counts(spark):
     m = jobs.reconcile(rows(1, 50), rows(2, 90), 3)
     got = {r["origin"]: r["n"] for r in jobs.reconcile_summary(m, {"a": rows(7)}).collect()}
     assert got == {"both": 1, "a_only": 1, "b_only": 1, "a_unmapped": 1}
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 7])
+def test_ranks_of_unique_values_are_summed_in_pieces(spark, piece):
+    """Nearly every value is unique, one guide has most rows: places, average ranks and severities equal a plain sort."""
+    r = random.Random(8)
+    data = [hit(r.randrange(4000), r.choice([None, 0.25, *[r.random()] * 8]), id_=str(i), total=r.randrange(4), guide="G" if i % 4 else "H") for i in range(600)]
+    df = spark.createDataFrame(data, HIT)
+    assert (len(cluster.bounds(df, ["score"], piece)["score"]) > 60) == (piece == 7)
+    for guide in "GH":
+        own = sorted((x for x in data if x[0] == guide), key=lambda x: (x[7] is None, -(x[7] or 0), x[6], x[2], x[3], x[10]))
+        got = cluster.ranked(df, ["guide"], [("score", True), ("total", False)], "place", width=512, piece=piece).where(F.col("guide") == guide).collect()
+        assert {x["id"]: x["place"] for x in got} == {x[10]: i for i, x in enumerate(own, 1)}
+        ranks = {x["id"]: x["rank"] for x in cluster.value_ranks(df, ["guide"], "score", "rank", piece=piece).where(F.col("guide") == guide).collect()}
+        low = lambda x: -1.0 if x is None else x
+        assert ranks == {x[10]: sum(low(y[7]) < low(x[7]) for y in own) + (sum(y[7] == x[7] for y in own) + 1) / 2 for x in own}
+    off = [x for x in data if x[6] != 0]
+    severity = {x[10]: min(1 + sum((y[7] or -1) > (x[7] or -1) for y in off), 1 + sum(y[6] < x[6] for y in off)) for x in off}
+    panel_ = cluster.severity_panel(df, 10_000, piece=piece).where("total != 0").collect()
+    assert {x["id"]: x["severity"] for x in panel_} == severity
+
+
+def test_no_window_spans_a_key_of_unique_values(spark):
+    df = spark.createDataFrame([hit(i, i / 1000, id_=str(i)) for i in range(200)], HIT)
+    plan = cluster.value_ranks(df, ["guide"], "score", "rank", piece=10)._jdf.queryExecution().optimizedPlan().toString()
+    sums = [x for x in plan.splitlines() if "Window" in x]
+    assert len(sums) == 2 and all("_piece" in x for x in sums)
