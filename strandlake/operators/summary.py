@@ -114,16 +114,26 @@ def origin_by_population(carried: DataFrame) -> DataFrame:
     return by_origin.unionByName(by_group.select(F.lit(group).alias("kind"), "name", "n"))
 
 
+def counted_labels(labels: Column) -> Column:
+    """The categories that a hit's distinct labels count for, once for each label: personal ones none, CTCF-bound ones ``CTCF-only`` and what stands before the semicolon, gene ones themselves without their suffix, all others none."""
+    none = F.array().cast("array<string>")
+    own = lambda x: F.when(x.contains("_personal"), none).when(x.contains("CTCF-bound"), F.array(F.lit("CTCF-only"), F.substring_index(x, ";", 1))).when(x.contains("_gencode"), F.array(F.replace(x, F.lit("_gencode"), F.lit("")))).otherwise(none)
+    return F.flatten(F.transform(F.array_distinct(F.coalesce(labels, none)), own))
+
+
 def cumulative_annotation_counts(annotated: DataFrame, most: int = 14) -> DataFrame:
-    """Per guide, threshold 0..most and label (``all`` for any): hits with at most so many edits. ``annotated`` has guide, total, id, labels."""
-    rows = annotated.select("guide", "total", "id", F.explode(F.concat(F.array(F.lit("all")), F.array_distinct("labels"))).alias("label"))
-    rows = rows.select("*", F.explode(F.when(F.col("label").contains("CTCF-bound"), F.array(F.col("label"), F.lit("CTCF-only"))).otherwise(F.array("label"))).alias("own"))
-    n = rows.select("guide", "id", "total", "own").distinct().groupBy("guide", "own", "total").agg(F.count("*").alias("n"))
+    """Per guide, category and threshold 0..most: labels of hits with at most so many edits that count for it; ``General`` counts the hits, with labels or without.
+
+    ``annotated`` has guide, total and labels, one row for each hit. Each guide has a row for every category.
+    """
+    rows = annotated.select("guide", "total", F.explode(F.concat(F.array(F.lit("General")), counted_labels(F.col("labels")))).alias("label"))
+    n = rows.groupBy("guide", "label", "total").agg(F.count("*").alias("n"))
+    # As many rows as there are guides, categories and thresholds.
     t = n.sparkSession.range(most + 1).select(F.col("id").cast("int").alias("threshold"))
-    grid = n.select("guide", "own").distinct().join(F.broadcast(t))
-    upto = Window.partitionBy("guide", "own").orderBy("threshold")
-    full = grid.join(n.withColumnRenamed("total", "threshold"), ["guide", "own", "threshold"], "left")
-    return full.select("guide", F.col("own").alias("label"), "threshold", F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("n"))
+    grid = n.select("guide").distinct().join(n.select("label").distinct()).join(t)
+    upto = Window.partitionBy("guide", "label").orderBy("threshold")
+    full = grid.join(n.withColumnRenamed("total", "threshold"), ["guide", "label", "threshold"], "left")
+    return full.select("guide", "label", "threshold", F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("n"))
 
 
 def motif_profile(df: DataFrame, guide: str = "guide_seq", dna: str = "dna", most: int = 14) -> DataFrame:

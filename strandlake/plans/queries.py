@@ -254,9 +254,14 @@ def a12_origin_by_database(hits):
     return summary.origin_by_population(hits.select("id", "origin", "total", db.alias("database")))
 
 
-@query(f", {LABELS.format(a='hits')}, l AS (SELECT guide, total, hits.id, unnest(list_concat(['all'], labels)) AS label FROM hits JOIN lab USING (id)), n AS (SELECT guide, label, total, count(DISTINCT id) AS n FROM l GROUP BY ALL), t AS (SELECT unnest(range(15))::INTEGER AS threshold), g AS (SELECT DISTINCT guide, label FROM n) SELECT g.guide, g.label, t.threshold, coalesce(sum(n.n), 0)::BIGINT AS n FROM g CROSS JOIN t LEFT JOIN n ON n.guide = g.guide AND n.label = g.label AND n.total <= t.threshold GROUP BY ALL", "hits features")
+@query(""", f AS (SELECT chrom, start, "end", label || CASE ("end" - start) // 4 % 4 WHEN 0 THEN ';CTCF-bound' WHEN 1 THEN '_gencode' WHEN 2 THEN '_personal' ELSE '' END AS label FROM features),
+d AS (SELECT DISTINCT guide, total, h.id, label FROM hits h JOIN f ON h.chrom = f.chrom AND h.pos < f."end" AND f.start < h.pos + 23),
+l AS (SELECT guide, total, 'General' AS label FROM hits UNION ALL SELECT guide, total, unnest(['CTCF-only', split_part(label, ';', 1)]) FROM d WHERE label LIKE '%CTCF-bound%' UNION ALL SELECT guide, total, replace(label, '_gencode', '') FROM d WHERE label LIKE '%!_gencode%' ESCAPE '!'),
+n AS (SELECT guide, label, total, count(*) AS n FROM l GROUP BY ALL), t AS (SELECT unnest(range(15))::INTEGER AS threshold)
+SELECT g.guide, k.label, t.threshold, coalesce(sum(n.n), 0)::BIGINT AS n FROM (SELECT DISTINCT guide FROM n) g CROSS JOIN (SELECT DISTINCT label FROM n) k CROSS JOIN t LEFT JOIN n ON n.guide = g.guide AND n.label = k.label AND n.total <= t.threshold GROUP BY ALL""", "hits features")
 def a13_cumulative_annotation_counts(hits, features):
-    return summary.cumulative_annotation_counts(intervals.annotate_overlaps(hits, features, 23).where("labels is not null"))
+    kind = F.element_at(F.array(*map(F.lit, (";CTCF-bound", "_gencode", "_personal", ""))), (F.floor((F.col("end") - F.col("start")) / 4) % 4 + 1).cast("int"))
+    return summary.cumulative_annotation_counts(intervals.annotate_overlaps(hits, features.withColumn("label", F.concat("label", kind)), 23))
 
 
 @query(f", {SITES}, s AS (SELECT unnest(samples) AS sample, len(samples) AS k FROM sites) SELECT sample, count(*) AS personal, count(*) FILTER (k = 1) AS private, round(count(*) FILTER (k = 1) / count(*), 6) AS ratio FROM s GROUP BY sample")
@@ -858,13 +863,19 @@ def f11_variant_in_spacer(hits):
 _WEIGHTS = "SELECT substr('ACGU', (k % 4 + 1)::INTEGER, 1) AS rna, substr('ACGT', (k // 4 % 4 + 1)::INTEGER, 1) AS dna, k // 16 + 1 AS pos, (k % 7 + 1) / 8.0 AS w FROM range(320) t(k)"
 
 
-@query(_PART + f", wt AS ({_WEIGHTS}), t AS (SELECT doc_id, part, pam2, unnest(range(1, 21)) AS pos, a, b FROM p), e AS (SELECT doc_id, part, pam2, CASE WHEN substr(a, t.pos, 1) = substr(b, t.pos, 1) THEN 1.0 ELSE coalesce(w, 1.0) END AS w FROM t LEFT JOIN wt ON wt.pos = t.pos AND wt.rna = replace(substr(a, t.pos, 1), 'T', 'U') AND wt.dna = translate(substr(b, t.pos, 1), 'ACGT', 'TGCA')) SELECT doc_id, part, round(product(w) * CASE pam2 WHEN 'GG' THEN 1.0 WHEN 'AG' THEN 0.25 ELSE 0 END, 6) AS score FROM e GROUP BY doc_id, part, pam2", "seqs")
+@query(_PART + f""", wt AS ({_WEIGHTS}), c AS (SELECT doc_id, part, pam2, CASE WHEN part % 2 = 1 THEN substr(a, 2, 4) || '-' || substr(a, 6, 15) ELSE a END AS a, b FROM p), t AS (SELECT doc_id, part, pam2, unnest(range(1, 21)) AS pos, a, b FROM c),
+e AS (SELECT doc_id, part, pam2, CASE WHEN substr(a, t.pos, 1) = substr(b, t.pos, 1) THEN 1.0 ELSE coalesce(w, 1.0) END AS w FROM t LEFT JOIN wt ON wt.pos = t.pos AND wt.rna = replace(substr(a, t.pos, 1), 'T', 'U') AND wt.dna = translate(substr(b, t.pos, 1), 'ACGT', 'TGCA'))
+SELECT doc_id, part, round(product(w) * CASE pam2 WHEN 'GG' THEN 1.0 WHEN 'AG' THEN 0.25 ELSE 0 END, 6) AS score FROM e GROUP BY doc_id, part, pam2""", "seqs")
 def f13_cfd_score(seqs):
     k = F.col("id")
     weights = seqs.sparkSession.range(320).select(F.substring(F.lit("ACGU"), (k % 4 + 1).cast("int"), F.lit(1)).alias("rna"), F.substring(F.lit("ACGT"), (F.floor(k / 4) % 4 + 1).cast("int"), F.lit(1)).alias("dna"), (F.floor(k / 16) + 1).cast("int").alias("pos"), ((k % 7 + 1) / F.lit(8.0)).alias("w"))
     pams = seqs.sparkSession.range(2).select(F.when(k == 0, "GG").otherwise("AG").alias("pam"), F.when(k == 0, 1.0).otherwise(0.25).alias("w"))
-    rows = _parts(seqs).select(F.struct("doc_id", "part").alias("id"), F.col("a").alias("crrna"), F.col("b").alias("dna"), "pam2")
-    return search.cfd_score(rows, weights, pams, 6).select("id.doc_id", "id.part", "score")
+    # Every other alignment has a DNA bulge: a guide with a gap, and one letter more of the sequence.
+    bulge = F.col("part") % 2
+    crrna = F.when(bulge == 1, F.concat(F.substring("a", 1, 5), F.lit("-"), F.substring("a", 6, 15))).otherwise(F.col("a"))
+    dna = F.when(bulge == 1, F.substring("s", 20, 21)).otherwise(F.col("b"))
+    rows = _parts(seqs).select("doc_id", "part", crrna.alias("crrna"), dna.alias("dna"), "pam2", F.when(bulge == 1, "DNA").otherwise("X").alias("bulge_type"), bulge.alias("bulge"))
+    return search.cfd_score(rows, weights, pams, 6).select("doc_id", "part", "score")
 
 
 def _count(condition: str, upto: int = 17) -> str:

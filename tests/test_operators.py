@@ -391,6 +391,23 @@ def test_cfd_score(spark):
     assert got == {"same": 1.0, "one": 0.5, "pam": 0.0, "short": None, "bad": 0.0}
 
 
+def test_cfd_score_of_bulges_and_pam_side(spark):
+    w = spark.createDataFrame([("A", "G", 1, 0.5), ("-", "G", 4, 0.25), ("A", "-", 2, 0.125)], "rna string, dna string, pos int, w double")
+    p = spark.createDataFrame([("GG", 1.0)], "pam string, w double")
+    g = "A" * 20
+    rows = [("dna", "AAAA-" + g[4:], "C" + "CAAC" + g[4:], "GG", "DNA", 1), ("rna", g, "C-" + g[2:], "GG", "RNA", 1), ("plain", g, "C" + g[1:], "GG", "X", 0)]
+    table = spark.createDataFrame(rows, "id string, crrna string, dna string, pam2 string, bulge_type string, bulge int")
+    # Of the DNA bulge the first letters go: the mismatch then stands at place 1, the gap at place 4.
+    assert {r["id"]: r["score"] for r in search.cfd_score(table, w, p, 5).collect()} == {"dna": 0.125, "rna": 0.0625, "plain": 0.5}
+    assert {r["score"] for r in search.cfd_score(table, w, p, five_prime=True).collect()} == {None}
+
+
+def test_labels_that_count(spark):
+    rows = [("G", 1, ["dELS;CTCF-bound", "pELS;CTCF-bound", "exon_gencode", "mine_personal", "other"]), ("G", 0, None), ("H", 3, ["mine_personal", "exon_gencode", "exon_gencode"])]
+    got = summary.cumulative_annotation_counts(spark.createDataFrame(rows, "guide string, total int, labels array<string>"), 3).where("n > 0").collect()
+    assert sorted((r["guide"], r["label"], r["threshold"], r["n"]) for r in got) == sorted([("G", "General", 0, 1), *[("G", "General", t, 2) for t in (1, 2, 3)], *[("G", c, t, n) for c, n in (("CTCF-only", 2), ("dELS", 1), ("pELS", 1), ("exon", 1)) for t in (1, 2, 3)], ("H", "General", 3, 1), ("H", "exon", 3, 1)])
+
+
 def test_extract_region(spark):
     tiles = genome(spark, SEQ, 20, 10)
     regions = spark.createDataFrame([(1, "c", 15, 47), (2, "c", 0, 3)], "region_id long, chrom string, start long, end long")
