@@ -180,10 +180,10 @@ def combine_by_shared_samples(singles: DataFrame, layers: int = 3, peel: bool =
     out = out.select("window_id", "variants", F.array_sort("carriers").alias("carriers"))
     if not peel:
         return out
-    small = out.select("window_id", "variants", "carriers", F.explode("carriers").alias("s"))
-    big = out.select("window_id", F.col("variants").alias("v2"), F.explode("carriers").alias("s"))
-    held = small.join(big, ["window_id", "s"]).where((F.size("v2") > F.size("variants")) & (F.size(F.array_except("variants", "v2")) == 0)).select("window_id", "variants", "s").distinct()
-    left = small.select("window_id", "variants", "s").join(held, ["window_id", "variants", "s"], "left_anti")
+    # A sample's sets are those of its variants at rising places, up to ``layers``: one with fewer than it could have is in a larger one.
+    places = singles.select("window_id", "pos", F.explode("carriers").alias("s")).groupBy("window_id", "s").agg(F.countDistinct("pos").alias("_k"))
+    each = out.select("window_id", "variants", F.explode("carriers").alias("s")).join(places, ["window_id", "s"])
+    left = each.where(F.size("variants") == F.least(F.lit(layers), F.col("_k")))
     return left.groupBy("window_id", "variants").agg(F.array_sort(F.collect_set("s")).alias("carriers"))
 
 

@@ -246,14 +246,17 @@ def accumulation_curve(carried: DataFrame, permutations: int = 100, seed: int =
     """Per population and number of individuals: the mean, and the half-width of its 95% interval, of distinct hits over shuffles.
 
     A shuffle orders a population's samples by a hash of (seed, shuffle, sample). A hit counts from the first sample
-    that carries it, so each shuffle costs one minimum for each hit and a running sum over samples.
+    that carries it. A sample's places in all shuffles are one array, and a hit's are the least of its carriers' place by
+    place, so that a hit is one row whatever the number of shuffles and carriers.
     """
     rows = carried.select("population", "sample", "id").distinct()
     shuffles = carried.sparkSession.range(permutations).select(F.col("id").cast("int").alias("shuffle"))
     people = rows.select("population", "sample").distinct().join(F.broadcast(shuffles))
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col("shuffle"), F.col("sample")))
     place = people.withColumn("place", F.row_number().over(Window.partitionBy("population", "shuffle").orderBy(h, "sample")))
-    first = rows.join(place, ["population", "sample"]).groupBy("population", "shuffle", "id").agg(F.min("place").alias("place"))
+    lists = place.groupBy("population", "sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("shuffle", "place"))), lambda x: x["place"]).alias("places"))
+    least = rows.join(lists, ["population", "sample"]).groupBy("population", "id").agg(*[F.min(F.get("places", F.lit(i))).alias(f"_p{i}") for i in range(permutations)])
+    first = least.select("population", F.posexplode(F.array(*[f"_p{i}" for i in range(permutations)])).alias("shuffle", "place"))
     new = first.groupBy("population", "shuffle", "place").agg(F.count("*").alias("new"))
     upto = Window.partitionBy("population", "shuffle").orderBy("place")
     curve = place.select("population", "shuffle", "place").join(new, ["population", "shuffle", "place"], "left").withColumn("seen", F.sum(F.coalesce("new", F.lit(0))).over(upto))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as gtf
 from ..functions import sequence as seqf
-from ..operators import clean, cluster, genotypes, intervals, lookup, metrics, panel, quality, search, sets, summary
+from ..operators import clean, cluster, genotypes, intervals, lookup, metrics, panel, quality, search, sets, shared, summary
+from ..sources import files
 from . import jobs
 from .bindings import CALLS, FEATURES, GENOTYPES, HITS, SAMPLES, bind, oracle
 
@@ -145,6 +146,13 @@ def t3_page(hits):
     return lookup.page(hits, "NO", "total", "score", lo=1, number=2, size=50).select("id", "total", "score")
 
 
+@query(" SELECT id, pos FROM hits WHERE guide = 'NO' AND chrom = 'chr5' AND pos BETWEEN 500 AND 2000")
+def s9_stored_by_position(hits):
+    """The store is written, and a range of positions read out of it."""
+    stored = files.write_results(hits, shared.scratch(hits.sparkSession, "results"))
+    return lookup.by_position(stored, "NO", "chr5", 500, 2000).select("id", "pos")
+
+
 @query(" SELECT id, pos FROM hits WHERE guide = 'AF' AND chrom = 'chr3' AND pos BETWEEN 100 AND 3000")
 def t4_by_position(hits):
     return lookup.by_position(hits, "AF", "chr3", 100, 3000).select("id", "pos")
@@ -1037,6 +1045,19 @@ def g6_combine_by_shared_samples(g):
     return out.select("window_id", F.array_join(F.transform("variants", lambda v: F.concat(v["pos"].cast("string"), v["alt"])), ",").alias("variants"), F.size("carriers").cast("bigint").alias("n"))
 
 
+@query(""", w AS (SELECT pos // 10 AS window_id, pos, alt, list_sort(list(DISTINCT sample_id)) AS c FROM genotypes GROUP BY ALL), a AS (SELECT window_id, [row(pos, alt)] AS v, pos AS last, c FROM w),
+b AS (SELECT a.window_id, list_append(a.v, row(w.pos, w.alt)) AS v, w.pos AS last, list_intersect(a.c, w.c) AS c FROM a JOIN w ON w.window_id = a.window_id AND w.pos > a.last WHERE len(list_intersect(a.c, w.c)) > 0),
+d AS (SELECT b.window_id, list_append(b.v, row(w.pos, w.alt)) AS v, w.pos AS last, list_intersect(b.c, w.c) AS c FROM b JOIN w ON w.window_id = b.window_id AND w.pos > b.last WHERE len(list_intersect(b.c, w.c)) > 0),
+s AS (SELECT window_id, v, unnest(c) AS s FROM (SELECT window_id, v, c FROM a UNION ALL SELECT window_id, v, c FROM b UNION ALL SELECT window_id, v, c FROM d)),
+k AS (SELECT * FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.window_id = x.window_id AND y.s = x.s AND len(y.v) > len(x.v) AND list_has_all(y.v, x.v)))
+SELECT window_id, array_to_string(list_transform(v, lambda x: x[1] || x[2]), ',') AS variants, count(*) AS n, min(s) AS first FROM k GROUP BY window_id, v""", "genotypes")
+def g6_peeled_sets(g):
+    """Three layers, each set without the samples of its supersets."""
+    singles = g.groupBy(F.floor(F.col("pos") / 10).alias("window_id"), "pos", "alt").agg(F.collect_set("sample_id").alias("carriers"))
+    out = genotypes.combine_by_shared_samples(singles, 3)
+    return out.select("window_id", F.array_join(F.transform("variants", lambda v: F.concat(v["pos"].cast("string"), v["alt"])), ",").alias("variants"), F.size("carriers").cast("bigint").alias("n"), F.array_min("carriers").alias("first"))
+
+
 @query(f", s AS (SELECT doc_id, {_DNA} AS s FROM seqs) SELECT doc_id, substr(s, (length(s) // 3 + 1)::BIGINT, (length(s) // 3)::BIGINT) AS sequence FROM s WHERE length(s) >= 3", "seqs")
 def s2_extract_region(seqs):
     """The middle third of every sequence, out of tiles of 500 letters."""

@@ -142,9 +142,15 @@ def read_results(spark: SparkSession, path: str, schema: str, names: dict[str, s
     return raw.select(*[F.when(~F.col(f"`{f.name}`").isin(*MISSING), F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name) for f in target.fields])
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    """Parquet by guide and chromosome, sorted by position: partition pruning and row-group statistics serve the look-ups."""
-    df.repartition("guide", "chrom").sortWithinPartitions("guide", "chrom", "pos").write.mode("overwrite").partitionBy("guide", "chrom").parquet(path)
+def write_results(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """Parquet by guide and chromosome, sorted by position, in files of bounded size; gives it back as read from there.
+
+    Rows are dealt by ranges of (guide, chromosome, position), so that a guide or chromosome with most rows is written by
+    many tasks. Partition pruning and the ranges of positions of files and row groups serve the look-ups.
+    """
+    dealt = df.repartitionByRange("guide", "chrom", "pos").sortWithinPartitions("guide", "chrom", "pos")
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("guide", "chrom").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def curated(df: DataFrame) -> DataFrame:

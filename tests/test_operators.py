@@ -484,3 +484,13 @@ def test_no_window_spans_a_key_of_unique_values(spark):
     plan = cluster.value_ranks(df, ["guide"], "score", "rank", piece=10)._jdf.queryExecution().optimizedPlan().toString()
     sums = [x for x in plan.splitlines() if "Window" in x]
     assert len(sums) == 2 and all("_piece" in x for x in sums)
+
+
+@pytest.mark.parametrize("layers", [1, 2, 3])
+def test_peeled_sets_equal_the_definition(spark, layers):
+    r = random.Random(layers)
+    singles = [(w, p, a, sorted(r.sample("abcde", r.randint(1, 4)))) for w in (1, 2) for p in range(4) for a in r.sample("ACGT", r.randint(0, 2))]
+    schema = "window_id int, pos long, alt string, carriers array<string>"
+    whole, peeled = ({(x["window_id"], tuple(tuple(v) for v in x["variants"])): set(x["carriers"]) for x in genotypes.combine_by_shared_samples(spark.createDataFrame(singles, schema), layers, peel).collect()} for peel in (False, True))
+    want = {k: c - {s for (w, v), d in whole.items() if w == k[0] and set(v) > set(k[1]) for s in d} for k, c in whole.items()}
+    assert peeled == {k: c for k, c in want.items() if c}

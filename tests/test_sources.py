@@ -89,3 +89,19 @@ def test_alias_and_lifted(spark, tmp_path):
     assert files.read_chrom_alias(spark, write(tmp_path, "a.txt", "# x\n1\tCM1\tchr1\n")).first()["ucsc"] == "chr1"
     assert files.read_lifted_bed(spark, write(tmp_path, "l.bed", "chr1\t4\t5\tid1\n")).first()["ref_start"] == 5
     assert files.read_unlifted(spark, write(tmp_path, "u.bed", "#Deleted\nchr1\t4\t5\tid2\n")).first()["off_target_id"] == "id2"
+
+
+def test_store_is_pruned(spark, tmp_path):
+    """A hot chromosome is dealt over several files of bounded size; a look-up reads its partition and pushes the positions down."""
+    from strandlake.operators import lookup
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 8 == 0, "H").otherwise("G").alias("guide"), F.when(F.col("id") % 10 < 7, "1").otherwise("2").alias("chrom"), (F.col("id") * 7 % 4000).alias("pos"), F.col("id").cast("string").alias("id"))
+    stored = files.write_results(rows, str(tmp_path / "store"), 500)
+    assert stored.dtypes == rows.dtypes and stored.count() == 4000  # a chromosome named 1 stays text
+    hot = spark.read.parquet(str(tmp_path / "store" / "guide=G" / "chrom=1"))
+    sizes = hot.groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).orderBy("lo").collect()
+    assert len(sizes) >= 5 and all(r["n"] <= 500 for r in sizes) and all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))
+    found = lookup.by_position(stored, "G", "1", 100, 200)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(guide" in plan and "GreaterThanOrEqual(pos,100)" in plan and "LessThanOrEqual(pos,200)" in plan
+    assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in lookup.by_position(rows, "G", "1", 100, 200).collect())
