@@ -22,7 +22,11 @@ def _issues(df: DataFrame, tests: dict[str, tuple[str, Column]], key: Column) ->
 
 
 def check_variants(variants: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Issues of a variant table (chrom, pos, ref, alts, filter, af): check, severity, n, example."""
+    """Issues of a variant table (chrom, pos, ref, alts, filter, af, and optionally info): check, severity, n, example.
+
+    With ``info``, whose keys stand in the order of the record, a contig is reported whose records have the key ``AF`` at
+    several places: readers that keep the place of the first record then miss the others.
+    """
     v = variants.join(F.broadcast(lengths.select(F.col("chrom"), F.col("length").alias("_len"))), "chrom", "left")
     key = F.concat_ws("_", "chrom", "pos", "ref", F.array_join("alts", ","))
     symbolic = F.exists("alts", lambda a: a.startswith("<"))
@@ -45,7 +49,12 @@ def check_variants(variants: DataFrame, lengths: DataFrame) -> DataFrame:
     repeats = v.groupBy("chrom", "pos").agg(F.count("*").alias("k")).where("k > 1")
     dup = repeats.agg(F.count("*").alias("n"), F.min(F.concat_ws("_", "chrom", "pos")).alias("example")).where("n > 0").select(F.lit("duplicate_position").alias("check"), F.lit("warning").alias("severity"), "n", "example")
     passed = v.agg(F.count_if(F.array_contains("filter", "PASS")).alias("p"), F.count("*").alias("k")).where(f"k > 0 and p < {MIN_PASS} * k").select(F.lit("low_pass_ratio").alias("check"), F.lit("warning").alias("severity"), F.col("p").alias("n"), F.lit(None).cast("string").alias("example"))
-    return found.unionByName(dup).unionByName(passed)
+    out = found.unionByName(dup).unionByName(passed)
+    if "info" not in variants.columns:
+        return out
+    place = F.array_position(F.map_keys("info"), "AF")
+    places = v.where(place > 0).groupBy("chrom").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b")
+    return out.unionByName(places.agg(F.count("*").alias("n"), F.min("chrom").alias("example")).where("n > 0").select(F.lit("af_place_varies").alias("check"), F.lit("warning").alias("severity"), "n", "example"))
 
 
 def check_phasing(genotypes: DataFrame) -> DataFrame:

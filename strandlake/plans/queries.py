@@ -796,9 +796,12 @@ def v2_filter_variants(hits):
     return panel.filter_variants(v, ["PASS"], 0.25).select("id")
 
 
-@query(", n AS (SELECT 'many_alts' AS check, count(*) FILTER (mm + 6 >= 10) AS n FROM hits UNION ALL SELECT 'foreign_contig', count(*) FILTER (chrom = 'chr22') FROM hits UNION ALL SELECT 'outside_contig', count(*) FILTER (chrom <> 'chr22' AND pos > 3000) FROM hits UNION ALL SELECT 'low_pass_ratio', count(*) FILTER (guide = 'AF' AND mm = 0) FROM hits UNION ALL SELECT 'duplicate_position', (SELECT count(*) FROM (SELECT chrom, pos FROM hits GROUP BY ALL HAVING count(*) > 1))) SELECT * FROM n WHERE n > 0")
+@query(", n AS (SELECT 'many_alts' AS check, count(*) FILTER (mm + 6 >= 10) AS n FROM hits UNION ALL SELECT 'foreign_contig', count(*) FILTER (chrom = 'chr22') FROM hits UNION ALL SELECT 'outside_contig', count(*) FILTER (chrom <> 'chr22' AND pos > 3000) FROM hits UNION ALL SELECT 'low_pass_ratio', count(*) FILTER (guide = 'AF' AND mm = 0) FROM hits UNION ALL SELECT 'af_place_varies', (SELECT count(*) FROM (SELECT chrom FROM hits WHERE chrom IN ('chr7', 'chr8') GROUP BY chrom HAVING count(DISTINCT mm = 1) > 1)) UNION ALL SELECT 'duplicate_position', (SELECT count(*) FROM (SELECT chrom, pos FROM hits GROUP BY ALL HAVING count(*) > 1))) SELECT * FROM n WHERE n > 0")
 def q1_check_variants(hits):
-    v = hits.select("chrom", "pos", F.lit("A").alias("ref"), F.array_repeat(F.lit("G"), F.col("mm") + 6).alias("alts"), F.array(F.when((F.col("guide") == "AF") & (F.col("mm") == 0), "PASS").otherwise("q")).alias("filter"), F.lit(None).cast("array<double>").alias("af"))
+    v = hits.select("chrom", "pos", "mm", F.lit("A").alias("ref"), F.array_repeat(F.lit("G"), F.col("mm") + 6).alias("alts"), F.array(F.when((F.col("guide") == "AF") & (F.col("mm") == 0), "PASS").otherwise("q")).alias("filter"), F.lit(None).cast("array<double>").alias("af"))
+    entry = lambda *keys: F.create_map(*[F.lit(x) for k in keys for x in (k, "0.1")])
+    moved = F.when((F.col("mm") == 1) & F.col("chrom").isin("chr7", "chr8"), entry("DP", "AF")).otherwise(entry("AF", "DP"))
+    v = v.withColumn("info", moved)
     lengths = hits.where("chrom != 'chr22'").select("chrom", F.lit(3000).alias("length")).distinct()
     return quality.check_variants(v, lengths).select("check", "n")
 
