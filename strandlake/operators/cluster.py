@@ -20,8 +20,10 @@ def cluster_by_gap(df: DataFrame, keys: list[str], gap: int, pos: str = "pos", n
     binned = df.withColumn("_bin", F.floor(F.col(pos) / F.lit(width)))
     inside = Window.partitionBy(*keys, "_bin").orderBy(pos)
     jump = F.when(F.col(pos) - F.lag(pos).over(inside) > gap, 1).otherwise(0)
-    places = binned.select(*keys, "_bin", pos).distinct().withColumn("_jump", jump)
-    per = places.groupBy(*keys, "_bin").agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"), F.sum("_jump").alias("_jumps"))
+    # A bin has at most ``width`` different positions, which are gathered where they are read before they are shuffled.
+    places = binned.groupBy(*keys, "_bin").agg(F.array_sort(F.collect_set(pos)).alias("_places"))
+    count = F.aggregate("_places", F.struct(F.get("_places", F.lit(0)).alias("at"), F.lit(0).alias("n")), lambda acc, x: F.struct(x.alias("at"), (acc["n"] + (x - acc["at"] > gap).cast("int")).alias("n")))["n"]
+    per = places.select(*keys, "_bin", F.get("_places", F.lit(0)).alias("_lo"), F.array_max("_places").alias("_hi"), count.alias("_jumps"))
     order = Window.partitionBy(*keys).orderBy("_bin")
     per = per.withColumn("_enter", F.when(F.col("_lo") - F.lag("_hi").over(order) > gap, 1).otherwise(0))
     first = F.sum(F.col("_jumps") + F.col("_enter")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_jumps")
@@ -109,20 +111,22 @@ def merge_panel_clusters(df: DataFrame, keys: list[str], a: str = "A", b: str =
 
 #: Pieces into which the values of a column are cut when what stands before each is summed: CUTS * CUTS at most.
 CUTS = 32
-#: Rows for each piece below which fewer pieces are made.
-PIECE = 1 << 14
+#: Rows of a piece; fewer rows are summed in one. Rows of the sample that the cuts are taken from.
+PIECE, SAMPLE = 1 << 20, 1 << 20
 
 
 def bounds(df: DataFrame, columns: list[str], piece: int | None = None) -> dict[str, list]:
     """For each column the values that cut ``df`` into pieces of about ``piece`` rows; at most CUTS * CUTS - 1. They come to the driver.
 
-    They decide only how the work is dealt; sums over pieces are exact wherever these lie.
+    They decide only how the work is dealt, so a sample is enough: sums over pieces are exact wherever the cuts lie.
     """
-    steps = [i / (CUTS * CUTS) for i in range(1, CUTS * CUTS)]
-    named = {f"_p{i}": F.percentile_approx(c, steps) for i, c in enumerate(columns)}
-    row = df.agg(F.count("*").alias("_n"), *[x.alias(k) for k, x in named.items()]).first()
-    n = min(CUTS * CUTS, -(-row["_n"] // (piece or PIECE)))
-    return {c: sorted({row[f"_p{i}"][j * CUTS * CUTS // n - 1] for j in range(1, n)} if n > 1 and row[f"_p{i}"] else ()) for i, c in enumerate(columns)}
+    rows = df.count()
+    n = min(CUTS * CUTS, -(-rows // (piece or PIECE)))
+    if n < 2:
+        return {c: [] for c in columns}
+    sample = df.sample(SAMPLE / rows, 0) if rows > SAMPLE else df
+    cuts = sample.agg(*[F.percentile_approx(c, [j / n for j in range(1, n)]).alias(f"_p{i}") for i, c in enumerate(columns)]).first()
+    return {c: sorted(set(cuts[f"_p{i}"] or ())) for i, c in enumerate(columns)}
 
 
 def _piece(value: Column, cuts: list) -> Column:
