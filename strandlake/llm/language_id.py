@@ -36,16 +36,17 @@ def train(docs: DataFrame, held_out=None, max_docs: int = 3000, per_doc: int = 3
     Learns from at most ``max_docs`` different texts (8 for each language at least), the same number of each language
     as far as it has them, and ``per_doc`` windows of each, spread over the whole text: this bound keeps the driver's
     memory fixed. Of each language those texts are drawn whose hash is smallest, however many copies they have. Rows
-    where ``held_out`` is true, and those with a null text or lang, are never used. More than ``max_languages``
-    values of ``lang`` are refused with an error.
+    where ``held_out`` is true, and those with a null text or lang, are never used. Of more than ``max_languages``
+    values of ``lang`` those with most rows are learnt (of equal ones the first by name); texts in others get whichever
+    learnt language is nearest.
     """
     rows = docs.select("text", "lang", *([held_out.alias("_out")] if held_out is not None else [])).where("text is not null and lang is not null and text != ''")
     if held_out is not None:
         rows = rows.where("not coalesce(_out, false)")
     rows = rows.select("text", "lang", F.xxhash64("text").alias("h"))
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().take(max_languages + 1))
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    languages = sorted(r["lang"] for r in most.collect())
+    rows = rows.where(F.col("lang").isin(languages))
     if len(languages) < 2:
         return LanguageModel(None, languages)
     each = max(8, max_docs // len(languages))

@@ -65,8 +65,9 @@ def test_language(spark):
     odd = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "123 --", "c"), (4, en * 300, "d"), (5, de, None)], "doc_id long, text string, lang_pred string")
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(odd, model).collect()}
     assert got == {1: "und", 2: "und", 3: "und", 4: "en", 5: "de"}
-    with pytest.raises(ValueError):
-        language_id.train(d, max_languages=1)
+    assert language_id.train(d, max_languages=1).languages == ["de"]
+    more = d.unionByName(d.limit(5).withColumn("lang", F.lit("rare")))
+    assert language_id.train(more, max_languages=2).languages == ["de", "en"]
     none = language_id.train(d.limit(0))
     assert {r["lang_pred"] for r in language_id.identify(odd, none).collect()} == {"und"}
 
