@@ -25,7 +25,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier in the corpus; those of which nothing is left go."""
     clean = line_dedup.dedup_lines(docs, gone="_gone")
     kept = clean.where((F.col("_gone") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return kept.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
