@@ -80,3 +80,8 @@ def test_stages_on_odd_tables(spark, tmp_path):
         if table:
             assert {1, None} <= {r["doc_id"] for r in kept} and not {40, 41} & {r["doc_id"] for r in kept}
         assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).count() == len(kept)
+
+
+def test_lines_of_a_table_without_a_count_of_characters(spark):
+    docs = spark.createDataFrame([(1, "a line that stands twice\nand one that does not"), (2, "a line that stands twice")], "doc_id long, text string")
+    assert [tuple(r) for r in corpus_pipeline.lines(spark, docs, "").collect()] == [(1, "a line that stands twice\nand one that does not")]
