@@ -102,13 +102,15 @@ def components(edges: DataFrame) -> DataFrame:
 class Trie:
     """Sets of ranked n-grams as a prefix tree whose unbranched paths are a few edges, each twice as long as that before.
 
-    Each node knows its parent, the n-grams of its edge and the range of sizes of the sets below it. Nodes are kept
-    level by level, so that a search takes one vectorised step for each level.
+    Each node knows its parent, the n-grams of its edge and the range of sizes of the sets below it. A list for each
+    n-gram names the sets that hold it in their prefix. A search enters only the subtrees in which the query's own prefix
+    names a set, level by level in vectorised steps, so that sets which share nothing rare cost it nothing.
     """
 
     FIRST = 16
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.num, self.den = num, den
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         parent, start, end, source, term = [0], [0], [0], [order[0]], np.zeros(len(sets), np.int64)
         stack, before = [0], None
@@ -151,46 +153,65 @@ class Trie:
         for k in downward[:0:-1]:
             q = self.parent[k]
             self.low[q], self.high[q] = min(self.low[q], self.low[k]), max(self.high[q], self.high[k])
-        self.levels = [np.flatnonzero(level == d) for d in range(1, int(level.max()) + 1)]
+        self.level = level
         edges = [sets[source[k]][start[k] : end[k]] for k in range(count)]
         self.width = np.array([len(x) for x in edges])
         self.first = np.cumsum(self.width) - self.width
         self.grams = np.concatenate(edges)
         self.term = term
+        heads = [x[: prefix_length(len(x), num, den)] for x in sets]
+        posted = np.concatenate(heads)
+        order = np.argsort(posted, kind="stable")
+        self.posted, self.holder = posted[order], np.repeat(np.arange(len(sets)), [len(x) for x in heads])[order]
+        self.overlap, self.alive = np.zeros(count, np.int64), np.zeros(count, bool)
 
-    def search(self, query: np.ndarray, universe: int, num: int, den: int, most: int | None = None) -> np.ndarray:
+    def search(self, query: np.ndarray, most: int | None = None) -> np.ndarray:
         """The sets of at most ``most`` n-grams with |a & b| / |a | b| >= num / den; subtrees go as soon as their bound is below it."""
-        has = np.zeros(universe, np.int32)
-        has[query] = 1
-        before = np.concatenate([[0], np.cumsum(has)])  # n-grams of the query up to each rank
-        n = len(query)
+        num, den, n = self.num, self.den, len(query)
         largest = den * n // num if most is None else min(most, den * n // num)
-        overlap, alive = np.zeros(len(self.parent), np.int64), np.zeros(len(self.parent), bool)
-        alive[0] = True
-        for nodes in self.levels:
-            some = nodes[alive[self.parent[nodes]]]
-            some = some[(den * self.high[some] >= num * n) & (self.low[some] <= largest)]
+        head = query[: prefix_length(n, num, den)]
+        a, b = np.searchsorted(self.posted, head, "left"), np.searchsorted(self.posted, head, "right")
+        named = np.unique(np.concatenate([self.holder[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True) if i < j] or [self.holder[:0]]))
+        named = named[(den * self.size[named] >= num * n) & (self.size[named] <= largest)]
+        if not len(named):
+            return named
+        overlap, alive = self.overlap, self.alive
+        alive[0], overlap[0] = True, 0
+        paths, at = [], np.unique(self.term[named])
+        while len(at):
+            paths.append(at)
+            at = np.unique(self.parent[at[at != 0]])
+        paths = np.unique(np.concatenate(paths))
+        level = self.level[paths]
+        for d in range(1, int(level.max()) + 1):
+            some = paths[level == d]
+            some = some[alive[self.parent[some]]]
             if not len(some):
-                continue
+                break
             width = self.width[some]
             at = np.cumsum(width) - width
             grams = self.grams[np.repeat(self.first[some] - at, width) + np.arange(int(width.sum()))]
-            now = overlap[self.parent[some]] + np.add.reduceat(has[grams], at)
-            rest = np.minimum(self.high[some] - self.end[some], n - before[grams[at + width - 1] + 1])
+            place = np.searchsorted(query, grams)
+            has = query[np.minimum(place, n - 1)] == grams
+            now = overlap[self.parent[some]] + np.add.reduceat(has.astype(np.int64), at)
+            end = at + width - 1
+            rest = np.minimum(self.high[some] - self.end[some], n - place[end] - has[end])
             overlap[some] = now
             # Overlap c suffices for size s if (den + num) c >= num (n + s); the smallest size below asks least.
             alive[some] = (den + num) * (now + rest) >= num * (n + self.low[some])
-        both = overlap[self.term]
-        return np.flatnonzero(alive[self.term] & (den * both >= num * (n + self.size - both)))
+        ok = alive[self.term[named]]
+        both = overlap[self.term[named]]
+        alive[paths] = False
+        return named[ok & (den * both >= num * (n + self.size[named] - both))]
 
 
-def ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-    """The sets with their n-grams as ranks, those that fewest of the sets hold first, so that sets that differ part early; and how many there are."""
+def ranked(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets with their n-grams as ranks, those that fewest of the sets hold first, so that sets that differ part early."""
     universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
     flat = flat.reshape(-1)
     rank = np.empty(len(universe), np.int64)
     rank[np.argsort(np.bincount(flat, minlength=len(universe)), kind="stable")] = np.arange(len(universe))
-    return [np.sort(rank[part]) for part in np.split(flat, np.cumsum([len(x) for x in sets])[:-1])], len(universe)
+    return [np.sort(rank[part]) for part in np.split(flat, np.cumsum([len(x) for x in sets])[:-1])]
 
 
 def link_forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, labels: np.ndarray | None = None, most: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -206,7 +227,7 @@ def link_forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, lab
         own.setdefault(k, []).append(i)
     if len(own) < 2:
         return []
-    sets, universe = ranked(sets)
+    sets = ranked(sets)
     edges, left = [], set(own)
     trie, inside = None, []
     for label in sorted(own, key=lambda k: (-len(own[k]), k)):
@@ -218,9 +239,9 @@ def link_forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, lab
             if trie is None or 2 * len(left) < built:
                 built = len(left)
                 inside = [i for k in left for i in own[k]]
-                trie = Trie([sets[i] for i in inside])
+                trie = Trie([sets[i] for i in inside], num, den)
             at = todo.pop()
-            for k in trie.search(sets[at], universe, num, den, None if most is None else int(most[at])):
+            for k in trie.search(sets[at], None if most is None else int(most[at])):
                 other = inside[k]
                 if int(labels[other]) in left:
                     left.discard(int(labels[other]))
@@ -328,12 +349,12 @@ def _star_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
     def links(hubs, reps, sets):
         hub = int(hubs[0])
-        own, universe = ranked(sets)
+        own = ranked(sets)
         spokes = np.flatnonzero(reps != hub)
         at = np.flatnonzero(reps == hub)
         if not len(at) or not len(spokes):
             return []
-        found = Trie([own[i] for i in spokes]).search(own[at[0]], universe, num, den)
+        found = Trie([own[i] for i in spokes], num, den).search(own[at[0]])
         return [(hub, int(reps[spokes[k]])) for k in found]
 
     return _linked(rows.withColumn("key", F.col("hub")), ["key", "part"], ["hub", "rep"], links)
