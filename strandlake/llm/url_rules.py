@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,9 @@ class Mining:
 
     A rule must fit ``count`` labelled urls and the share ``support`` of them, and be right in the share ``confidence``
     of the urls it fits even at the lower end of the interval of ``deviations`` standard deviations (Wilson's), so that
-    chance does not make it. FP-growth combines the ``width`` tokens of an url that are most often in bad ones (the
-    combinations of n tokens are 2^n); rules of one token are counted for every token.
+    chance does not make it. All tokens of an url are combined. FP-growth takes over where no url has more than ``width``
+    tokens left (the combinations of n tokens are 2^n); the others are first split by their rarest tokens. ``width``
+    changes how much is done in which way, never the rules.
     """
 
     support: float = 0.002
@@ -76,22 +78,47 @@ def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> Data
     if total < least:
         return none
     good = lambda bad, n: (bad >= mining.confidence * n) & (lower_bound(bad, n, mining.deviations) >= mining.confidence)
-    each = baskets.select("b", "bad", F.explode("t").alias("token"))
-    counts = materialize(each.groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("k")).where(F.col("n") >= least), "tokens")
-    single = counts.where(good(F.col("k"), F.col("n"))).select(F.array("token").alias("antecedent"), (F.col("k") / F.col("n")).alias("confidence"), (F.col("k") / F.lit(total)).alias("support"))
-
-    # A token that makes a rule by itself is in no other minimal rule; neither is one without enough bad urls.
-    open_ = counts.where(~good(F.col("k"), F.col("n")) & (F.col("k") >= mining.confidence * least))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("k") / F.col("n")).alias("order"), (-F.col("n")).alias("n"), "token"))), 1, mining.width)
-    items = each.join(open_, "token").groupBy("b", "bad").agg(F.transform(best, lambda x: x["token"]).alias("items"))
-    items = items.select(F.when(F.col("bad") == 1, F.array_append("items", BAD)).otherwise(F.col("items")).alias("items"))
-    items = materialize(items, "items")
-    share = min(1.0, (math.ceil(mining.confidence * least) - 0.5) / max(1, items.count()))
-    sets = materialize(FPGrowth(itemsCol="items", minSupport=share).fit(items).freqItemsets, "itemsets")
-    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 2)).select(F.array_sort(F.array_remove("items", BAD)).alias("antecedent"), F.col("freq").alias("k"))
-    fits = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("n"))
-    pairs = bad.join(fits, "antecedent").where((F.col("n") >= least) & good(F.col("k"), F.col("n")))
-    rules = materialize(single.unionByName(pairs.select("antecedent", (F.col("k") / F.col("n")).alias("confidence"), (F.col("k") / F.lit(total)).alias("support"))), "rules")
+    bad_least = math.ceil(mining.confidence * least)
+    # Conditional databases: the urls that hold all tokens of ``prefix`` (``held`` of them), with those of their other
+    # tokens that come after it in the order. The first one has no prefix and all tokens.
+    state = baskets.select("b", "bad", F.array().cast("array<string>").alias("prefix"), F.lit(total).cast("long").alias("held"), F.transform("t", lambda x: F.struct(x.alias("token"), F.lit(None).cast("long").alias("alone"))).alias("rest"))
+    found, narrow = [], []
+    while True:
+        each = state.select("b", "bad", "prefix", "held", F.explode("rest").alias("x")).select("b", "bad", "prefix", "held", "x.token", "x.alone")
+        counts = each.groupBy("prefix", "token").agg(F.count("*").alias("n"), F.sum("bad").alias("k"), F.max("held").alias("held"), F.max("alone").alias("alone"))
+        counts = materialize(counts.where((F.col("n") >= least) & (F.col("k") >= bad_least)), "tokens")
+        right = good(F.col("k"), F.col("n"))
+        found.append(counts.where(right).select(F.array_append("prefix", F.col("token")).alias("antecedent"), "n", "k"))
+        # What is a rule already is in no other minimal rule; neither is a token that all urls of the prefix hold, nor
+        # one that no url without the prefix holds: leaving it, or the prefix, out fits the same urls.
+        open_ = counts.where(~right & (F.col("n") < F.col("held")) & (F.col("alone").isNull() | (F.col("n") < F.col("alone"))))
+        kept = each.drop("alone").join(open_.select("prefix", "token", "n", F.coalesce("alone", "n").alias("alone")), ["prefix", "token"])
+        rest = F.array_sort(F.collect_list(F.struct("n", "token", "alone")))
+        state = materialize(kept.groupBy("b", "bad", "prefix").agg(rest.alias("rest")).where(F.size("rest") > 1), "conditional")
+        widest = materialize(state.groupBy("prefix").agg((F.max(F.size("rest")) > mining.width).alias("wide")), "prefixes")
+        narrow.append(state.join(widest.where("not wide"), "prefix", "left_semi").select("bad", "prefix", F.transform("rest", lambda x: x["token"]).alias("rest")))
+        wide = widest.where("wide")
+        if wide.isEmpty():
+            break
+        split = state.join(wide, "prefix", "left_semi").select("b", "bad", "prefix", "rest", F.posexplode("rest").alias("i", "x"))
+        after = F.transform(F.expr("slice(rest, i + 2, size(rest))"), lambda x: F.struct(x["token"].alias("token"), x["alone"].alias("alone")))
+        state = materialize(split.select("b", "bad", F.array_append("prefix", F.col("x.token")).alias("prefix"), F.col("x.n").alias("held"), after.alias("rest")).where(F.size("rest") > 0), "split")
+
+    rows = reduce(DataFrame.unionByName, narrow)
+    # Items carry their prefix, so that one run mines all databases and combines none with another.
+    rows = rows.withColumn("p", F.to_json("prefix")).select(F.transform(F.when(F.col("bad") == 1, F.array_append("rest", BAD)).otherwise(F.col("rest")), lambda x: F.to_json(F.struct(F.col("p").alias("p"), x.alias("x")))).alias("items"))
+    items = materialize(rows, "items")
+    many = items.count()
+    growth = FPGrowth(itemsCol="items", minSupport=min(1.0, (bad_least - 0.5) / max(1, many)), numPartitions=max(pages.sparkSession.sparkContext.defaultParallelism, many // 50_000))
+    item = F.transform("items", lambda x: F.from_json(x, "p string, x string"))
+    sets = growth.fit(items).freqItemsets.select(item.alias("items"), "freq")
+    sets = sets.select(F.from_json(F.get("items", F.lit(0))["p"], "array<string>").alias("prefix"), F.transform("items", lambda x: x["x"]).alias("items"), "freq")
+    whole = F.array_sort(F.concat("prefix", F.array_remove("items", BAD)))
+    sets = materialize(sets.select(whole.alias("antecedent"), F.array_contains("items", BAD).alias("bad"), F.size(F.array_remove("items", BAD)).alias("tokens"), "freq").where("tokens > 1"), "itemsets")
+    pairs = sets.where("bad").select("antecedent", F.col("freq").alias("k")).join(sets.where("not bad").select("antecedent", F.col("freq").alias("n")), "antecedent")
+    found.append(pairs.where((F.col("n") >= least) & good(F.col("k"), F.col("n"))).select("antecedent", "n", "k"))
+    rules = reduce(DataFrame.unionByName, found).select(F.array_sort("antecedent").alias("antecedent"), (F.col("k") / F.col("n")).alias("confidence"), (F.col("k") / F.lit(total)).alias("support"))
+    rules = materialize(rules, "rules")
     return rules.join(_longer(rules), "antecedent", "left_anti")
 
 
@@ -112,9 +139,14 @@ def flagged_urls(urls: DataFrame, rules: DataFrame, index_limit: int = 50_000) -
     each = rules.select("antecedent", F.explode("antecedent").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("n"))
     index = materialize(each.join(common, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token")), "index")
-    posted = F.broadcast(index) if index.count() <= index_limit else index
     own = urls.select("url").where("url is not null").distinct().withColumn("t", tokens(F.col("url")))
-    return own.withColumn("token", F.explode("t")).join(posted, "token").where(F.size(F.array_except("antecedent", "t")) == 0).select("url").distinct()
+    own = own.withColumn("token", F.explode("t"))
+    if index.count() <= index_limit:
+        met = own.join(F.broadcast(index), "token")
+    else:  # a token of most urls is dealt into SALTS parts
+        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = own.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
+    return met.where(F.size(F.array_except("antecedent", "t")) == 0).select("url").distinct()
 
 
 def judge(pages: DataFrame, rules: DataFrame, fixed=RULES) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -554,6 +555,29 @@ def test_top_k_of_repeated_ids(spark):
     assert got == sorted([(20, 1, 7, 8192), (20, 2, 7, 8192), (20, 3, 20, 0), (20, 1, 7, 12288), (20, 2, 7, 12288), (20, 3, 20, 0)], key=str)
 
 
+def test_prefix_tree_equals_brute_force():
+    r = np.random.default_rng(3)
+    for trial in range(30):
+        num, den = [(85, 100), (80, 100), (1, 2)][trial % 3]
+        base = [np.unique(r.integers(0, 40 if trial % 2 else 400, r.integers(1, 40)).astype(np.uint64)) for _ in range(6)]
+        kept = [x[r.random(len(x)) >= 0.1] for x in (base[k] for k in r.integers(0, 6, 40))]
+        own = ngram_join.ranked([x for x in [*base, *kept, base[0]] if len(x)])
+        tree = ngram_join.Trie(own, num, den)
+        for q in own:
+            for most in (None, len(q)):
+                want = [j for j, x in enumerate(own) if den * len(np.intersect1d(q, x)) >= num * len(np.union1d(q, x)) and (most is None or len(x) <= most)]
+                assert tree.search(q, most).tolist() == want
+
+
+def test_unlinked_sets_of_one_group_end_soon():
+    r = np.random.default_rng(1)
+    common = r.integers(0, 2**63, 5).astype(np.uint64)
+    sets = [np.unique(np.concatenate([r.integers(0, 2**63, 15).astype(np.uint64), common])) for _ in range(12_000)]
+    start = time.time()
+    assert ngram_join.link_forest(np.arange(12_000), sets, 85, 100) == []
+    assert time.time() - start < 30  # a third as many took 8 s when each search entered the whole tree
+
+
 # --- urls --------------------------------------------------------------------------------------------------------
 
 
@@ -592,9 +616,10 @@ def wilson(k, n, z):
     return (p + z * z / (2 * n) - z * np.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
 
 
-def test_mined_rules_equal_brute_force(spark, labelled_urls):
+@pytest.mark.parametrize("width", [10, 3])
+def test_mined_rules_equal_brute_force(spark, labelled_urls, width):
     data, pages, labels = labelled_urls
-    mining = url_rules.Mining(0.02, 0.6, 5)
+    mining = url_rules.Mining(0.02, 0.6, 5, width=width)
     rules = url_rules.mine(pages, labels, mining)
     got = {(tuple(x["antecedent"]), round(x["confidence"], 6)) for x in rules.collect()}
     held = {x["page_id"]: frozenset(x["t"]) for x in pages.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
@@ -611,12 +636,50 @@ def test_mined_rules_equal_brute_force(spark, labelled_urls):
     every = pages.unionByName(spark.createDataFrame(more, pages.schema))
     own = {(x["page_id"], x["url"]): set(x["t"]) for x in every.select("page_id", "url", url_rules.tokens(F.col("url")).alias("t")).collect()}
     judged = url_rules.judge(every, rules, ()).collect()
+    shuffled = url_rules.flagged_urls(every, rules, index_limit=0)
+    assert {x["url"] for x in shuffled.collect()} == {x["url"] for x in url_rules.flagged_urls(every, rules).collect()}
     assert len(judged) == len(own) == 453
     verdicts = {x["page_id"]: x["verdict"] for x in judged}
     assert all(verdicts[i] == ("block" if any(set(w) <= t for w in want) else "allow") for (i, _), t in own.items())
     assert verdicts[2001] == "block" and verdicts[2000] == "allow" and {"block", "allow"} <= set(verdicts.values())
 
 
+def test_rules_among_many_telling_tokens(spark):
+    """Two, or three, tokens tell only together, in urls with fourteen others of which each is in more bad ones."""
+    r = random.Random(4)
+    data = []
+    for i in range(600):
+        own = [f"o{k}" for k in range(14) if r.random() < 0.6]
+        two = [x for x in ("x", "y") if r.random() < 0.4]
+        three = [x for x in ("p", "q", "s") if r.random() < 0.6]
+        hit = len(two) == 2 or len(three) == 3
+        data.append((i, "http://h.net/" + "/".join(own + two + three), r.random() < (0.95 if hit else 0.15)))
+    pages = spark.createDataFrame([(i, u) for i, u, _ in data], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if b else 1, 0) for i, _, b in data], "doc_id long, quality int, toxic int")
+    mining = url_rules.Mining(0.1, 0.8, 5, width=6)
+    got = {(frozenset(x["antecedent"]), round(x["confidence"], 6)) for x in url_rules.mine(pages, labels, mining).collect()}
+    held = {x["page_id"]: frozenset(x["t"]) for x in pages.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    universe = sorted(set().union(*held.values()) - {"host=net", "host=net.h"})
+    want: dict = {}
+    masks = {t: sum(1 << i for i in held if t in held[i]) for t in universe}
+    bad = sum(1 << i for i, _, b in data if b)
+
+    def grow(items, mask, after):
+        n, k = mask.bit_count(), (mask & bad).bit_count()
+        if n < 60 or k < 48:
+            return
+        if items and k / n >= 0.8 and wilson(k, n, 1.96) >= 0.8:
+            want[frozenset(items)] = round(k / n, 6)
+            return
+        for j in range(after, len(universe)):
+            grow([*items, universe[j]], mask & masks[universe[j]], j + 1)
+
+    grow([], (1 << 600) - 1, 0)
+    want = {w: c for w, c in want.items() if not any(v < w for v in want)}
+    assert frozenset({"path=x", "path=y"}) in want and frozenset({"path=p", "path=q", "path=s"}) in want
+    assert got == set(want.items())
+
+
 def test_mining_does_not_explode(spark):
     path = "/".join(f"s{i}" for i in range(20))
     pages = spark.createDataFrame([(i, f"http://h.net/{path}/{i}" if i % 3 else f"http://h.net/{path}/bad/{i}") for i in range(200)], "page_id long, url string")
