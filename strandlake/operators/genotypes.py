@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genotype import genotype_counts, is_phased, parse_genotype, ploidy
@@ -11,6 +11,8 @@ KEY = ["chrom", "pos", "ref", "alt"]
 #: Unphased variants of which all subsets can be made.
 MOST_PUTATIVE = 20
 COUNTS = ["ac", "an", "n_carrier", "n_hom", "n_called"]
+#: What the people of one word of a bitmap have in common, and its number among those words.
+WORD = ["database", "superpopulation", "sex", "_first", "_w"]
 
 
 def genotyped_roster(samples: DataFrame, genotypes: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def _group(df: DataFrame) -> DataFrame:
 def _roster(samples: DataFrame) -> DataFrame:
     """Samples with a flag for the row that stands for the person in global counts: the one of the smallest database."""
     first = samples.groupBy("sample_id").agg(F.min("database").alias("_db"))
-    return samples.join(first, "sample_id").withColumn("_first", F.col("database") == F.col("_db")).drop("_db")
+    return samples.join(first, "sample_id").withColumn("_first", F.col("database").eqNullSafe(F.col("_db"))).drop("_db")
 
 
 def allele_counts(genotypes: DataFrame, samples: DataFrame) -> DataFrame:
@@ -83,25 +85,52 @@ def combinations(hits: DataFrame, genotypes: DataFrame, samples: DataFrame) -> D
     return full.select("id", "k", "sample_id", "ploidy", F.col("phased") | (F.col("k") == 1), haplotypes.cast("bigint").alias("_h")).toDF("id", "k", "sample_id", "ploidy", "phased", "haplotypes")
 
 
+def _people(samples: DataFrame) -> DataFrame:
+    return _roster(samples.select("sample_id", "database", "superpopulation", "sex").dropDuplicates(["sample_id", "database"]))
+
+
+def packed_genotypes(genotypes: DataFrame, samples: DataFrame) -> DataFrame:
+    """Carriers as bitmaps: a row for each record and word of 64 people of which one at least has the allele.
+
+    People of one word share database, superpopulation and sex, hence ploidy (``_p``), so that the counts of a group are
+    sums of bit counts and no word is taken apart. ``held``: the allele stands in the genotype; ``any``: in a slot that
+    exists at this ploidy; ``h0``, ``h1``: in that slot; ``loose``: unphased. One person in two databases has a bit in each.
+    Numbers are given inside each class of the roster, of which a person is one row.
+    """
+    number = F.row_number().over(Window.partitionBy(*WORD[:-1]).orderBy("sample_id")) - 1
+    words = _people(samples).withColumn("_n", number).withColumns({"_w": F.floor(F.col("_n") / 64), "_bit": F.expr("shiftleft(1L, _n % 64)")}).drop("_n")
+    rows = genotypes.select(*KEY, "sample_id", "gt").where(F.exists(F.split("gt", r"[|/]"), lambda t: t == "1")).join(words, "sample_id")
+    rows = rows.withColumn("_p", ploidy(F.col("chrom"), F.col("sex"))).withColumn("_s", _slots(F.col("gt"), F.col("_p")))
+    on = lambda c: F.bit_or(F.when(c, F.col("_bit")).otherwise(F.lit(0).cast("bigint")))
+    slot = lambda i: F.get("_s", F.lit(i))
+    return rows.groupBy(*KEY, *WORD, "_p").agg(F.bit_or("_bit").alias("held"), on(slot(0) | F.coalesce(slot(1), F.lit(False))).alias("any"), on(slot(0)).alias("h0"), on(slot(1)).alias("h1"), on(~is_phased(F.col("gt"))).alias("loose"))
+
+
+def _packed_combinations(hits: DataFrame, genotypes: DataFrame, samples: DataFrame) -> DataFrame:
+    """``combinations`` as bitmaps, a row for each hit and word: ``full`` carries all of the hit's variants, ``loose`` those of them that are unphased, ``h0`` and ``h1`` the haplotypes with all; ``held`` sums the carriers of each."""
+    wanted = hits.select("id", F.size(F.array_distinct("variants")).alias("k"), F.explode(F.array_distinct("variants")).alias("v")).select("id", "k", "v.*")
+    per = wanted.join(packed_genotypes(genotypes, samples), KEY).groupBy("id", "k", *WORD).agg(F.count("*").alias("_n"), *[F.bit_and(c).alias(c) for c in ("any", "h0", "h1")], F.bit_or("loose").alias("loose"), F.sum(F.bit_count("held")).alias("held"), F.max("_p").alias("_p"))
+    per = per.withColumn("full", F.when(F.col("_n") == F.col("k"), F.col("any")).otherwise(F.lit(0).cast("bigint")))
+    within = lambda c: F.col(c).bitwiseAND(F.col("full"))
+    return per.withColumns({"h0": within("h0"), "h1": within("h1"), "loose": F.when(F.col("k") > 1, within("loose")).otherwise(F.lit(0).cast("bigint"))}).drop("any", "_n")
+
+
 def combination_summary(hits: DataFrame, genotypes: DataFrame, samples: DataFrame) -> DataFrame:
     """Per hit and group: carriers of all variants, haplotypes carrying all (null if any carrier is unphased), homozygotes, and for unphased ones a lower bound of carriers in cis.
 
     With phased carriers only those with a haplotype that holds all count. Unphased: the carriers are an upper bound and
-    max(0, sum of carriers of each - (k - 1) * N) the lower one.
+    max(0, sum of carriers of each - (k - 1) * N) the lower one. Genotypes are read and joined once, as bitmaps.
     """
-    c = combinations(hits, genotypes, samples).join(_roster(samples.select("sample_id", "database", "superpopulation")), "sample_id")
-    c = c.where(~F.col("phased") | (F.col("haplotypes") > 0))
-    hom = F.col("phased") & (F.col("haplotypes") == F.col("ploidy"))
-    out = _group(c).groupBy("id", "k", "group_kind", "db", "subpop").agg(F.count("*").alias("n_carrier"), F.when(F.bool_and("phased"), F.sum("haplotypes")).alias("ac"), F.count_if(hom).alias("n_hom"), F.bool_and("phased").alias("phased"))
-    singles = hits.select("id", F.explode(F.array_distinct("variants")).alias("v")).select("id", "v.*")
-    held = genotypes.where(F.exists(F.split("gt", r"[|/]"), lambda t: t == "1")).join(_roster(samples.select("sample_id", "database", "superpopulation")), "sample_id")
-    each = _group(singles.join(held, KEY)).groupBy("id", "group_kind", "db", "subpop").agg(F.count("*").alias("_sum"))
-    size = _group(_roster(samples.select("sample_id", "database", "superpopulation"))).groupBy("group_kind", "db", "subpop").agg(F.count("*").alias("_n"))
-    same = lambda a, b: F.col(f"{a}.group_kind").eqNullSafe(F.col(f"{b}.group_kind")) & F.col(f"{a}.db").eqNullSafe(F.col(f"{b}.db")) & F.col(f"{a}.subpop").eqNullSafe(F.col(f"{b}.subpop"))
+    either = F.col("h0").bitwiseOR(F.col("h1"))
+    hom = F.when(F.col("_p") == 2, F.col("h0").bitwiseAND(F.col("h1"))).otherwise(either).bitwiseAND(F.bitwise_not("loose"))
+    n = _packed_combinations(hits, genotypes, samples).select("id", "k", *WORD[:-1], "held", F.bit_count(F.col("loose").bitwiseOR(either)).alias("_c"), (F.bit_count("h0") + F.bit_count("h1")).alias("_h"), F.bit_count(hom).alias("_hom"), F.bit_count("loose").alias("_l"))
+    out = _group(n).groupBy("id", "k", "group_kind", "db", "subpop").agg(F.sum("_c").alias("n_carrier"), F.sum("_h").alias("_h"), F.sum("_hom").alias("n_hom"), (F.sum("_l") == 0).alias("phased"), F.sum("held").alias("_sum")).where("n_carrier > 0")
+    size = _group(_people(samples)).groupBy("group_kind", "db", "subpop").agg(F.count("*").alias("_n"))
+    same = lambda c: F.col(f"o.{c}").eqNullSafe(F.col(f"s.{c}"))
     # ``size`` has a row for each group of the panel.
-    j = out.alias("o").join(each.alias("e"), (F.col("o.id") == F.col("e.id")) & same("o", "e"), "left").join(F.broadcast(size).alias("s"), same("o", "s"))
-    low = F.least(F.col("n_carrier"), F.greatest(F.lit(0), F.coalesce("_sum", F.lit(0)) - (F.col("k") - 1) * F.col("_n")))
-    return j.select("o.id", "k", "o.group_kind", "o.db", "o.subpop", "n_carrier", "ac", "n_hom", F.col("o.phased").alias("phased"), F.when(F.col("o.phased"), F.col("n_carrier")).otherwise(low).alias("n_carrier_low"))
+    j = out.alias("o").join(F.broadcast(size).alias("s"), same("group_kind") & same("db") & same("subpop"))
+    low = F.least(F.col("n_carrier"), F.greatest(F.lit(0), F.col("_sum") - (F.col("k") - 1) * F.col("_n")))
+    return j.select("id", "k", "o.group_kind", "o.db", "o.subpop", "n_carrier", F.when(F.col("phased"), F.col("_h")).alias("ac"), "n_hom", "phased", F.when(F.col("phased"), F.col("n_carrier")).otherwise(low).alias("n_carrier_low"))
 
 
 def population_companion(hits: DataFrame, genotypes: DataFrame, samples: DataFrame) -> DataFrame:
@@ -127,7 +156,7 @@ def haplotype_frequency(hits: DataFrame, genotypes: DataFrame, samples: DataFram
     The allele number is the sum of the samples' ploidies there, so that males have one X and females no Y. A hit's
     variants lie on one chromosome.
     """
-    c = combinations(hits, genotypes, samples).groupBy("id").agg(F.when(F.bool_and("phased"), F.sum("haplotypes")).alias("_h"))
+    c = _packed_combinations(hits, genotypes, samples).where("_first and full != 0").groupBy("id").agg(F.when(F.sum(F.bit_count("loose")) == 0, F.sum(F.bit_count("h0") + F.bit_count("h1"))).alias("_h"))
     at = hits.select("id", F.array_min(F.transform("variants", lambda v: v["chrom"])).alias("chrom"))
     sexes = samples.select("sample_id", "sex").dropDuplicates(["sample_id"]).groupBy("sex").agg(F.count("*").alias("_n"))
     # As many rows as there are chromosomes and sexes.

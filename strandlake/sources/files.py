@@ -92,9 +92,12 @@ def read_vcf(spark: SparkSession, path: str, header: str | None = None) -> tuple
 def import_snp_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(variants, genotypes) of JSON text that maps ``chrom,pos`` to entries ``s:gt,...;ref,alt;rsid;af`` joined by ``$``.
 
-    Entries with fewer than three fields or without an alternate are skipped.
+    Entries with fewer than three fields or without an alternate are skipped. Keys and values hold no quotes, so that the
+    end of a value cuts the text: a dictionary of a whole chromosome, mostly one line, is read in splits.
     """
-    entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    pair = r'"([^"]*)"\s*:\s*"([^"]*)'
+    cut = spark.read.text(path, lineSep='",').select(F.explode(F.regexp_extract_all("value", F.lit(pair), F.lit(0))).alias("pair"))
+    entries = cut.select(F.regexp_extract("pair", pair, 1).alias("key"), F.regexp_extract("pair", pair, 2).alias("value"))
     e = entries.select(F.split("key", ",").alias("k"), F.explode(F.split("value", r"\$")).alias("e")).select("k", F.split("e", ";").alias("f")).where(F.size("f") >= 3)
     e = e.withColumn("a", F.split(F.get("f", F.lit(1)), ",")).where(F.coalesce(F.get("a", F.lit(1)) != "", F.lit(False)))
     base = e.select(F.get("k", F.lit(0)).alias("chrom"), F.get("k", F.lit(1)).try_cast("bigint").alias("pos"), F.get("a", F.lit(0)).alias("ref"), F.get("a", F.lit(1)).alias("alt"), F.get("f", F.lit(2)).alias("rsid"), F.get("f", F.lit(3)).try_cast("double").alias("af"), F.get("f", F.lit(0)).alias("carriers"))

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -236,6 +237,48 @@ def test_combination_bounds(spark):
     assert genotypes.haplotype_frequency(hits, g, samples).first()["haplotype_freq"] is None
 
 
+def test_packed_combinations_equal_people_one_by_one(spark):
+    rng = random.Random(5)
+    people = [(f"s{i:03}", "p", rng.choice(["x", "y", None]), rng.choice(["male", "female"]), "d") for i in range(150)]
+    people += [(s, p, "z", sex, "e") for s, p, _, sex, _ in people[::3]]
+    samples = spark.createDataFrame(people + people[:2], SAMPLE)
+    sex = {p[0]: p[3] for p in people}
+    places = [(ch, p, "A", "G") for ch in ("chr1", "chrX", "chrY") for p in range(4)]
+    call = {"chr1": ["0|1", "1|0", "1|1", "1|1", "1"], "chrX": ["1", "1|1", "0|1", "1|0"], "chrY": ["1", "0|1"]}
+    rows = [(*v, s, rng.choice(["0/1", "1/1"]) if rng.random() < 0.02 and v[1] != 3 else rng.choice(call[v[0]])) for v in places for s in sorted(sex) if rng.random() < 0.8]
+    g = spark.createDataFrame(rows, GT)
+    sets = {f"{ch}:{a}": [v for v in places if v[0] == ch and a <= v[1] <= b] for ch in call for a, b in ((0, 2), (1, 2), (3, 3))} | {"chr1:none": [places[0], ("chr1", 99, "A", "G")]}
+    hits = spark.createDataFrame([(i, v + v[:1]) for i, v in sets.items()], "id string, variants array<struct<chrom:string,pos:long,ref:string,alt:string>>")
+    have = {(r[:4], r[4]): r[5] for r in rows}
+    want, freq = set(), {}
+    for i, vs in sets.items():
+        each = {}
+        for s in sex:
+            p = 2 if vs[0][0] == "chr1" else 1 if sex[s] == "male" else 2 if vs[0][0] == "chrX" else 0
+            slots = [re.split(r"[|/]", have.get((v, s), "0"))[:p] for v in vs]
+            if all("1" in x for x in slots):
+                each[s] = (len(vs) == 1 or not any("/" in have[v, s] for v in vs), sum(all(len(x) > h and x[h] == "1" for x in slots) for h in range(2)), p)
+        total = sum((2 if vs[0][0] == "chr1" else 1 if x == "male" else 2 if vs[0][0] == "chrX" else 0) for x in sex.values())
+        if each:
+            freq[i] = round(sum(h for _, h, _ in each.values()) / total, 6) if all(f for f, _, _ in each.values()) else None
+        groups = {("global", None, None): set(sex)}
+        for s, _, sub, _, db in people:
+            groups.setdefault(("db", db, None), set()).add(s)
+            groups.setdefault(("db_subpop", db, sub), set()).add(s)
+        for name, members in groups.items():
+            own = [each[s] for s in members if s in each and (not each[s][0] or each[s][1])]
+            if own:
+                phased = all(f for f, _, _ in own)
+                held = sum("1" in re.split(r"[|/]", have.get((v, s), "")) for v in vs for s in members)
+                low = len(own) if phased else min(len(own), max(0, held - (len(vs) - 1) * len(members)))
+                want.add((i, len(vs), *name, len(own), sum(h for _, h, _ in own) if phased else None, sum(f and h == p for f, h, p in own), phased, low))
+    assert {r[0] for r in want if r[6] is None} and {r[0] for r in want if r[6] is not None}
+    assert {tuple(r) for r in genotypes.combination_summary(hits, g, samples).collect()} == want
+    assert {r["id"]: r["haplotype_freq"] for r in genotypes.haplotype_frequency(hits, g, samples).collect()} == freq
+    packed = genotypes.packed_genotypes(g, samples)
+    assert packed.count() < g.count() / 4
+
+
 def test_haplotype_frequency_counts_ploidies(spark):
     samples = spark.createDataFrame([(f"s{i}", "p", "x", "male" if i < 3 else "female", "d") for i in range(5)], SAMPLE)
     g = spark.createDataFrame([("chrX", 1, "A", "G", "s0", "1"), ("chrX", 1, "A", "G", "s3", "1|1"), ("chr2", 1, "A", "G", "s0", "0|1"), ("chrY", 1, "A", "G", "s1", "1")], GT)

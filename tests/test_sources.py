@@ -1,3 +1,4 @@
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -65,6 +66,20 @@ def test_snp_dictionary(spark, tmp_path):
     assert g.count() == 2
 
 
+def test_snp_dictionary_is_read_in_splits(spark, tmp_path):
+    text = {f"chr1,{i}": f"S{i % 7}:0|1;A,G;rs{i};0.5" for i in range(5000)}
+    for name, kinds in (("a.json", {}), ("b.json", {"separators": (",", ":")}), ("c.json", {"indent": 1})):
+        path = write(tmp_path, name, json.dumps(text, **kinds))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        try:
+            v, g = files.import_snp_dictionary(spark, path)
+            assert v.rdd.getNumPartitions() > 4
+            assert {(r["chrom"], r["pos"], r["rsid"]) for r in v.collect()} == {("chr1", i, f"rs{i}") for i in range(5000)}
+            assert g.count() == 5000
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_rosters_features_guides(spark, tmp_path):
     r = files.read_samples(spark, {"d": write(tmp_path, "s.txt", "#id\tp\ts\tx\nS1\tTSI\tEUR\tmale\n\n")}).first()
     assert (r["sample_id"], r["superpopulation"], r["database"]) == ("S1", "EUR", "d")
