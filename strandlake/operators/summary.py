@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .clean import partition_mask
 from .cluster import score_ranks, value_ranks
+from .shared import once
 
 SCORE_TIERS, TOTAL_TIERS = (0.5, 0.2, 0.05), (1, 2, 3, 4)
 TIES = ("pos", "strand", "id")
@@ -181,7 +182,8 @@ def score_correlation(df: DataFrame, x: str = "score", y: str = "score_ref", dig
 
 def rank_correlation(df: DataFrame, second: str = "score_ref", clip: int = 10_000, digits: int = 6, ties=TIES) -> DataFrame:
     """The same over the ranks by both scores, clipped at ``clip``, of the rows that are in the first ``clip`` of either."""
-    return score_correlation(score_ranks(df, second, clip, ties), "rank_score", "rank_second", digits)
+    # A few rows of each guide, which the ranks below read several times.
+    return score_correlation(once(score_ranks(df, second, clip, ties)), "rank_score", "rank_second", digits)
 
 
 def score_maf_heatmap(df: DataFrame, bin_: Column, decade: Column, decades: list[float]) -> DataFrame:
