@@ -549,3 +549,18 @@ def test_score_ranks_take_heads_only(spark):
     assert sorted(tuple(x) for x in got.select("id", "rank_score", "rank_second").collect()) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "WindowGroupLimit" in plan
+
+
+def test_allele_counts_are_made_where_records_lie(spark):
+    g = spark.createDataFrame([("chr1", i, "A", "G", f"s{k}", "0|1") for i in range(40) for k in range(4)], "chrom string, pos long, ref string, alt string, sample_id string, gt string")
+    samples = spark.createDataFrame([(f"s{k}", "p", f"x{k % 2}", "female", f"d{k % 3}") for k in range(4)], SAMPLE)
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        for make in (genotypes.allele_counts, genotypes.allele_counts_panel):
+            out = make(g, samples)
+            assert out.rdd.getNumPartitions() == 5  # not joined into one by their size
+            assert out.where("group_kind = 'global'").select("ac", "an", "n_carrier").distinct().collect() == [(4, 8, 4)]
+            assert out.count() == 40 * 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
