@@ -13,8 +13,8 @@ from ..operators.summary import summary_by_guide
 
 def site_report(hits: DataFrame, features: DataFrame, gap: int = 3, length: int = 23, pivot: str = "score") -> DataFrame:
     """The distinct sites: hits clustered by gaps, one representative each, annotated with the features they meet."""
-    clustered = cluster_by_gap(hits, ["guide", "chrom"], gap)
-    best = best_per_cluster(clustered, ["guide", "chrom", "cluster"], pivot).where("best")
+    clustered = cluster_by_gap(hits, ["guide", "chrom"], gap, home="_home")
+    best = best_per_cluster(clustered, ["guide", "chrom", "_home", "cluster"], pivot).where("best").drop("_home")
     return annotate_overlaps(best, features, length)
 
 

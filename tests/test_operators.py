@@ -564,3 +564,16 @@ def test_allele_counts_are_made_where_records_lie(spark):
             assert out.count() == 40 * 8
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
+def test_a_cluster_belongs_to_the_bin_where_it_starts(spark):
+    places = [0, 3, 6, 9, 12, 15, 30, 33, 40, 41, 44, 60, 63]  # with bins of 8, the first cluster reaches into a bin without a start
+    df = spark.createDataFrame([("g", c, p) for c in ("a", None) for p in places], "guide string, chrom string, pos long")
+    rows = lambda w: {(r["chrom"], r["pos"]): (r["cluster"], r["home"]) for r in cluster.cluster_by_gap(df, ["guide", "chrom"], 3, width=w, home="home").collect()}
+    narrow, wide = rows(8), rows(1 << 20)
+    want, n = {}, -1
+    for k, p in enumerate(places):
+        if not k or p - places[k - 1] > 3:
+            n, first = n + 1, p
+        want[p] = (n, first // 8)
+    assert all(narrow[c, p] == want[p] and wide[c, p] == (want[p][0], 0) for c in ("a", None) for p in places) and len(narrow) == 2 * len(places)
