@@ -577,3 +577,11 @@ def test_a_cluster_belongs_to_the_bin_where_it_starts(spark):
             n, first = n + 1, p
         want[p] = (n, first // 8)
     assert all(narrow[c, p] == want[p] and wide[c, p] == (want[p][0], 0) for c in ("a", None) for p in places) and len(narrow) == 2 * len(places)
+
+
+def test_labels_of_one_length_need_no_second_join(spark):
+    hits = spark.createDataFrame([(f"h{i}", "c" if i % 5 else None, i * 7) for i in range(40)], "id string, chrom string, pos long")
+    f = spark.createDataFrame([("c", 20, 41, "x"), ("c", 20, 41, "x"), ("c", 63, 64, "y"), ("c", 0, 200, "z"), ("c", 230, 235, None)], "chrom string, start long, end long, label string")
+    one, each = (intervals.annotate_overlaps(hits, f, n, width=10) for n in (23, F.lit(23)))
+    assert one.columns == each.columns and sorted(map(str, one.collect())) == sorted(map(str, each.collect()))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
