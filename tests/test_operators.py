@@ -457,6 +457,16 @@ def test_extract_region(spark):
     assert {r["region_id"]: r["sequence"] for r in intervals.extract_region(tiles, regions, 20).collect()} == {1: SEQ[15:47], 2: SEQ[:3]}
 
 
+def test_only_spread_regions_are_gathered(spark):
+    seq, n = "".join(random.Random(3).choice("ACGT") for _ in range(5 * intervals.PIECE + 100)), intervals.PIECE
+    tiles = spark.createDataFrame([("c", 0, seq[: 3 * n + 57]), ("c", 3 * n, seq[3 * n :])], "chrom string, start long, seq string")
+    spans = [(0, 30), (n - 40, n), (n - 1, n + 1), (n, n + 40), (10, 5 * n + 90), (3 * n - 5, 3 * n + 5), (len(seq) - 7, len(seq) + 20), (len(seq), len(seq) + 5), (50, 50)]
+    got = intervals.extract_region(tiles, spark.createDataFrame([(i, "c", a, b) for i, (a, b) in enumerate(spans)], "region_id long, chrom string, start long, end long"), 3 * n)
+    assert {r["region_id"]: r["sequence"] for r in got.collect()} == {i: seq[a:b] for i, (a, b) in enumerate(spans) if a < len(seq)}
+    plan = got._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Aggregate" not in plan.children().apply(0).toString()
+
+
 def test_metrics(spark):
     rel = [0, 1, 1, 0, 0, 1]
     df = spark.createDataFrame([("q", i + 1, x) for i, x in enumerate(rel)] + [("z", 1, 0)], "query string, rank int, rel int")
