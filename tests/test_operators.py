@@ -81,6 +81,16 @@ def test_alignment_features_equal_a_recount(spark, seed):
     assert f["flank_gc"] == pytest.approx(sum(x in "GC" for x in flank) / len(flank)) and f["downstream"] == [3, 4, 1]
 
 
+def test_features_are_counted_in_batches(spark):
+    rows = [("ACGTACGTACGTACGTTGG", "ACGAACGTACGTACGTTGG"), ("AC", "A"), ("", ""), (None, "ACGT"), ("ACÉTACGTTGG", "ACÜTACGTTGGAA")]
+    f = sq.crista_features(c("a"), c("b"))
+    got = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "id int, a string, b string").select("id", f["mm"].alias("mm"), f["runs"].alias("runs"), f["mm_13_16"].alias("q"), f["enthalpy"].alias("e"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "transform(" not in plan and "regexp_replace" not in plan
+    assert [(r["mm"], r["runs"], r["q"]) for r in got.orderBy("id").collect()] == [(1, 1, 1), (0, 0, 0), (0, 0, 0), (None, None, 0), (1, 1, 0)]
+    assert [r["e"] for r in got.orderBy("id").collect()][1:3] == [0.0, 0.0]
+
+
 @pytest.mark.parametrize("pos,strand,want", [(105, "+", "5A>G"), (95, "+", "1A>G"), (105, "-", "16T>C"), (90, "-", "20T>C")])
 def test_variant_in_spacer(spark, pos, strand, want):
     got = one(spark, sq.variant_in_spacer(c("p"), F.lit("A"), F.lit("G"), F.lit(100), c("s"), F.lit(20)), p=pos, s=strand)
