@@ -401,6 +401,15 @@ def test_genes_of_nearest_features(spark):
     assert got == {1: ("G1", "ABC", 0.0, None), 2: ("G1", "ABC", -0.081, "intergenic"), 3: (None, None, None, None)}
 
 
+def test_nearest_features_are_ordered_in_a_stated_number_of_parts(spark):
+    hits = spark.range(400).select("id", F.concat(F.lit("c"), F.col("id") % 5).alias("chrom"), (F.col("id") * 700).alias("pos"))
+    features = spark.range(50).select(F.concat(F.lit("c"), F.col("id") % 5).alias("chrom"), (F.col("id") * 5000).alias("start"), (F.col("id") * 5000 + 10).alias("end"), F.lit("x").alias("label"))
+    near = intervals.nearest_feature(hits, features, width=10_000)
+    assert near.count() == 400
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+
+
 def test_registered_gapped_search_takes_every_guide(spark):
     from strandlake.plans.queries import g3_search_gapped
 
