@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cluster import best_per_cluster, cluster_by_gap, collapse_clusters
-from ..operators.intervals import annotate_overlaps, asof_match
+from ..operators.cluster import best_per_cluster, cluster_by_gap, collapse_dealt
+from ..operators.intervals import annotate_overlaps, asof_collapsed
 from ..operators.sets import union_haplotype_inputs
 from ..operators.summary import summary_by_guide
 
@@ -25,9 +25,20 @@ def site_summary(hits: DataFrame, features: DataFrame, gap: int = 3, length: int
 
 def reconcile(first: DataFrame, second: DataFrame, gap: int) -> DataFrame:
     """Sites of two haplotypes in reference coordinates (id, chrom, strand, pos, score): collapsed in each, then matched one to one."""
+    columns = ["id", "chrom", "strand", "pos", "score"]
+    return reconcile_sites(first.select(*columns, F.lit(True).alias("first")).unionByName(second.select(*columns, F.lit(False).alias("first"))), gap)
+
+
+def reconcile_sites(sites: DataFrame, gap: int) -> DataFrame:
+    """``reconcile`` of one table with both haplotypes, of which ``first`` (boolean) tells them apart.
+
+    What is collapsed or matched lies within ``gap``, so in one cluster of both haplotypes together: rows are shuffled once, by
+    the bin in which that cluster starts, and all the rest are windows where they lie.
+    """
     keys = ["chrom", "strand"]
-    a, b = (collapse_clusters(d, keys, gap, ties=("pos", "id")) for d in (first, second))
-    return asof_match(a, b, keys, "pos", gap)
+    dealt = cluster_by_gap(sites, keys, gap, width=1 << 18, home="_home").drop("cluster").repartition(*keys, "_home")
+    best = collapse_dealt(dealt, [*keys, "_home", "first"], gap, ties=("pos", "id"))
+    return asof_collapsed(best, keys, "_home", "first", "pos", gap)
 
 
 def reconcile_inputs(tables: list[DataFrame], gap: int) -> DataFrame:

@@ -531,6 +531,25 @@ def test_reconcile_counts(spark):
     assert got == {"both": 1, "a_only": 1, "b_only": 1, "a_unmapped": 1}
 
 
+@pytest.mark.parametrize("gap", [0, 3])
+def test_reconcile_shuffles_sites_once(spark, gap):
+    """Equal to collapsing and matching each side by itself, also across bins, at equal places and claimed from both sides, in one shuffle of the sites."""
+    r = random.Random(gap)
+    data = [(f"{k}{i}", r.choice("cd"), r.choice("+-"), r.choice([0, 1 << 18, 5 << 18, 1 << 20]) + r.randrange(-400, 400), r.choice([None, 0.25, 0.5, r.random()])) for k in "ab" for i in range(700)]
+    data += [(f"{k}n", "c", "+", None, 0.5) for k in "ab"] + [(f"{k}x", None, "+", 5, 0.5) for k in "a"]
+    data += [(f"{k}{p}", "e", "+", p, 0.5) for k, ps in (("a", (10, 14, 30, 50, 53)), ("b", (12, 31, 33, 50, 90))) for p in ps]
+    sites = "id string, chrom string, strand string, pos long, score double"
+    a, b = (spark.createDataFrame([x for x in data if x[0][0] == k], sites) for k in "ab")
+    keys, columns = ["chrom", "strand"], ["chrom", "strand", "id_a", "on_a", "id_b", "on_b", "origin"]
+    alone = [cluster.collapse_clusters(d, keys, gap, ties=("pos", "id")) for d in (a, b)]
+    want = intervals.asof_match(*alone, keys, "pos", gap).select(columns).collect()
+    matched = jobs.reconcile(a, b, gap)
+    got = matched.select(columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {x["origin"] for x in got} == {"both", "a_only", "b_only"}
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("piece", [1 << 16, 7])
 def test_ranks_of_unique_values_are_summed_in_pieces(spark, piece):
     """Nearly every value is unique, one guide has most rows: places, average ranks and severities equal a plain sort."""
